@@ -1,7 +1,7 @@
 """Packing by lexical retrieval: windows of a seed document and its nearest unused neighbours.
 
 Documents are tokenised where they are read. A shard is up to ``shard_tokens`` tokens of one input partition;
-each shard gets an inverted index of its whole texts (words; BM25 weights; words of more than a fifth of a
+each shard gets an inverted index of its whole texts (words; BM25 weights; words of more than a tenth of a
 shard's documents are stop words). The next unused document seeds a window; its best unused
 neighbours by BM25 follow, then unused documents in order, until the window is full. The document that crosses the end
 is cut there and its rest seeds the next window, so only a shard's last window is short. Every document is in
@@ -21,6 +21,7 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -29,85 +30,103 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBERED, LONGEST = 450_000, 64
+REMEMBERED, LONGEST = 900_000, 64
 K1, B = 1.2, 0.75
 #: Words of a larger share of a shard's documents are stop words.
-COMMON = 0.2
+COMMON = 0.1
 #: Fixed value: the vocabulary's own pre-tokeniser pattern.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-class WordEncoder:
-    """Ids of the words of texts (parts between spaces and line feeds) as the tokenizers library gives them."""
+def _byte_of_char() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others, in order, as the characters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class Vocabulary:
+    """Numbers words (parts of texts between spaces and line feeds) and knows the ids of each.
+
+    Words of Latin letters are cut by the vocabulary's own pre-tokeniser pattern and their parts encoded by ranks of byte
+    strings, where byte 255 (in no UTF-8 text) stands for the end of a word; other words go through the tokenizers
+    library whole. Loading checks both ways against each other on every string of the vocabulary.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         probe = "Ab  c's\n\nd e\t f"
-        parts = [self.model.encode(w, add_special_tokens=False).ids for w in probe.replace("\n", " ").split(" ")]
-        if self.model.encode(probe, add_special_tokens=False).ids != [i for p in parts for i in p]:
+        if self._whole(probe) != [i for w in probe.replace("\n", " ").split(" ") for i in self._whole(w)]:
             raise ValueError("this vocabulary's ids depend on white space; texts cannot be encoded by words")
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each of some words; words of Latin letters by the pre-tokeniser's own parts.
-
-        The words and parts of the last calls are remembered.
-        """
-        new = [w for w in words if w not in self.known]
-        parts = [PARTS.findall(w.lower()) if w < "ɐ" and (w.isascii() or max(w) < "ɐ") and "<|" not in w else (w,) for w in new]
-        have = self.parts
-        missing = list({p for ps in parts for p in ps if p not in have})
-        if len(have) + len(missing) > REMEMBERED:
-            have = self.parts = {}
-            missing = list({p for ps in parts for p in ps})
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            e = self.model.encode(" ".join(part), add_special_tokens=False)  # one call; the offsets tell whose an id is
-            begin = np.cumsum([0] + [len(w) + 1 for w in part[:-1]])
-            owner = np.searchsorted(begin, np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids)), side="right") - 1
-            ids, edge = np.array(e.ids, "<u4").tobytes(), (4 * np.searchsorted(owner, np.arange(len(part) + 1))).tolist()
-            have.update(zip(part, map(ids.__getitem__, map(slice, edge[:-1], edge[1:])), strict=True))
-        fresh = dict(zip(new, [have[ps[0]] if len(ps) == 1 else b"".join(map(have.__getitem__, ps)) for ps in parts], strict=True))
-        if len(self.known) + len(fresh) > REMEMBERED:
-            old, self.known = self.known, fresh
-            out = [fresh[w] if w in fresh else old[w] for w in words]
-        else:
-            self.known.update(fresh)
-            out = list(map(self.known.__getitem__, words))
-        for w in [w for w in fresh if len(w) > LONGEST]:
-            del self.known[w]
-        for w in [w for w in missing if len(w) > LONGEST]:
-            del have[w]
-        return out
-
-
-_LOADED: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
+        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        byte, ranks = _byte_of_char(), {}
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            last = token.endswith("</w>") and len(token) > 4
+            if token not in special:
+                ranks[bytes(byte[c] for c in (token[:-4] if last else token)) + (b"\xff" if last else b"")] = i
+        self.piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        own = {r.rstrip(b"\xff").decode("utf-8", "replace") for r in ranks}
+        own = [w for w in own if w.isascii() and w == w.lower() and PARTS.findall(w) == [w]]
+        if [e.ids for e in self.library.encode_batch(own, add_special_tokens=False)] != [self.piece(w.encode() + b"\xff") for w in own]:
+            raise ValueError("this vocabulary's merges are not an order of ranks")
+        self.clear()
+
+    def _whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def clear(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.ids, self.size, self.parts = np.zeros(0, "<u4"), np.zeros(0, np.int64), {}
+
+    def learn(self) -> None:
+        """Find the ids of the words that were numbered since the last call."""
+        parts, piece, new = self.parts, self.piece, []
+        for w in islice(self.number, len(self.size), None):
+            if w < "ɐ" and (w.isascii() or max(w) < "ɐ") and "<|" not in w:
+                ids: list[int] = []
+                for p in PARTS.findall(w.lower()):
+                    x = parts.get(p)
+                    if x is None:
+                        x = piece(p.encode() + b"\xff")
+                        if len(p) <= LONGEST:
+                            parts[p] = x
+                    ids += x
+            else:
+                ids = self._whole(w)
+            new.append(ids)
+        self.size = np.concatenate([self.size, np.fromiter(map(len, new), np.int64, len(new))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), "<u4")])
+        if len(parts) > REMEMBERED:
+            parts.clear()
+
+    def texts(self, words: np.ndarray, ends: np.ndarray, end_id: int) -> np.ndarray:
+        """The ids of consecutive documents with end_id after each; ends: where documents end in words."""
+        size = np.append(self.size, 1)
+        first = np.cumsum(size) - size
+        flat = np.append(self.ids, np.uint32(end_id)).astype("<u4")
+        words = np.insert(words, ends, len(self.size))
+        n = size[words]
+        at = np.repeat(first[words] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        return flat[at]
+
+
+_LOADED: dict[str, Vocabulary] = {}
+
+
+def vocabulary(path: str) -> Vocabulary:
     if path not in _LOADED:
-        _LOADED[path] = WordEncoder(path)
+        _LOADED[path] = Vocabulary(path)
     return _LOADED[path]
 
 
-def ids_of(vocabulary: list[bytes], words: np.ndarray, end_id: int, ends: np.ndarray) -> np.ndarray:
-    """The ids of consecutive documents, end_id after each: words are places in vocabulary, ends where documents end."""
-    flat = np.frombuffer(b"".join(vocabulary) + np.array([end_id], "<u4").tobytes(), "<u4")
-    size = np.array([len(x) // 4 for x in vocabulary] + [1], np.int64)
-    first = np.cumsum(size) - size
-    words = np.insert(words, ends, len(vocabulary))
-    n = size[words]
-    at = np.repeat(first[words] - (np.cumsum(n) - n), n)
-    at += np.arange(len(at))
-    return flat[at]
-
-
 class InvertedIndex:
     """BM25 postings of a shard's documents, given as arrays of term ids."""
 
@@ -117,13 +136,15 @@ class InvertedIndex:
         terms = np.concatenate(docs) if n else np.zeros(0, np.int64)
         pairs, tf = np.unique(terms.astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
         term, doc = pairs // max(n, 1), pairs % max(n, 1)
-        first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-        df = np.diff(np.concatenate([first, [len(term)]]))
-        idf = np.where(df <= common * n, np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5))), 0.0)
-        keep = np.repeat((df > 1) & (idf > 0), df)  # a word of one document finds no neighbour
-        weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(sizes.mean(), 1e-9))) if len(term) else np.zeros(0)
-        self.doc, self.weight, term = doc[keep].astype(np.int32), weight[keep].astype(np.float32), term[keep]
-        self.begin = np.searchsorted(term, np.arange(int(terms.max(initial=-1)) + 2))
+        change = np.diff(term, prepend=-1) != 0
+        df = np.bincount(np.cumsum(change) - 1) if len(term) else np.zeros(0, np.int64)
+        idf = np.where((df > 1) & (df <= common * n), np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5))), 0.0)  # a word of one document finds no neighbour
+        keep = np.repeat(idf > 0, df)
+        doc, tf = doc[keep], tf[keep]
+        weight = np.repeat(idf, df)[keep] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(sizes.mean(), 1e-9))) if n else np.zeros(0)
+        self.doc, self.weight = doc.astype(np.int32), weight.astype(np.float32)
+        term = np.cumsum(change[keep]) - 1  # words that are left, numbered anew
+        self.begin = np.searchsorted(term, np.arange(int(term[-1]) + 2 if len(term) else 1))
         order = np.argsort(self.doc, kind="stable")
         self.terms, self.term_begin = term[order], np.searchsorted(self.doc[order], np.arange(n + 1))
         self.n, self.term_of, self.alive = n, term, n
@@ -198,36 +219,33 @@ def pack(sizes: np.ndarray, terms: list[np.ndarray], window: int) -> list[tuple[
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, shard_tokens: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, shard_tokens: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece; one narrow pass."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer_path)
+        known = vocabulary(tokenizer_path)
         base, done = TaskContext.get().partitionId() << 36, 0
         keys: list = []
         words: list[np.ndarray] = []
-        numbers: defaultdict[str, int] = defaultdict()
-        numbers.default_factory = numbers.__len__
-        held, most = 0, shard_tokens // 3  # a word has about three tokens; only the memory depends on it
+        held, most = 0, max(1, shard_tokens // 3)  # a word has about three tokens; only the memory depends on it
         dtype = None
 
         def flush() -> Iterator[pd.DataFrame]:
             nonlocal done, held
+            known.learn()
             ends = np.cumsum([len(w) for w in words])
-            vocabulary = enc.words(list(numbers))
-            size = np.array([len(x) // 4 for x in vocabulary], np.int64)
-            flat = ids_of(vocabulary, np.concatenate(words), end_id, ends)
-            del vocabulary
-            n = np.array([int(size[w].sum()) + 1 for w in words])
+            flat = known.texts(np.concatenate(words), ends, end_id)
+            n = np.diff(np.concatenate([[0], np.cumsum(known.size[np.concatenate(words)])])[np.concatenate([[0], ends])]) + 1
             first = np.cumsum(n) - n
             raw = memoryview(flat).cast("B")
             pieces = pack(n, words, window)
             rows = [(keys[d], s, k, zlib.crc32(raw[4 * (first[d] + s) : 4 * (first[d] + s + k)]), n[d], base + done + q, o) for d, s, k, q, o in pieces]
             done += 1 + max((q for *_, q, _ in pieces), default=-1)
-            for x in (keys, words, numbers):
-                x.clear()
+            keys.clear(), words.clear()
+            if len(known.number) > REMEMBERED:
+                known.clear()
             held = 0
             for i in range(0, len(rows), 20_000):
                 yield pd.DataFrame(rows[i : i + 20_000], columns=names).astype({"key": dtype})
@@ -236,7 +254,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end
             dtype = b["key"].dtype
             for key, text in zip(b["key"], b["content"], strict=True):
                 keys.append(key)
-                words.append(np.fromiter(map(numbers.__getitem__, filter(None, text.replace("\n", " ").split(" "))), np.int32))
+                words.append(np.fromiter(map(known.number.__getitem__, filter(None, text.replace("\n", " ").split(" "))), np.int32))
                 held += len(words[-1]) + 1
                 if held >= most:
                     yield from flush()

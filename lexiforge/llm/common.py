@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,7 +38,20 @@ def materialise(spark: SparkSession, df: DataFrame, label: str, by: list[str] |
     if by:
         writer = writer.partitionBy(*by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialise wrote for df, once nothing reads it any more."""
+    remove(df.sparkSession, df.written_at)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM collect garbage: Spark then deletes the shuffle files of finished work that nothing refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def filesystem(spark: SparkSession, path: str):

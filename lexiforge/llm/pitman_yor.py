@@ -19,6 +19,8 @@ count each; with no training text every word is unknown; an empty table gives no
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import materialise, total_bytes
+from lexiforge.llm.common import discard, materialise, release, total_bytes
 
 NOTHING = 0x2020  # the context of a text's first words: two spaces, which no word has
 PACKED = "block long, shard int, words binary, sizes binary, contexts binary, counts binary"
@@ -40,6 +42,20 @@ def context_code(word: bytes) -> int:
     return word[0] << 8 | (word[1] if len(word) == 2 else 0x20)
 
 
+def squeeze(x: np.ndarray, kind: str, ascending: bool = False) -> bytes:
+    """An array as compressed planes of its bytes; ascending integers as their differences."""
+    x = np.ascontiguousarray(x, dtype=kind)
+    if ascending:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+
+
+def open_up(raw: bytes, kind: str, ascending: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    x = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if ascending else x
+
+
 class Counted:
     """The tokens of a block of texts as places in its vocabulary, and their contexts."""
 
@@ -86,7 +102,6 @@ def _blocks(docs: DataFrame, block_bytes: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        squeeze = zstandard.ZstdCompressor(level=1)
         block = TaskContext.get().partitionId() << 32
         held: list[tuple] = []
         size = 0
@@ -103,10 +118,10 @@ def _blocks(docs: DataFrame, block_bytes: int, shards: int) -> DataFrame:
             cut = np.searchsorted(of, np.arange(shards + 1))
             pcut = np.searchsorted(word, cut)
             per = np.bincount(word, minlength=len(hashes)).astype("<u4")
-            rows = [(block, -1, squeeze.compress(pack_texts(held)), None, None, None)]
+            rows = [(block, -1, zstandard.ZstdCompressor(level=1).compress(pack_texts(held)), None, None, None)]
             for s in np.unique(of):
                 a, b, x, y = cut[s], cut[s + 1], pcut[s], pcut[s + 1]
-                rows.append((block, int(s), hashes[a:b].astype("<u8").tobytes(), per[a:b].tobytes(), context[x:y].tobytes(), count[x:y].tobytes()))
+                rows.append((block, int(s), squeeze(hashes[a:b], "<u8", True), squeeze(per[a:b], "<u4"), squeeze(context[x:y], "<u2"), squeeze(count[x:y], "<u4")))
             return pd.DataFrame(rows, columns=["block", "shard", "words", "sizes", "contexts", "counts"])
 
         for b in batches:
@@ -115,6 +130,7 @@ def _blocks(docs: DataFrame, block_bytes: int, shards: int) -> DataFrame:
                 if held and size + len(raw) > block_bytes:
                     yield flush()
                     held, size, block = [], 0, block + 1
+                    trim()
                 key = None if key is None or key != key else int(key) if isinstance(key, float | np.integer) else key
                 held.append((row, key, bool(out), raw))
                 size += len(raw)
@@ -124,6 +140,12 @@ def _blocks(docs: DataFrame, block_bytes: int, shards: int) -> DataFrame:
     return docs.mapInPandas(run, PACKED)
 
 
+def trim() -> None:
+    """Give freed memory back to the system where the C library can; workers live on between tasks."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack_texts(rows: list[tuple]) -> bytes:
     """Row numbers, ids (with nulls), held-out flags, and texts of a block as bytes."""
     import pickle
@@ -176,10 +198,10 @@ def _totals(context: np.ndarray, count: np.ndarray, tables: np.ndarray, top: np.
 
 def _begin(key, rows: pd.DataFrame) -> pd.DataFrame:
     """A shard's first state: counts of all blocks together, one table for each dish of a restaurant."""
-    words = np.concatenate([np.frombuffer(x, "<u8") for x in rows["words"]])
-    sizes = np.concatenate([np.frombuffer(x, "<u4") for x in rows["sizes"]])
-    context = np.concatenate([np.frombuffer(x, "<u2") for x in rows["contexts"]]).astype(np.int64)
-    count = np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"]]).astype(np.int64)
+    words = np.concatenate([open_up(x, "<u8", True) for x in rows["words"]])
+    sizes = np.concatenate([open_up(x, "<u4") for x in rows["sizes"]])
+    context = np.concatenate([open_up(x, "<u2") for x in rows["contexts"]]).astype(np.int64)
+    count = np.concatenate([open_up(x, "<u4") for x in rows["counts"]]).astype(np.int64)
     learnt = count > 0
     owner = np.repeat(words, sizes)[learnt]
     hashes, place = np.unique(owner, return_inverse=True)
@@ -191,8 +213,8 @@ def _begin(key, rows: pd.DataFrame) -> pd.DataFrame:
     ones, top = np.ones(len(c)), np.minimum(per, 1)
     totals, scalars = _totals(context, c, ones, top, per, seen)
     return pd.DataFrame([{
-        "shard": int(key[0]), "hashes": hashes.astype("<u8").tobytes(), "seen": _f(seen, "<u8"), "sizes": per.astype("<u4").tobytes(), "contexts": context.astype("<u2").tobytes(),
-        "counts": c.astype("<u4").tobytes(), "tables": _f(ones), "top_tables": _f(top), "kept": b"", "kept_top": b"", "totals": totals, "scalars": scalars,
+        "shard": int(key[0]), "hashes": squeeze(hashes, "<u8", True), "seen": squeeze(seen, "<u8"), "sizes": squeeze(per, "<u4"), "contexts": squeeze(context, "<u2"),
+        "counts": squeeze(c, "<u4"), "tables": _f(ones), "top_tables": _f(top), "kept": b"", "kept_top": b"", "totals": totals, "scalars": scalars,
     }])
 
 
@@ -227,9 +249,9 @@ class Level:
 
 
 def _arrays(r) -> tuple:
-    size = np.frombuffer(r["sizes"], "<u4").astype(np.int64)
-    return (np.repeat(np.arange(len(size)), size), np.frombuffer(r["contexts"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4").astype(np.int64),
-            np.frombuffer(r["tables"], "<f4").astype(np.float64), np.frombuffer(r["top_tables"], "<f4").astype(np.float64), np.frombuffer(r["seen"], "<u8").astype(np.float64))
+    size = open_up(r["sizes"], "<u4").astype(np.int64)
+    return (np.repeat(np.arange(len(size)), size), open_up(r["contexts"], "<u2").astype(np.int64), open_up(r["counts"], "<u4").astype(np.int64),
+            np.frombuffer(r["tables"], "<f4").astype(np.float64), np.frombuffer(r["top_tables"], "<f4").astype(np.float64), open_up(r["seen"], "<u8").astype(np.float64))
 
 
 def predictive(level: Level, word, context, c, t, top) -> tuple[np.ndarray, np.ndarray]:
@@ -254,6 +276,7 @@ def _sweep(level: Level, seed: int, keep: bool):
                 customers = np.bincount(word, t, len(top)) if len(top) else np.zeros(0)
                 top = seat(customers.astype(np.int64), (level.strength + level.top_discount * np.maximum(level.top_tables - top, 0)) / (level.words + 1), level.top_discount, rng)
                 totals, scalars = _totals(context, c, t, top, customers, seen)
+                trim()
                 yield pd.DataFrame([dict(r) | {"tables": _f(t), "top_tables": _f(top), "kept": kept, "kept_top": kept_top, "totals": totals, "scalars": scalars}])
 
     return run
@@ -268,14 +291,14 @@ def _answer(levels: list[Level]):
         if len(state):
             r = state.iloc[0]
             word, context, c, t, top, seen = _arrays(r)
-            hashes = np.frombuffer(r["hashes"], "<u8")
+            hashes = open_up(r["hashes"], "<u8", True)
             p, p0 = predictive(last, word, context, c, t, top)
             p = (p + (np.frombuffer(r["kept"], "<f4") if r["kept"] else 0)) / samples
             tops = np.vstack([np.frombuffer(r["kept_top"], "<f4").reshape(samples - 1, len(hashes)), p0])
             pairs = word << 16 | context
         for _, q in asked.iterrows():
-            words, size = np.frombuffer(q["words"], "<u8"), np.frombuffer(q["sizes"], "<u4").astype(np.int64)
-            context_q = np.frombuffer(q["contexts"], "<u2").astype(np.int64)
+            words, size = open_up(q["words"], "<u8", True), open_up(q["sizes"], "<u4").astype(np.int64)
+            context_q = open_up(q["contexts"], "<u2").astype(np.int64)
             backs = np.stack([x.back_off[context_q] for x in levels])
             if len(state) and len(hashes):
                 at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
@@ -290,7 +313,7 @@ def _answer(levels: list[Level]):
                 n = np.where(known, seen[at], 0)
             else:
                 prob, n = (backs * np.array([x.unknown for x in levels])[:, None]).mean(0), np.zeros(len(words))
-            rows.append((int(q["block"]), int(key[0]), _f(n, "<u8"), _f(np.log10(prob))))
+            rows.append((int(q["block"]), int(key[0]), squeeze(n, "<u8"), squeeze(np.log10(prob), "<f4")))
         return pd.DataFrame(rows, columns=["block", "shard", "seen", "logs"])
 
     return run
@@ -302,8 +325,8 @@ def _score(tokens: float, words: float):
         c = Counted([x[3] for x in held])
         _, place = c.pairs()
         answers = answers.sort_values("shard")
-        seen = np.concatenate([np.frombuffer(x, "<u8") for x in answers["seen"]]).astype(np.float64)
-        logs = np.concatenate([np.frombuffer(x, "<f4") for x in answers["logs"]]).astype(np.float64)
+        seen = np.concatenate([open_up(x, "<u8") for x in answers["seen"]]).astype(np.float64)
+        logs = np.concatenate([open_up(x, "<f4") for x in answers["logs"]]).astype(np.float64)
         n = seen[c.rank[c.tokens]]
         base = np.log10((n + 0.5) / (tokens + 0.5 * (words + 1)))
         begin = np.cumsum(c.sizes) - c.sizes
@@ -311,12 +334,14 @@ def _score(tokens: float, words: float):
         out["held_out"] = [bool(x[2]) for x in held]
         out["train_tokens"] = int(tokens)
         out["key"] = pd.Series([x[1] for x in held], dtype=object)
+        del held, c, place, seen, logs, n, base
+        trim()
         return out[["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]]
 
     return run
 
 
-def score_documents(docs: DataFrame, held_out: Column, sweeps: int = 4, samples: int = 2, block_bytes: int = 16 << 20, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, sweeps: int = 4, samples: int = 2, block_bytes: int = 6 << 20, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of each text; learns where held_out is false."""
     spark: SparkSession = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -332,7 +357,9 @@ def score_documents(docs: DataFrame, held_out: Column, sweeps: int = 4, samples:
         if keep:
             kept.append(level)
         shared = spark.sparkContext.broadcast(level)  # a table of 65,536 contexts at most
-        state = materialise(spark, state.mapInPandas(_sweep_with(shared, seed + i, keep), STATE), "seats")
+        old, state = state, materialise(spark, state.mapInPandas(_sweep_with(shared, seed + i, keep), STATE), "seats")
+        discard(old)
+        release(spark)
         level = Level(_totals_of(state), fixed)
     levels = [*kept, level]
     answers = asked.select("block", "shard", "words", "sizes", "contexts").groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(_answer(levels), "block long, shard int, seen binary, logs binary")

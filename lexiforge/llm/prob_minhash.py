@@ -8,7 +8,7 @@ agree in a component with the probability Jaccard similarity of their weighted s
 
 Bands of signature components make buckets. Equal texts are one node beforehand. In each bucket nodes are
 held against the node that shares most buckets with others; what is not yet connected is then held
-against the bucket's other members; links are pairs with an exact Jaccard similarity of the
+against the bucket's other members, unless the shingles that it has in common with any of them are too few; links are pairs with an exact Jaccard similarity of the
 shingle sets of at least the threshold. A pair is a candidate if it shares two bands. Classes are the connected components of the links.
 
 Defined results: null counts as empty; all texts without a word are equal; repeated rows are copies; a class
@@ -213,9 +213,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     by_class = placed.groupBy("band", "h", "root").agg(F.count("*").alias("c"))
     split = by_class.groupBy("band", "h").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("classes")).filter("classes > 1").select("band", "h", F.col("top.root").alias("top"))
     placed = materialise(spark, placed.join(split, ["band", "h"]).select("band", "h", "node", "n", "root", "top"), "split-buckets")
-    few = placed.filter("root != top").select("band", "h", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    other = placed.select("band", "h", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    cross = few.join(other, ["band", "h"]).filter("ra != rb").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    bound = _common_shingles(placed.select("node").distinct().join(texts, "node"), width)
+    placed = materialise(spark, placed.join(bound.filter(F.col("c") >= threshold * F.col("size")).select("node", "c"), "node"), "open-buckets")
+    few = placed.filter("root != top").select("band", "h", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    other = placed.select("band", "h", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    # a similarity of t takes t / (1 + t) of both sizes in common, and no pair has more in common than what either has with any other node
+    enough = F.least("ca", "cb") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb"))
+    cross = few.join(other, (few["band"] == other["band"]) & (few["h"] == other["h"]) & (few["ra"] != other["rb"]) & enough).select(few["band"], "a", "b")
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "band").distinct().groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 2").select("a", "b")
     cross = cross.join(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")), ["a", "b"], "left_anti")
     links = materialise(spark, links.unionByName(similar(cross, texts, threshold, width)), "links")
@@ -238,6 +242,20 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return out.dropDuplicates([id_col, "_h"]).select(*docs.columns)
 
 
+def _common_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """node, size, c: the number of a node's distinct shingles, and of those that another of these nodes has too."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler, open_ = Shingler(width), zstandard.ZstdDecompressor()
+        for b in batches:
+            yield pd.DataFrame({"node": b["node"], "s": [np.unique(shingler(open_.decompress(p).decode("utf-8", "surrogatepass").split())).astype(np.int64) for p in b["packed"]]})
+
+    each = texts.select("node", "packed").mapInPandas(run, "node binary, s array<long>").select("node", F.explode("s").alias("s"))
+    each = materialise(texts.sparkSession, each, "shingles")
+    twice = each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1").select("s", F.lit(1).alias("common"))
+    return each.join(twice, "s", "left").groupBy("node").agg(F.count("*").alias("size"), F.count("common").alias("c"))
+
+
 def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
     """The pairs whose nodes are in different components."""
     for x in ("a", "b"):

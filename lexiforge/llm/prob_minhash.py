@@ -8,8 +8,8 @@ agree in a component with the probability Jaccard similarity of their weighted s
 
 Bands of signature components make buckets. Equal texts are one node beforehand. In each bucket nodes are
 held against the node that shares most buckets with others; what is not yet connected is then held
-against the bucket's other members, unless the shingles that it has in common with any of them are too few; links are pairs with an exact Jaccard similarity of the
-shingle sets of at least the threshold. A pair is a candidate if it shares two bands. Classes are the connected components of the links.
+against the bucket's other members of which the signatures' estimate is not more than a tenth below the threshold; links are pairs with an exact Jaccard similarity of the
+shingle sets of at least the threshold. Classes are the connected components of the links.
 
 Defined results: null counts as empty; all texts without a word are equal; repeated rows are copies; a class
 is named by its least id (null if no member has one); an empty table gives no rows; other columns are ignored.
@@ -108,8 +108,29 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.astype(np.int64)
 
 
+#: 4-bit signature components in a 64-bit word, and the bits that are left when a component's differences are folded.
+NIBBLES, FOLDED = 16, 0x1111111111111111
+
+
+def brief(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each component, 16 components to an integer; the last is filled up with zeros."""
+    bits = np.zeros(-(-len(sig) // NIBBLES) * NIBBLES, U)
+    bits[: len(sig)] = mix(sig + U(0x5851F42D4C957F2D)) & U(15)
+    out = np.zeros(len(bits) // NIBBLES, U)
+    for j in range(NIBBLES):
+        out |= bits[j::NIBBLES] << U(4 * j)
+    return out.view(np.int64)
+
+
+def agreeing(a: str, b: str, m: int) -> str:
+    """SQL for the number of components in which two brief signatures agree."""
+    words = -(-m // NIBBLES)
+    one = "bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & " + str(FOLDED) + "L)"
+    return f"({m} - (" + " + ".join(one.format(x=f"({a}[{i}] ^ {b}[{i}])") for i in range(words)) + "))"
+
+
 def sketch(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_hash, node (a digest of the words), n (distinct shingles), bands, packed (the words, compressed); a narrow pass."""
+    """id, text_hash, node (a digest of the words), n (distinct shingles), bands, brief, packed (the words, compressed); a narrow pass."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,12 +143,14 @@ def sketch(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int = ROWS
                 elements, weights = weighted(shingler(words))
                 out["node"].append(hashlib.blake2b(raw, digest_size=16).digest())
                 out["n"].append(len(elements))
-                out["bands"].append(band_hashes(signature(elements, weights, bands * rows), bands, rows) if len(elements) else np.zeros(0, np.int64))
+                sig = signature(elements, weights, bands * rows)
+                out["bands"].append(band_hashes(sig, bands, rows) if len(elements) else np.zeros(0, np.int64))
+                out["brief"].append(brief(sig))
                 out["packed"].append(squeeze.compress(raw))
             yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], **out})
 
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("content")).withColumn("text_hash", F.xxhash64("content"))
-    return keyed.mapInPandas(run, f"id {kind}, text_hash long, node binary, n int, bands array<long>, packed binary")
+    return keyed.mapInPandas(run, f"id {kind}, text_hash long, node binary, n int, bands array<long>, brief array<long>, packed binary")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -188,7 +211,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     """id, class_id, class_size, kept, text_hash for each row of docs; kept is true for one row of each class, that of the least id."""
     spark = docs.sparkSession
     sk = materialise(spark, sketch(docs, width, bands, rows, id_col, text_col), "sketches")
-    nodes = materialise(spark, sk.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = materialise(spark, sk.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("brief").alias("brief")), "nodes")
     spread = nodes.select("node", "n", F.posexplode("bands").alias("band", "h"))
     crowded = spread.groupBy("band", "h").agg(F.count("*").alias("k")).filter("k > 1")
     member = materialise(spark, spread.join(crowded, ["band", "h"]), "buckets")
@@ -208,22 +231,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     links = materialise(spark, links.unionByName(similar(_apart(rest, root), texts, threshold, width)), "links")
     root = components(links)
 
-    # then, in buckets that still hold several classes, all members outside the largest class against the others
-    placed = member.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by_class = placed.groupBy("band", "h", "root").agg(F.count("*").alias("c"))
-    split = by_class.groupBy("band", "h").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("classes")).filter("classes > 1").select("band", "h", F.col("top.root").alias("top"))
-    placed = materialise(spark, placed.join(split, ["band", "h"]).select("band", "h", "node", "n", "root", "top"), "split-buckets")
-    bound = _common_shingles(placed.select("node").distinct().join(texts, "node"), width)
-    placed = materialise(spark, placed.join(bound.filter(F.col("c") >= threshold * F.col("size")).select("node", "c"), "node"), "open-buckets")
-    few = placed.filter("root != top").select("band", "h", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    other = placed.select("band", "h", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    # a similarity of t takes t / (1 + t) of both sizes in common, and no pair has more in common than what either has with any other node
-    enough = F.least("ca", "cb") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb"))
-    cross = few.join(other, (few["band"] == other["band"]) & (few["h"] == other["h"]) & (few["ra"] != other["rb"]) & enough).select(few["band"], "a", "b")
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "band").distinct().groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 2").select("a", "b")
-    cross = cross.join(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")), ["a", "b"], "left_anti")
-    links = materialise(spark, links.unionByName(similar(cross, texts, threshold, width)), "links")
-    root = components(links)
+    # then, in buckets that still hold several classes, all members outside the largest class against the others: first
+    # pairs whose estimate reaches the threshold, so that classes grow together, then all that may reach it
+    for margin in (0.0, 0.1):
+        cross = _across(member, nodes, root, threshold, margin, bands * rows)
+        links = materialise(spark, links.unionByName(similar(cross, texts, threshold, width)), "links")
+        root = components(links)
 
     named = nodes.select("node", "id", "copies").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
@@ -242,18 +255,24 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return out.dropDuplicates([id_col, "_h"]).select(*docs.columns)
 
 
-def _common_shingles(texts: DataFrame, width: int) -> DataFrame:
-    """node, size, c: the number of a node's distinct shingles, and of those that another of these nodes has too."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, open_ = Shingler(width), zstandard.ZstdDecompressor()
-        for b in batches:
-            yield pd.DataFrame({"node": b["node"], "s": [np.unique(shingler(open_.decompress(p).decode("utf-8", "surrogatepass").split())).astype(np.int64) for p in b["packed"]]})
+def _across(member: DataFrame, nodes: DataFrame, root: DataFrame, threshold: float, margin: float, m: int) -> DataFrame:
+    """a, b of different classes that share a bucket and whose estimated similarity is at least threshold - margin.
 
-    each = texts.select("node", "packed").mapInPandas(run, "node binary, s array<long>").select("node", F.explode("s").alias("s"))
-    each = materialise(texts.sparkSession, each, "shingles")
-    twice = each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1").select("s", F.lit(1).alias("common"))
-    return each.join(twice, "s", "left").groupBy("node").agg(F.count("*").alias("size"), F.count("common").alias("c"))
+    A tenth below the threshold is 2.7 standard errors of the estimate; each pair comes once, from its first bucket.
+    """
+    placed = member.select("band", "h", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_class = placed.groupBy("band", "h", "root").agg(F.count("*").alias("c"))
+    split = by_class.groupBy("band", "h").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("classes")).filter("classes > 1").select("band", "h", F.col("top.root").alias("top"))
+    placed = placed.join(split, ["band", "h"]).join(nodes.select("node", "n", "bands", "brief"), "node")
+    placed = materialise(member.sparkSession, placed, "split-buckets")
+    few = placed.filter("root != top").alias("x")
+    other = placed.alias("y")
+    least = m * ((threshold - margin) * 15 / 16 + 1 / 16)  # unlike components agree in their four bits in one of 16 cases
+    once = "(x.root = x.top OR y.root = y.top OR x.node < y.node)"  # of two nodes outside the largest class, the pair from one side
+    first = "array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.band + 1"
+    same = f"x.band = y.band AND x.h = y.h AND x.root != y.root AND least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)"
+    cross = few.join(other, F.expr(f"{same} AND {once} AND {agreeing('x.brief', 'y.brief', m)} >= {least} AND {first}"))
+    return cross.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
 
 
 def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:

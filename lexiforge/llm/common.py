@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +51,24 @@ def discard(df: DataFrame) -> None:
     remove(df.sparkSession, df.written_at)
 
 
+def trim() -> None:
+    """Give a Python worker's freed memory back to the system where the C library can; workers live on between tasks."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs that run inside hand at most this many rows at once to a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver's JVM collect garbage: Spark then deletes the shuffle files of finished work that nothing refers to."""
     gc.collect()

@@ -19,8 +19,6 @@ count each; with no training text every word is unknown; an empty table gives no
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import discard, materialise, release, total_bytes
+from lexiforge.llm.common import discard, materialise, release, total_bytes, trim
 
 NOTHING = 0x2020  # the context of a text's first words: two spaces, which no word has
 PACKED = "block long, shard int, words binary, sizes binary, contexts binary, counts binary"
@@ -140,12 +138,6 @@ def _blocks(docs: DataFrame, block_bytes: int, shards: int) -> DataFrame:
     return docs.mapInPandas(run, PACKED)
 
 
-def trim() -> None:
-    """Give freed memory back to the system where the C library can; workers live on between tasks."""
-    with contextlib.suppress(AttributeError, OSError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def pack_texts(rows: list[tuple]) -> bytes:
     """Row numbers, ids (with nulls), held-out flags, and texts of a block as bytes."""
     import pickle

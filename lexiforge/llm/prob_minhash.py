@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiforge.llm.common import materialise
+from lexiforge.llm.common import materialise, small_batches, trim
 
 U = np.uint64
 BANDS, ROWS = 25, 5
@@ -44,7 +44,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Hashes of the word shingles of texts; hashes of words are remembered."""
 
-    def __init__(self, width: int, most: int = 400_000):
+    def __init__(self, width: int, most: int = 250_000):
         self.width, self.most = width, most
         self.words: dict[str, int] = {}
 
@@ -148,6 +148,7 @@ def sketch(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int = ROWS
                 out["brief"].append(brief(sig))
                 out["packed"].append(squeeze.compress(raw))
             yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], **out})
+            trim()
 
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("content")).withColumn("text_hash", F.xxhash64("content"))
     return keyed.mapInPandas(run, f"id {kind}, text_hash long, node binary, n int, bands array<long>, brief array<long>, packed binary")
@@ -165,7 +166,7 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) ->
         def of(node: bytes, packed: bytes) -> np.ndarray:
             nonlocal size
             if node not in known:
-                if size > 2_000_000:
+                if size > 1_000_000:
                     known.clear()
                     size = 0
                 known[node] = np.unique(shingler(open_.decompress(packed).decode("utf-8", "surrogatepass").split()))
@@ -179,6 +180,7 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) ->
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common >= threshold * (len(x) + len(y) - common))
             yield p.loc[keep, ["a", "b"]]
+            trim()
 
     return both.select("a", "b", "pa", "pb").mapInPandas(run, "a binary, b binary")
 
@@ -209,6 +211,11 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, class_id, class_size, kept, text_hash for each row of docs; kept is true for one row of each class, that of the least id."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, threshold, width, bands, rows, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, threshold: float, width: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     sk = materialise(spark, sketch(docs, width, bands, rows, id_col, text_col), "sketches")
     nodes = materialise(spark, sk.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("brief").alias("brief")), "nodes")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBERED, LONGEST = 900_000, 64
+REMEMBERED, LONGEST = 600_000, 64
 K1, B = 1.2, 0.75
 #: Words of a larger share of a shard's documents are stop words.
 COMMON = 0.1

@@ -55,7 +55,7 @@ def test_shuffled_keeps_signs_and_lengths(spark):
 
 
 def test_numerals_and_labels(spark):
-    t = oc.tokens(oc.corpus(made(spark, "\n".join(["foo ||| bar"] * 5 + ["baz || bar qux"] * 4 + ["7 zap"]))))
+    t = oc.tokens(oc.corpus(made(spark, "\n".join(["foo ||| bar"] * 2 + ["baz tor bar qux"] * 9 + ["7 zap"]))))
     kinds = {(r["sign"], r["kind"]) for r in ms.numeral_signs(t).collect()}
     assert ("|", "tally") in kinds and ("7", "digit") in kinds
     got = spark.createDataFrame([(chr(0xE005),), (chr(0xF0000 + 1234),), ("x",)], "s string").select(ft.label(F.col("s"))).collect()

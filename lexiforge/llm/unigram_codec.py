@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 800_000, 64
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int, bytes | int]]:
@@ -149,26 +149,35 @@ class UnigramModel:
     def viterbi(self, part: str) -> tuple[int, ...]:
         """Ids of the best path over one part of a marked text."""
         raw = part.encode("utf-8", "replace")
-        n = len(raw)
-        best, back = [None] * (n + 1), [(0, 0)] * (n + 1)
+        n, low = len(raw), float("-inf")
+        best, back, pieces = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
-        i = 0
+        base, check, value, scores, unknown = self.trie.base, self.trie.check, self.trie.value, self.scores, self.unknown
+        states, i = len(check), 0
         while i < n:
-            step = 1 if raw[i] < 0x80 else 2 if raw[i] < 0xE0 else 3 if raw[i] < 0xF0 else 4
-            here, single = best[i], False
-            if here is not None:
-                for end, piece in self.trie.prefixes(raw, i):
-                    total = here + self.scores[piece]
-                    if best[end] is None or total > best[end]:
-                        best[end], back[end] = total, (i, piece)
-                    single |= end == i + step
-                if not single and (best[i + step] is None or here + self.unknown > best[i + step]):
-                    best[i + step], back[i + step] = here + self.unknown, (i, -1)
-            i += step
+            first = raw[i]
+            end = i + (1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4)
+            here, single, s = best[i], False, 0
+            for j in range(i, n):  # the pieces that begin here
+                t = base[s] + raw[j] + 1
+                if t >= states or check[t] != s:
+                    break
+                s = t
+                piece = value[s]
+                if piece >= 0:
+                    j += 1
+                    total = here + scores[piece]
+                    if total > best[j]:
+                        best[j], back[j], pieces[j] = total, i, piece
+                    if j == end:
+                        single = True
+            if not single and here + unknown > best[end]:
+                best[end], back[end], pieces[end] = here + unknown, i, -1
+            i = end
         ids: list[int] = []
         end = n
         while end:
-            start, piece = back[end]
+            start, piece = back[end], pieces[end]
             if piece >= 0:
                 ids.append(piece)
             elif self.has_bytes:

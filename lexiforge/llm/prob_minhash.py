@@ -238,10 +238,10 @@ def _near_duplicates(docs: DataFrame, threshold: float, width: int, bands: int,
     links = materialise(spark, links.unionByName(similar(_apart(rest, root), texts, threshold, width)), "links")
     root = components(links)
 
-    # then, in buckets that still hold several classes, all members outside the largest class against the others: first
-    # pairs whose estimate reaches the threshold, so that classes grow together, then all that may reach it
-    for margin in (0.0, 0.1):
-        cross = _across(member, nodes, root, threshold, margin, bands * rows)
+    # then, in buckets that still hold several classes, all members outside the largest class against the others, the
+    # pairs of the highest estimates first: classes grow together, and what is then of one class needs no comparison
+    for low, high in ((threshold, 2.0), (threshold - 0.05, threshold), (threshold - 0.1, threshold - 0.05)):
+        cross = _across(member, nodes, root, threshold, low, high, bands * rows)
         links = materialise(spark, links.unionByName(similar(cross, texts, threshold, width)), "links")
         root = components(links)
 
@@ -262,8 +262,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return out.dropDuplicates([id_col, "_h"]).select(*docs.columns)
 
 
-def _across(member: DataFrame, nodes: DataFrame, root: DataFrame, threshold: float, margin: float, m: int) -> DataFrame:
-    """a, b of different classes that share a bucket and whose estimated similarity is at least threshold - margin.
+def _across(member: DataFrame, nodes: DataFrame, root: DataFrame, threshold: float, low: float, high: float, m: int) -> DataFrame:
+    """a, b of different classes that share a bucket and whose estimated similarity is at least low and below high.
 
     A tenth below the threshold is 2.7 standard errors of the estimate; each pair comes once, from its first bucket.
     """
@@ -274,11 +274,11 @@ def _across(member: DataFrame, nodes: DataFrame, root: DataFrame, threshold: flo
     placed = materialise(member.sparkSession, placed, "split-buckets")
     few = placed.filter("root != top").alias("x")
     other = placed.alias("y")
-    least = m * ((threshold - margin) * 15 / 16 + 1 / 16)  # unlike components agree in their four bits in one of 16 cases
+    least, most = (m * (x * 15 / 16 + 1 / 16) for x in (low, high))  # unlike components agree in their four bits in one of 16 cases
     once = "(x.root = x.top OR y.root = y.top OR x.node < y.node)"  # of two nodes outside the largest class, the pair from one side
     first = "array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.band + 1"
     same = f"x.band = y.band AND x.h = y.h AND x.root != y.root AND least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)"
-    cross = few.join(other, F.expr(f"{same} AND {once} AND {agreeing('x.brief', 'y.brief', m)} >= {least} AND {first}"))
+    cross = few.join(other, F.expr(f"{same} AND {once} AND {agreeing('x.brief', 'y.brief', m)} >= {least} AND {agreeing('x.brief', 'y.brief', m)} < {most} AND {first}"))
     return cross.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
 
 

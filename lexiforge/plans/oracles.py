@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexiforge.functions.text import DOCUMENT_TYPES
+from lexiforge.plans import language_sql
 
 TOKENS = r"""
 WITH b AS (SELECT doc_id, replace(coalesce(text, ''), chr(13), '') AS body FROM documents),
@@ -142,4 +143,4 @@ ORACLE_SQL = {
     "name_candidates_caseless": TOKENS + """, w AS (SELECT doc_id, token, count(*) AS c, min(tok_idx) AS a, max(tok_idx) AS b FROM tok GROUP BY ALL),
         x AS (SELECT *, sum(c) OVER (PARTITION BY doc_id) AS n, median(len(token)) OVER (PARTITION BY doc_id) AS med FROM w)
         SELECT doc_id, rk, token, c FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, a) AS rk FROM x WHERE c BETWEEN 2 AND 8 AND len(token) >= med AND (b - a) / n <= 0.2) WHERE rk <= 12""",
-}
+} | language_sql.ORACLE_SQL

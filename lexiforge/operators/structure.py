@@ -42,17 +42,27 @@ def best_splits(t: DataFrame, reverse: bool = False) -> DataFrame:
     return p.groupBy("doc_id", "w").agg(F.max("v").alias("v")).select("doc_id", "w", "v.stem", "v.suf")
 
 
-def signatures(t: DataFrame, reverse: bool = False, k: int = 8) -> DataFrame:
-    """M4, M5: sets of two or more endings that three or more stems share; a bare stem that is a word adds the empty ending."""
+def paradigms(t: DataFrame, reverse: bool = False) -> DataFrame:
+    """M4: doc_id, stem, e: the sorted endings of stems with two or more; a bare stem that is a word adds the empty ending."""
     best = best_splits(t, reverse)
     words = t.select("doc_id", (F.reverse("token") if reverse else F.col("token")).alias("stem")).distinct()
     stems = best.select("doc_id", "stem").distinct().join(words, ["doc_id", "stem"], "left_semi").withColumn("suf", F.lit(""))
-    ends = best.select("doc_id", "stem", "suf").unionByName(stems).groupBy("doc_id", "stem").agg(F.array_sort(F.collect_set("suf")).alias("e")).filter("size(e) >= 2")
-    sigs = ends.groupBy("doc_id", "e").agg(F.count("*").alias("stems")).filter("stems >= 3").withColumn("endings", F.array_join("e", "|"))
+    return best.select("doc_id", "stem", "suf").unionByName(stems).groupBy("doc_id", "stem").agg(F.array_sort(F.collect_set("suf")).alias("e")).filter("size(e) >= 2")
+
+
+def signatures(t: DataFrame, reverse: bool = False, k: int = 8) -> DataFrame:
+    """M5: sets of endings that three or more stems share."""
+    sigs = paradigms(t, reverse).groupBy("doc_id", "e").agg(F.count("*").alias("stems")).filter("stems >= 3").withColumn("endings", F.array_join("e", "|"))
     order = _by_doc().orderBy((-F.col("stems") * F.size("e")), "endings")
     return sigs.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k).select("doc_id", "rk", "endings", "stems")
 
 
+def paradigm_words(t: DataFrame, reverse: bool = False) -> DataFrame:
+    """M6: doc_id, token: the words of all paradigms."""
+    w = paradigms(t, reverse).select("doc_id", "stem", F.explode("e").alias("suf")).select("doc_id", F.concat("stem", "suf").alias("w"))
+    return w.select("doc_id", (F.reverse("w") if reverse else F.col("w")).alias("token")).distinct()
+
+
 def dispersion(t: DataFrame) -> DataFrame:
     """The share of ten chunks of a document that have the word; the rest after the tenth is left out."""
     t = t.withColumn("n", F.count("*").over(_by_doc())).withColumn("size", F.expr("greatest(1, n div 10)"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from lexiforge.functions.text import DOCUMENT_TYPES
-from lexiforge.plans import language_sql
 
 TOKENS = r"""
 WITH b AS (SELECT doc_id, replace(coalesce(text, ''), chr(13), '') AS body FROM documents),
@@ -64,7 +63,7 @@ def _scores(rev: bool) -> str:
         FROM pr GROUP BY doc_id, {affix}, suf) WHERE rk <= 12"""
 
 
-_NUM = r""", dbl AS (SELECT doc_id, substr(pr, 1, 1) AS sign, count(*) AS d FROM (SELECT doc_id, substr(token, CAST(i AS BIGINT), 2) AS pr FROM (SELECT doc_id, token, unnest(generate_series(1, len(token) - 1)) AS i FROM tok WHERE len(token) >= 2))
+NUMERALS = r""", dbl AS (SELECT doc_id, substr(pr, 1, 1) AS sign, count(*) AS d FROM (SELECT doc_id, substr(token, CAST(i AS BIGINT), 2) AS pr FROM (SELECT doc_id, token, unnest(generate_series(1, len(token) - 1)) AS i FROM tok WHERE len(token) >= 2))
         WHERE substr(pr, 1, 1) = substr(pr, 2, 1) GROUP BY ALL),
 nums AS (SELECT sc.doc_id, sc.sign, sc.c, CASE WHEN regexp_full_match(sc.sign, '\p{Nd}') THEN 'digit' ELSE 'tally' END AS kind FROM sc LEFT JOIN dbl USING (doc_id, sign)
          WHERE regexp_full_match(sc.sign, '\p{Nd}') OR sc.c >= 5 AND coalesce(d, 0) / sc.c >= 0.25 AND coalesce(d, 0) / sc.c > 5 * sc.c / total)
@@ -131,8 +130,8 @@ ORACLE_SQL = {
         y AS (SELECT doc_id, token, c, seen, base, 'first' AS side, f AS h FROM x WHERE c >= 5 UNION ALL SELECT doc_id, token, c, seen, base, 'last', l FROM x WHERE c >= 5),
         z AS (SELECT *, round(h / c / base, 1) AS r FROM y WHERE h / c / base >= 2.5)
         SELECT doc_id, side, rk, token, c, round(h / c, 2) AS share, r AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, side ORDER BY -round(r * ln(1 + c), 9), seen) AS rk FROM z) WHERE rk <= 8""",
-    "numeral_signs": TOKENS + _NUM + "SELECT * FROM nums",
-    "number_context": TOKENS + _NUM + """, nl AS (SELECT doc_id, list(sign) AS l FROM nums GROUP BY doc_id),
+    "numeral_signs": TOKENS + NUMERALS + "SELECT * FROM nums",
+    "number_context": TOKENS + NUMERALS + """, nl AS (SELECT doc_id, list(sign) AS l FROM nums GROUP BY doc_id),
         tn AS (SELECT tok.*, coalesce(len(list_filter(string_split(token, ''), lambda s: NOT list_contains(l, s))) = 0, false) AS num FROM tok LEFT JOIN nl USING (doc_id)),
         ctx AS (SELECT *, lead(num) OVER q AS nx, lag(num) OVER q AS pv FROM tn WINDOW q AS (PARTITION BY doc_id, unit_idx ORDER BY pos)),
         tt AS (SELECT doc_id, count(*) FILTER (num) AS nn, count(*) AS n FROM tn GROUP BY doc_id),
@@ -143,4 +142,4 @@ ORACLE_SQL = {
     "name_candidates_caseless": TOKENS + """, w AS (SELECT doc_id, token, count(*) AS c, min(tok_idx) AS a, max(tok_idx) AS b FROM tok GROUP BY ALL),
         x AS (SELECT *, sum(c) OVER (PARTITION BY doc_id) AS n, median(len(token)) OVER (PARTITION BY doc_id) AS med FROM w)
         SELECT doc_id, rk, token, c FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, a) AS rk FROM x WHERE c BETWEEN 2 AND 8 AND len(token) >= med AND (b - a) / n <= 0.2) WHERE rk <= 12""",
-} | language_sql.ORACLE_SQL
+}

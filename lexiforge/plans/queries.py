@@ -11,7 +11,6 @@ from lexiforge.functions import text as ft
 from lexiforge.operators import corpus as oc
 from lexiforge.operators import statistics as st
 from lexiforge.operators import structure as ms
-from lexiforge.plans import language_queries
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +71,4 @@ QUERIES = {
     "numeral_signs": _of(ms.numeral_signs),
     "number_context": _of(ms.number_context),
     "name_candidates_caseless": _of(ms.caseless_names),
-} | language_queries.QUERIES
+}

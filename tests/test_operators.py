@@ -8,7 +8,7 @@ from lexiforge.functions import text as ft
 from lexiforge.operators import corpus as oc
 from lexiforge.operators import statistics as st
 from lexiforge.operators import structure as ms
-from lexiforge.plans import oracles, queries
+from lexiforge.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,11 +68,11 @@ def test_redaction_counts_substitutions(spark):
     assert got[0] == ("api_key = <redacted>", 2) and got[1] == ("password: <redacted>", 1) and got[2] == ("nothing", 0)
 
 
-@pytest.mark.parametrize("name", ["word_statistics", "conditional_entropy", "affix_signatures", "positional_words", "redact_documents"])
+@pytest.mark.parametrize("name", ["word_statistics", "conditional_entropy", "affix_signatures", "positional_words", "redact_documents", "script_profile", "tier_routing", "keywords", "extractive_summary", "function_words", "gloss_test", "affix_test"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = con.execute(oracles.ORACLE_SQL[name])
+    want = con.execute(registry.ORACLE_SQL[name])
     cols = [d[0] for d in want.description]
-    got = queries.QUERIES[name](spark, SF).select(*cols).collect()
+    got = registry.QUERIES[name](spark, SF).select(*cols).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))

@@ -30,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.llm.common import trim
+
 REMEMBERED, LONGEST = 600_000, 64
 K1, B = 1.2, 0.75
 #: Words of a larger share of a shard's documents are stop words.
@@ -249,6 +251,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end
             held = 0
             for i in range(0, len(rows), 20_000):
                 yield pd.DataFrame(rows[i : i + 20_000], columns=names).astype({"key": dtype})
+            del flat, raw, rows, pieces
+            trim()
 
         for b in batches:
             dtype = b["key"].dtype

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.llm.common import trim
+
 FEATURES = (
     "log_bytes", "upper", "digit", "space", "newline", "non_ascii", "sentence_marks", "commas", "other_marks", "pipe",
     "exclamation", "distinct_words", "mean_word", "sd_word", "top_word", "repeated_lines", "upper_words", "stop_like", "one_byte_words",
@@ -122,6 +124,7 @@ def train(good: np.ndarray, bad: np.ndarray, pairs_per_row: int = 20, ridge: flo
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         yield pd.DataFrame({"good": b["good"], "x": [features(t) for t in b["content"]]})
+        trim()
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_labelled: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> BradleyTerry:
@@ -145,7 +148,9 @@ def score(docs: DataFrame, model: BradleyTerry, text_col: str = "text") -> DataF
     """docs with a further column bt_score; one narrow pass."""
 
     @F.pandas_udf("double")
-    def bt(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))))
+    def bt(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(model.score(np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))))
+            trim()
 
     return docs.withColumn("bt_score", bt(F.coalesce(F.col(text_col), F.lit(""))))

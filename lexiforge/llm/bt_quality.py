@@ -2,12 +2,14 @@
 
 A labelled good document is preferred to a labelled bad one. The weights of a linear score are learnt by
 logistic loss on the feature differences of such preference pairs; the decision threshold is the quantile of
-the training scores that leaves the labelled share of bad documents below it. Scores of new documents are
+all labelled documents' scores that leaves the labelled share of bad documents below it. Scores of new documents are
 the logistic of their distance from that threshold, so 0.5 is the threshold.
 
 Features are shares and ratios of the whole text alone (bytes of each kind, words, lines); labels, language,
-source and ids are no inputs. Training uses a bounded sample of the labelled rows (``max_labelled`` of each
-class, the smallest hashes of their ids); scoring reads every row once, without an exchange.
+source and ids are no inputs. The weights are learnt from a bounded sample of the labelled rows (``max_labelled`` of
+each class, the smallest hashes of their ids). Where that leaves rows out, a further pass finds the strengths of all labelled
+rows, the threshold is their exact quantile and the slope weights the sampled classes by their full counts. Scoring
+reads every row once, without an exchange.
 
 Defined results: null text counts as empty; the empty text has all features 0 and gets the score that the
 model gives those; ties and repeated rows score alike; with no pair to learn from (no labels of one class)
@@ -16,7 +18,7 @@ every score is 1.0 and nothing is rejected; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import trim
+from lexiforge.llm.common import materialise, trim
 
 FEATURES = (
     "log_bytes", "upper", "digit", "space", "newline", "non_ascii", "sentence_marks", "commas", "other_marks", "pipe",
@@ -106,21 +108,39 @@ def train(good: np.ndarray, bad: np.ndarray, pairs_per_row: int = 20, ridge: flo
         if np.abs(step).max() < 1e-6:
             break
     model.weights, model.pairs = w, n
-    s = np.concatenate([g @ w, b @ w])
-    is_good = np.arange(len(s)) < len(g)
-    ranked = np.sort(s)
+    ranked = np.sort(np.concatenate([g @ w, b @ w]))
     cut = len(b)  # the quantile of the share of bad rows: the middle of the gap between the ranks about it
     model.threshold = float((ranked[cut - 1] + ranked[cut]) / 2)
-    centred = s - model.threshold
-    slope = 1.0
-    for _ in range(60):  # a slope by logistic loss, the threshold held
-        p = 1 / (1 + np.exp(np.clip(-slope * centred, -60, 60)))
-        grad, curve = ((is_good - p) * centred).mean() - 1e-4 * slope, (p * (1 - p) * centred**2).mean() + 1e-4
-        slope = float(np.clip(slope + grad / curve, 0.05, 50))
-    model.slope = slope
+    model.slope = slope(g @ w - model.threshold, b @ w - model.threshold)
     return model
 
 
+def slope(good: np.ndarray, bad: np.ndarray, n_good: int = 0, n_bad: int = 0) -> float:
+    """By logistic loss on strengths less the threshold; the rows stand for n_good and n_bad rows (0: for themselves)."""
+    centred, is_good = np.concatenate([good, bad]), np.arange(len(good) + len(bad)) < len(good)
+    weight = np.where(is_good, (n_good or len(good)) / len(good), (n_bad or len(bad)) / len(bad))
+    weight /= weight.mean()
+    out = 1.0
+    for _ in range(60):
+        p = 1 / (1 + np.exp(np.clip(-out * centred, -60, 60)))
+        grad, curve = (weight * (is_good - p) * centred).mean() - 1e-4 * out, (weight * p * (1 - p) * centred**2).mean() + 1e-4
+        out = float(np.clip(out + grad / curve, 0.05, 50))
+    return out
+
+
+def order_statistic(rows: DataFrame, column: str, rank: int) -> float:
+    """The value of the given rank (from 0): counts in 4096 ranges, of which the one with the rank is divided in turn."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    while low < high:
+        part = F.least(F.floor((F.col(column) - low) / ((high - low) / 4096)), F.lit(4095))
+        for r in rows.filter(F.col(column).between(low, high)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).orderBy("part").collect():
+            if rank < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            rank -= r["n"]
+    return low
+
+
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         yield pd.DataFrame({"good": b["good"], "x": [features(t) for t in b["content"]]})
@@ -130,7 +150,8 @@ def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_labelled: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> BradleyTerry:
     """Learn from labelled documents for which ``learn`` holds (a condition on the labels' id column ``key``).
 
-    At most max_labelled rows of each class are used, so what is broadcast and collected has that bound.
+    At most max_labelled rows of each class give the weights, so what is broadcast and collected has that bound; all
+    labelled rows give the threshold.
     Where a document has several labels, it counts as good if any label is 1.
     """
     marked = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("good")).filter("key IS NOT NULL AND good IN (0, 1)")
@@ -141,16 +162,38 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_lab
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("content")).join(F.broadcast(sample), "key")
     found = rows.select("good", "content").mapInPandas(_vectors, "good int, x array<double>").orderBy("x").limit(2 * max_labelled).collect()
     x = [np.array([r["x"] for r in found if r["good"] == v]).reshape(-1, len(FEATURES)) for v in (0, 1)]
-    return train(x[1], x[0])
+    model = train(x[1], x[0])
+    if model.pairs and marked.groupBy("good").count().filter(F.col("count") > max_labelled).count():
+        _to_all_labelled(model, docs, marked, x[1], x[0], id_col, text_col)
+    return model
 
 
-def score(docs: DataFrame, model: BradleyTerry, text_col: str = "text") -> DataFrame:
-    """docs with a further column bt_score; one narrow pass."""
+def _to_all_labelled(model: BradleyTerry, docs: DataFrame, marked: DataFrame, good: np.ndarray, bad: np.ndarray, id_col: str, text_col: str) -> None:
+    """Set the threshold and slope to those of all rows of marked (key, good); good, bad: the sample's vectors."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("key"), _each(model.strength)(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
+    rows = materialise(spark, rows.join(marked, "key").select("good", "s"), "labelled-strengths")
+    counts = {r["good"]: r["count"] for r in rows.groupBy("good").count().collect()}
+    cut = counts[0]
+    below = order_statistic(rows, "s", cut - 1)
+    upto, above = rows.agg(F.count_if(F.col("s") <= below), F.min(F.when(F.col("s") > below, F.col("s")))).first()
+    model.threshold = float((below + (below if upto > cut else above)) / 2)
+    model.slope = slope(model.strength(good) - model.threshold, model.strength(bad) - model.threshold, counts[1], counts[0])
+
+
+def _each(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
+    """f of the feature vectors of texts as a column."""
 
     @F.pandas_udf("double")
-    def bt(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(model.score(np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))))
+            yield pd.Series(f(np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))))
             trim()
 
-    return docs.withColumn("bt_score", bt(F.coalesce(F.col(text_col), F.lit(""))))
+    return of
+
+
+def score(docs: DataFrame, model: BradleyTerry, text_col: str = "text") -> DataFrame:
+    """docs with a further column bt_score; one narrow pass."""
+
+    return docs.withColumn("bt_score", _each(model.score)(F.coalesce(F.col(text_col), F.lit(""))))

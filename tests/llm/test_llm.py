@@ -239,6 +239,16 @@ def test_quality_ranks_held_out(spark):
     assert got and all((s >= 0.5) == (i % 3 > 0) for i, s in got.items())
 
 
+def test_quality_threshold_is_that_of_all_labelled_rows(spark):
+    docs = [(i, prose(40 + i % 9, i) + ("! " * (i % 5) if i % 10 else "! " * (i % 7))) for i in range(600)]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 10 > 0)) for i, _ in docs], "doc_id long, quality int")
+    for most in (40, 8000):  # the classes are sampled 40 to 40, or whole
+        scores = [r["bt_score"] for r in bt_quality.score(d, bt_quality.fit(d, lab, max_labelled=most)).collect()]
+        assert abs(sum(s < 0.5 for s in scores) - 60) <= 2
+    s = spark.createDataFrame([(float(v),) for v in [5, 5, 5, 1, -3, 1e9, 2, 2]], "s double")
+    assert [bt_quality.order_statistic(s, "s", k) for k in range(8)] == [-3, 1, 2, 2, 5, 5, 5, 1e9]
+
+
 def test_language_model_counts_and_normalises(spark):
     docs = [(i, f"the {WORDS[i % 40]} of {WORDS[i % 7]}  The\n{WORDS[(3 * i) % 50]}") for i in range(200)]
     got = {r["doc_id"]: r for r in pitman_yor.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), crc_fold("doc_id", 5) == 1, block_bytes=1500).collect()}

@@ -1,14 +1,15 @@
 """Near-duplicates by ProbMinHash signatures, banding and exact verification.
 
-A document is its shingles of five words (lower-cased, cut at white space; a shorter text is one shingle), weighted by 1 + ln of
-their count. Each shingle is a Poisson process of arrivals with its weight as rate; an arrival falls into
+A document is the set of its shingles of five words (lower-cased, cut at white space; a shorter text is one shingle), of equal
+weight, as links are pairs of sets. Each shingle is a Poisson process of arrivals with its weight as rate; an arrival falls into
 one of the signature's components at random, and a component keeps the shingle that arrives first. A shingle
 is left as soon as its next arrival is later than the latest first arrival of all components. Two documents
-agree in a component with the probability Jaccard similarity of their weighted shingles.
+agree in a component with the probability Jaccard similarity of their shingles, which is that of the sets.
 
 Bands of signature components make buckets. Equal texts are one node beforehand. In each bucket nodes are
 held against the node that shares most buckets with others; what is not yet connected is then held
-against the bucket's other members of which the signatures' estimate is not more than a tenth below the threshold; links are pairs with an exact Jaccard similarity of the
+against all other members of the bucket, those of the highest signature estimate first; only pairs that cannot reach the
+threshold by their sizes or marked shingles (``possible``) are skipped. Links are pairs with an exact Jaccard similarity of the
 shingle sets of at least the threshold. Classes are the connected components of the links.
 
 Defined results: null counts as empty; all texts without a word are equal; repeated rows are copies; a class
@@ -96,11 +97,6 @@ def signature(elements: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
     return who
 
 
-def weighted(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    elements, counts = np.unique(shingles, return_counts=True)
-    return elements, 1 + np.log(counts)
-
-
 def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     h = np.arange(bands, dtype=U)
     for j in range(rows):
@@ -129,8 +125,28 @@ def agreeing(a: str, b: str, m: int) -> str:
     return f"({m} - (" + " + ".join(one.format(x=f"({a}[{i}] ^ {b}[{i}])") for i in range(words)) + "))"
 
 
+#: Bits of a document's marks.
+MARKS = 1024
+
+
+def marks(elements: np.ndarray) -> np.ndarray:
+    """A bit set for each element's hash, in 64-bit integers."""
+    bits = np.zeros(MARKS, np.uint8)
+    bits[elements % U(MARKS)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def possible(a: str, b: str, threshold: float) -> str:
+    """SQL that is false only if the sets a, b (n, marks) cannot have the threshold's similarity.
+
+    Each bit that a alone has stands for an element at least that is not in b, so the common elements are no more than a's others.
+    """
+    only = [" + ".join(f"bit_count({x}.marks[{i}] & ~{y}.marks[{i}])" for i in range(MARKS // 64)) for x, y in ((a, b), (b, a))]
+    return f"{1 + threshold} * least({a}.n - ({only[0]}), {b}.n - ({only[1]})) >= {threshold} * ({a}.n + {b}.n) - 1e-6"
+
+
 def sketch(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_hash, node (a digest of the words), n (distinct shingles), bands, brief, packed (the words, compressed); a narrow pass."""
+    """id, text_hash, node (a digest of the words), n (distinct shingles), bands, brief, marks, packed (the words, compressed); a narrow pass."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,18 +156,19 @@ def sketch(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int = ROWS
             for t in b["content"]:
                 words = t.lower().split()
                 raw = " ".join(words).encode("utf-8", "surrogatepass")
-                elements, weights = weighted(shingler(words))
+                elements = np.unique(shingler(words))
                 out["node"].append(hashlib.blake2b(raw, digest_size=16).digest())
                 out["n"].append(len(elements))
-                sig = signature(elements, weights, bands * rows)
+                sig = signature(elements, np.ones(len(elements)), bands * rows)
                 out["bands"].append(band_hashes(sig, bands, rows) if len(elements) else np.zeros(0, np.int64))
                 out["brief"].append(brief(sig))
+                out["marks"].append(marks(elements))
                 out["packed"].append(squeeze.compress(raw))
             yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], **out})
             trim()
 
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("content")).withColumn("text_hash", F.xxhash64("content"))
-    return keyed.mapInPandas(run, f"id {kind}, text_hash long, node binary, n int, bands array<long>, brief array<long>, packed binary")
+    return keyed.mapInPandas(run, f"id {kind}, text_hash long, node binary, n int, bands array<long>, brief array<long>, marks array<long>, packed binary")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -218,7 +235,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
 def _near_duplicates(docs: DataFrame, threshold: float, width: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     sk = materialise(spark, sketch(docs, width, bands, rows, id_col, text_col), "sketches")
-    nodes = materialise(spark, sk.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("brief").alias("brief")), "nodes")
+    nodes = materialise(spark, sk.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("brief").alias("brief"), F.first("marks").alias("marks")), "nodes")
     spread = nodes.select("node", "n", F.posexplode("bands").alias("band", "h"))
     crowded = spread.groupBy("band", "h").agg(F.count("*").alias("k")).filter("k > 1")
     member = materialise(spark, spread.join(crowded, ["band", "h"]), "buckets")
@@ -240,7 +257,7 @@ def _near_duplicates(docs: DataFrame, threshold: float, width: int, bands: int,
 
     # then, in buckets that still hold several classes, all members outside the largest class against the others, the
     # pairs of the highest estimates first: classes grow together, and what is then of one class needs no comparison
-    for low, high in ((threshold, 2.0), (threshold - 0.05, threshold), (threshold - 0.1, threshold - 0.05)):
+    for low, high in ((threshold, 2.0), (threshold - 0.1, threshold), (-1.0, threshold - 0.1)):
         cross = _across(member, nodes, root, threshold, low, high, bands * rows)
         links = materialise(spark, links.unionByName(similar(cross, texts, threshold, width)), "links")
         root = components(links)
@@ -265,12 +282,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def _across(member: DataFrame, nodes: DataFrame, root: DataFrame, threshold: float, low: float, high: float, m: int) -> DataFrame:
     """a, b of different classes that share a bucket and whose estimated similarity is at least low and below high.
 
-    A tenth below the threshold is 2.7 standard errors of the estimate; each pair comes once, from its first bucket.
+    Pairs that are not ``possible`` are left out; each other pair comes once, from its first bucket.
     """
     placed = member.select("band", "h", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_class = placed.groupBy("band", "h", "root").agg(F.count("*").alias("c"))
     split = by_class.groupBy("band", "h").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("classes")).filter("classes > 1").select("band", "h", F.col("top.root").alias("top"))
-    placed = placed.join(split, ["band", "h"]).join(nodes.select("node", "n", "bands", "brief"), "node")
+    placed = placed.join(split, ["band", "h"]).join(nodes.select("node", "n", "bands", "brief", "marks"), "node")
     placed = materialise(member.sparkSession, placed, "split-buckets")
     few = placed.filter("root != top").alias("x")
     other = placed.alias("y")
@@ -278,7 +295,7 @@ def _across(member: DataFrame, nodes: DataFrame, root: DataFrame, threshold: flo
     once = "(x.root = x.top OR y.root = y.top OR x.node < y.node)"  # of two nodes outside the largest class, the pair from one side
     first = "array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.band + 1"
     same = f"x.band = y.band AND x.h = y.h AND x.root != y.root AND least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)"
-    cross = few.join(other, F.expr(f"{same} AND {once} AND {agreeing('x.brief', 'y.brief', m)} >= {least} AND {agreeing('x.brief', 'y.brief', m)} < {most} AND {first}"))
+    cross = few.join(other, F.expr(f"{same} AND {once} AND {agreeing('x.brief', 'y.brief', m)} >= {least} AND {agreeing('x.brief', 'y.brief', m)} < {most} AND {first} AND {possible('x', 'y', threshold)}"))
     return cross.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
 
 

@@ -205,6 +205,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted({find(i) for i in range(len(docs))})
 
 
+def test_near_duplicates_with_repeats_and_low_estimates(spark):
+    docs = []
+    for g in range(30):
+        base = [f"w{g}x{i}" for i in range(200)]
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base + base[140:] * 20))]  # set similarity 0.98
+    got = {x["doc_id"]: x["class_id"] for x in prob_minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}
+
+    member = spark.createDataFrame([(0, 1, "a"), (0, 1, "b"), (0, 1, "c")], "band int, h long, node string")
+    same, other = prob_minhash.marks(np.arange(50, dtype=np.uint64)).tolist(), prob_minhash.marks(np.arange(25, 75, dtype=np.uint64)).tolist()
+    nodes = spark.createDataFrame([("a", 50, [1], [0] * 8, same), ("b", 50, [1], [-1] * 8, same), ("c", 50, [1], [-1] * 8, other)], "node string, n int, bands array<long>, brief array<long>, marks array<long>")
+    root = spark.createDataFrame([("a", "a"), ("b", "b"), ("c", "c")], "node string, root string")
+    # no component of the signatures agrees, and yet the pair is compared; only a pair that cannot be similar is not
+    assert [tuple(x) for x in prob_minhash._across(member, nodes, root, 0.8, -1.0, 0.7, 125).collect()] == [("a", "b")]
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     est = []

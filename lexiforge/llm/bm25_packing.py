@@ -1,8 +1,8 @@
 """Packing by lexical retrieval: windows of a seed document and its nearest unused neighbours.
 
 Documents are tokenised where they are read. A shard is up to ``shard_tokens`` tokens of one input partition;
-each shard gets an inverted index of its whole texts (words; BM25 weights; words of more than a tenth of a
-shard's documents are stop words). The next unused document seeds a window; its best unused
+each shard gets an inverted index of its whole texts (words; BM25 weights, which are positive for every word; the
+weights of words of many documents are kept as whole rows). The next unused document seeds a window; its best unused
 neighbours by BM25 follow, then unused documents in order, until the window is full. The document that crosses the end
 is cut there and its rest seeds the next window, so only a shard's last window is short. Every document is in
 one shard's index and every shard is searched with all words of its seeds; nothing is shuffled, and a lost
@@ -34,8 +34,8 @@ from lexiforge.llm.common import trim
 
 REMEMBERED, LONGEST = 600_000, 64
 K1, B = 1.2, 0.75
-#: Words of a larger share of a shard's documents are stop words.
-COMMON = 0.1
+#: The weights of words of a larger share of a shard's documents are kept as rows of all documents; results do not depend on it.
+COMMON = 0.25
 #: Fixed value: the vocabulary's own pre-tokeniser pattern.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -140,10 +140,15 @@ class InvertedIndex:
         term, doc = pairs // max(n, 1), pairs % max(n, 1)
         change = np.diff(term, prepend=-1) != 0
         df = np.bincount(np.cumsum(change) - 1) if len(term) else np.zeros(0, np.int64)
-        idf = np.where((df > 1) & (df <= common * n), np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5))), 0.0)  # a word of one document finds no neighbour
-        keep = np.repeat(idf > 0, df)
-        doc, tf = doc[keep], tf[keep]
-        weight = np.repeat(idf, df)[keep] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(sizes.mean(), 1e-9))) if n else np.zeros(0)
+        idf = np.where(df > 1, np.log1p((n - df + 0.5) / (df + 0.5)), 0.0)  # a word of one document finds no neighbour
+        weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(sizes.mean(), 1e-9))) if n else np.zeros(0)
+        wide = (df > 1) & (df > common * n)
+        row = np.repeat(np.where(wide, np.cumsum(wide) - 1, -1), df)
+        self.rows, self.column = np.zeros((int(wide.sum()), n), np.float32), np.arange(n)
+        self.rows[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
+        self.wide = np.ascontiguousarray(self.rows.T > 0)
+        keep = np.repeat((idf > 0) & ~wide, df)
+        doc, weight = doc[keep], weight[keep]
         self.doc, self.weight = doc.astype(np.int32), weight.astype(np.float32)
         term = np.cumsum(change[keep]) - 1  # words that are left, numbered anew
         self.begin = np.searchsorted(term, np.arange(int(term[-1]) + 2 if len(term) else 1))
@@ -158,19 +163,22 @@ class InvertedIndex:
             keep = unused[self.doc]
             self.doc, self.weight, self.term_of = self.doc[keep], self.weight[keep], self.term_of[keep]
             self.begin, self.alive = np.searchsorted(self.term_of, np.arange(len(self.begin))), alive
+            self.rows, self.column = self.rows[:, unused[self.column]], self.column[unused[self.column]]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents that share a weighted word with the seed, best first; of equal scores the first document."""
         words = self.terms[self.term_begin[seed] : self.term_begin[seed + 1]]
         lo, hi = self.begin[words], self.begin[words + 1]
         size = hi - lo
-        if not size.sum():
+        rows = np.flatnonzero(self.wide[seed])
+        if not size.sum() and not len(rows):
             return
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        score = np.bincount(self.doc[at], self.weight[at], minlength=self.n)
+        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        score = np.bincount(self.doc[at], self.weight[at], minlength=self.n).astype(np.float64)  # whole numbers if nothing is counted
+        score[self.column] += self.rows[rows].sum(axis=0, dtype=np.float64)
         score[~unused] = 0
         done = 0
-        for top in (32, self.n):
+        for top in (32, 256, self.n):
             found = np.flatnonzero(score)
             if len(found) > top:
                 edge = np.partition(score[found], len(found) - top)[len(found) - top]

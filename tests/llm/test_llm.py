@@ -96,6 +96,24 @@ def test_index_returns_bm25_order():
     assert list(index.neighbours(0, np.array([False, True, True, True, True])))[0] == 3
 
 
+def test_index_keeps_words_of_many_documents():
+    r = random.Random(4)
+    for n in (9, 60):  # few documents; and a third of them of one source
+        docs = [[r.randrange(8) for _ in range(r.randint(3, 12))] + ([100 + r.randrange(12) for _ in range(9)] if d % 3 == 0 else [200 + r.randrange(40) for _ in range(9)]) for d in range(n)]
+        df, mean = {w: sum(w in d for d in docs) for w in {w for d in docs for w in d}}, sum(map(len, docs)) / n
+        index, unused = bm25_packing.InvertedIndex([np.array(d) for d in docs]), np.ones(n, bool)
+        for seed in range(0, n, 4):
+            unused[seed] = False
+            index.forget(unused)
+            score = {d: sum(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * docs[d].count(w) * 2.2 / (docs[d].count(w) + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean)) for w in set(docs[seed]) if df[w] > 1) for d in np.flatnonzero(unused)}
+            got = list(index.neighbours(seed, unused))
+            assert sorted(got) == [d for d in score if score[d] > 0] and len(got)
+            assert all(score[a] >= score[b] - 1e-5 for a, b in zip(got, got[1:], strict=False))
+    words = [np.array([1, 2, 3, 4]) if d % 2 else np.array([5, 6, 7, 8]) for d in range(8)]
+    first = [d for d, _, _, q, _ in bm25_packing.pack(np.full(8, 5), words, 20) if q == 0]
+    assert first == [0, 2, 4, 6]
+
+
 def test_viterbi_equals_brute_force():
     pieces = [("<unk>", 0.0, 2)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)] + [(p, s, 1) for p, s in (("a", -3.0), ("b", -3.5), ("ab", -4.0), ("ba", -4.5), ("aba", -7.0), ("▁", -2.0), ("▁a", -4.2), ("▁ab", -5.5))]
     m = unigram_codec.UnigramModel(pieces)

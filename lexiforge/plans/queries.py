@@ -43,9 +43,15 @@ def doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structure_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one shuffle, as its SQL has it."""
     return st.structure(tokens(spark, sf_dir), [0])
 
 
+def structure_verdict_five_shuffles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole control: averages over five shuffles."""
+    return st.structure(tokens(spark, sf_dir), [0, 1, 2, 3, 4])
+
+
 QUERIES = {
     "units": units,
     "tokens": lambda s, d: tokens(s, d).select("doc_id", "unit_idx", "pos", "unit_len", "tok_idx", "token"),
@@ -59,6 +65,7 @@ QUERIES = {
     "top_bigrams": lambda s, d: st.top(st.ngrams(tokens(s, d), 2), "gram", "at", 15),
     "top_trigrams": lambda s, d: st.top(st.ngrams(tokens(s, d), 3), "gram", "at", 15),
     "structure_verdict": structure_verdict,
+    "structure_verdict_five_shuffles": structure_verdict_five_shuffles,
     "redact_documents": redact_documents,
     "condition_notes": condition_notes,
     "doc_type": doc_type,

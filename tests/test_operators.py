@@ -54,6 +54,16 @@ def test_shuffled_keeps_signs_and_lengths(spark):
         assert [len(w) for w in words] == [3, 2, 4, 2, 3] and sorted("".join(words)) == sorted("abcdefghijklmn")
 
 
+def test_verdict_averages_five_shuffles(spark):
+    t = oc.tokens(oc.corpus(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(5))).cache()
+    types = {}
+    for r in st.shuffled(t, [0, 1, 2, 3, 4]).groupBy("doc_id", "seed").agg(F.count_distinct("token").alias("n")).collect():
+        types.setdefault(r["doc_id"], []).append(r["n"])
+    ids = list(types)
+    got = registry.QUERIES["structure_verdict_five_shuffles"](spark, SF).filter(F.col("doc_id").isin(ids)).collect()
+    assert len(got) == len(ids) and all(abs(r["types_shuffled"] - sum(types[r["doc_id"]]) / 5) < 0.006 and len(types[r["doc_id"]]) == 5 for r in got)
+
+
 def test_numerals_and_labels(spark):
     t = oc.tokens(oc.corpus(made(spark, "\n".join(["foo ||| bar"] * 2 + ["baz tor bar qux"] * 9 + ["7 zap"]))))
     kinds = {(r["sign"], r["kind"]) for r in ms.numeral_signs(t).collect()}

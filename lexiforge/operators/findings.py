@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lexiforge.operators.staging import staged
 from lexiforge.operators.statistics import shuffled
-from lexiforge.operators.structure import affix_scores, paradigm_words, with_numbers
+from lexiforge.operators.structure import affix_scores, caseless_names, paradigm_words, signatures, with_numbers
 
 CONTROL_SEED = 3
 
@@ -27,11 +27,11 @@ def strength(t: DataFrame, name: str, reverse: bool = False) -> DataFrame:
     return affix_scores(t, reverse, 10).groupBy("doc_id").agg(F.sum("score").alias(name))
 
 
-def affix_control(t: DataFrame, separators: DataFrame) -> DataFrame:
-    """doc_id, suffix, prefix, control_suffix, control_prefix, significant, side of documents (doc_id, separator).
+def control(t: DataFrame, separators: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M8: the documents' types (doc_id, types), their words and the words of the control.
 
-    Documents without word boundaries or with fewer than 20 word types have no row. The control has as many nonsense
-    words, taken in md5 order from those of the shuffled document. Side is null where neither kind is significant.
+    Documents without word boundaries or with fewer than 20 word types are left out. The control has as many nonsense
+    words, taken in md5 order from those of the shuffled document.
     """
     w = staged(words_only(t).select("doc_id", "tok_idx", "token"))
     types = w.groupBy("doc_id").agg(F.count_distinct("token").alias("types")).filter("types >= 20")
@@ -40,7 +40,15 @@ def affix_control(t: DataFrame, separators: DataFrame) -> DataFrame:
     pool = shuffled(w, [CONTROL_SEED]).select("doc_id", "token").distinct().join(types, "doc_id")
     order = _by_doc().orderBy(F.md5(F.concat_ws(":", F.lit(CONTROL_SEED), "doc_id", "token")), "token")
     pool = pool.withColumn("rk", F.row_number().over(order)).filter("rk <= types").select("doc_id", "token")
-    pool = staged(pool)
+    return types, w, staged(pool)
+
+
+def affix_control(t: DataFrame, separators: DataFrame) -> DataFrame:
+    """doc_id, suffix, prefix, control_suffix, control_prefix, significant, side of documents (doc_id, separator).
+
+    Documents that ``control`` leaves out have no row. Side is null where neither kind is significant.
+    """
+    types, w, pool = control(t, separators)
     out = types.select("doc_id")
     for source, name, reverse in ((w, "suffix", False), (w, "prefix", True), (pool, "control_suffix", False), (pool, "control_prefix", True)):
         out = out.join(strength(source, name, reverse), "doc_id", "left")
@@ -56,6 +64,21 @@ def inflected_words(t: DataFrame, separators: DataFrame) -> DataFrame:
     return paradigm_words(words_only(t).join(real, "doc_id", "left_semi"))
 
 
+def uninflected_names(t: DataFrame, separators: DataFrame) -> DataFrame:
+    """Caseless name candidates that are no words of a suffix paradigm."""
+    return caseless_names(t, inflected_words(t, separators))
+
+
+def controlled_signatures(t: DataFrame, separators: DataFrame) -> DataFrame:
+    """The suffix signatures with twice the stems of the control's best (of two at least), of documents whose affixes are significant."""
+    _, w, pool = control(t, separators)
+    best = signatures(pool).groupBy("doc_id").agg(F.max("stems").alias("best"))
+    real = staged(affix_control(t, separators).filter("significant").select("doc_id"))
+    found = signatures(w).join(real, "doc_id", "left_semi").join(best, "doc_id", "left")
+    found = found.filter(F.col("stems") >= 2 * F.greatest(F.coalesce("best", F.lit(2)), F.lit(2))).drop("best")
+    return found.withColumn("rk", F.row_number().over(_by_doc().orderBy("rk"))).select("doc_id", "rk", "endings", "stems")
+
+
 def function_words(t: DataFrame, separators: DataFrame) -> DataFrame:
     """doc_id, rk, token, c: of the 40 most frequent words those that are frequent, short, spread and uninflected; the first 10."""
     t = with_numbers(t).withColumn("n", F.count("*").over(_by_doc()))

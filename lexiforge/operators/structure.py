@@ -115,10 +115,12 @@ def number_context(t: DataFrame) -> DataFrame:
     return sides.withColumn("rk", F.row_number().over(order)).filter("rk <= 8").select("doc_id", "rk", "token", "x.side", "x.c", F.round("lift", 1).alias("lift"))
 
 
-def caseless_names(t: DataFrame) -> DataFrame:
-    """M18 without the paradigm test: words of two to eight uses, not short, within a fifth of the text; the first 12."""
+def caseless_names(t: DataFrame, inflected: DataFrame | None = None) -> DataFrame:
+    """Words of two to eight uses, not short, within a fifth of the text and none of inflected (doc_id, token); the first 12."""
     w = t.groupBy("doc_id", "token").agg(F.count("*").alias("c"), F.min("tok_idx").alias("a"), F.max("tok_idx").alias("b"))
     w = w.withColumn("n", F.sum("c").over(_by_doc()))
     med = w.groupBy("doc_id").agg(F.percentile(F.char_length("token"), F.lit(0.5)).alias("med"))
     w = w.join(med, "doc_id").filter("c BETWEEN 2 AND 8 AND char_length(token) >= med AND (b - a) / n <= 0.2")
+    if inflected is not None:
+        w = w.join(inflected, ["doc_id", "token"], "left_anti")
     return w.withColumn("rk", F.row_number().over(_by_doc().orderBy(F.desc("c"), "a"))).filter("rk <= 12").select("doc_id", "rk", "token", "c")

@@ -36,6 +36,16 @@ def name_candidates_cased(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fi.cased_names(c, t)
 
 
+def name_candidates_uninflected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, t = analysed(spark, sf_dir)
+    return fi.uninflected_names(t, c)
+
+
+def affix_signatures_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, t = analysed(spark, sf_dir)
+    return fi.controlled_signatures(t, c)
+
+
 def sign_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trigrams of signs inside words, with two boundaries before and one after."""
     padded = F.concat(F.lit("##"), "token", F.lit("#"))
@@ -43,4 +53,4 @@ def sign_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysed(spark, sf_dir)[1].select("doc_id", F.explode(grams).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("c"))
 
 
-QUERIES = {f.__name__: f for f in (affix_control, function_words, word_order_hint, name_candidates_cased, sign_trigrams)}
+QUERIES = {f.__name__: f for f in (affix_control, function_words, word_order_hint, name_candidates_cased, name_candidates_uninflected, affix_signatures_controlled, sign_trigrams)}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import text as ft
 from lexiforge.operators import corpus as oc
+from lexiforge.operators import findings as fi
 from lexiforge.operators import statistics as st
 from lexiforge.operators import structure as ms
 from lexiforge.plans import registry
@@ -64,6 +65,21 @@ def test_verdict_averages_five_shuffles(spark):
     assert len(got) == len(ids) and all(abs(r["types_shuffled"] - sum(types[r["doc_id"]]) / 5) < 0.006 and len(types[r["doc_id"]]) == 5 for r in got)
 
 
+def test_names_are_uninflected_and_signatures_beat_the_control(spark):
+    stems = ["kalor", "mitan", "posek", "rudil", "tevan", "galut", "hinor", "safel", "borik", "dumas"]
+    words = [s + e for s in stems for e in ("", "um", "is", "ax")]
+    fill = ["zq", "xw", "jy", "vq", "wk", "qh"]
+    text = " ".join(words[:20] + words[:20] + ["oprthewd", "oprthewd"] + words[20:] + fill * 40)
+    docs = spark.createDataFrame([(1, text), (2, " ".join(fill * 9))], "doc_id long, text string")
+    c = oc.corpus(docs)
+    t = oc.tokens(c).cache()
+    names = {r["token"] for r in fi.uninflected_names(t, c).collect() if r["doc_id"] == 1}
+    assert "oprthewd" in names and not names & set(words) and {r["token"] for r in ms.caseless_names(t).collect()} & set(words)
+    real = {(r["doc_id"], r["endings"]): r["stems"] for r in fi.controlled_signatures(t, c).collect()}
+    best = max([r["stems"] for r in ms.signatures(fi.control(t, c)[2]).collect()] + [2])
+    assert real == {(r["doc_id"], r["endings"]): r["stems"] for r in ms.signatures(fi.words_only(t)).collect() if r["doc_id"] == 1 and r["stems"] >= 2 * best} and real
+
+
 def test_numerals_and_labels(spark):
     t = oc.tokens(oc.corpus(made(spark, "\n".join(["foo ||| bar"] * 2 + ["baz tor bar qux"] * 9 + ["7 zap"]))))
     kinds = {(r["sign"], r["kind"]) for r in ms.numeral_signs(t).collect()}

@@ -1,12 +1,14 @@
 """Packing by lexical retrieval: windows of a seed document and its nearest unused neighbours.
 
-Documents are tokenised where they are read. A shard is up to ``shard_tokens`` tokens of one input partition;
-each shard gets an inverted index of its whole texts (words; BM25 weights, which are positive for every word; the
-weights of words of many documents are kept as whole rows). The next unused document seeds a window; its best unused
-neighbours by BM25 follow, then unused documents in order, until the window is full. The document that crosses the end
-is cut there and its rest seeds the next window, so only a shard's last window is short. Every document is in
-one shard's index and every shard is searched with all words of its seeds; nothing is shuffled, and a lost
-task is repeated from its input alone.
+The index is sharded by content: a document's route is the least hash of its words of six bytes or more, so documents
+that share words meet, wherever in the input they stand, with a probability of the similarity of their word sets.
+One exchange deals documents by route (a rebalancing one, so that Spark splits the partition of a hot route), a partition is
+sorted by route, and each ``shard_bytes`` of text in that order make a shard with an inverted index of its whole
+texts (words; BM25 weights, which are positive for every word; the weights of words of many documents are kept as whole
+rows). The next unused document seeds a window; its best unused neighbours by BM25 follow, then unused documents in
+order of route, until the window is full. The document that crosses the end is cut there and its rest seeds the
+next window, so only a shard's last window is short. The order inside a partition is total, so a task that
+is repeated after a loss packs alike.
 
 Tokenising works on runs of text between spaces and line feeds, remembered by each worker: the vocabulary's normaliser and
 pre-tokeniser split at white space, so the ids of a text are the ids of its parts.
@@ -30,9 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import trim
+from lexiforge.llm.common import from_worker, to_worker, trim
 
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 250_000, 64
+#: Words that a chunk of a shard has when its ids are written out.
+CHUNK = 1 << 16
+MARKS = frozenset(".,;:!?")
 K1, B = 1.2, 0.75
 #: The weights of words of a larger share of a shard's documents are kept as rows of all documents; results do not depend on it.
 COMMON = 0.25
@@ -85,39 +90,46 @@ class Vocabulary:
     def clear(self) -> None:
         self.number: defaultdict[str, int] = defaultdict()
         self.number.default_factory = self.number.__len__
-        self.ids, self.size, self.parts = np.zeros(0, "<u4"), np.zeros(0, np.int64), {}
+        self.ids, self.size, self.first, self.parts = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), {}
+        self.held = 0  # characters of words
+
+    def _part(self, p: str) -> list[int]:
+        x = self.parts.get(p)
+        if x is None:
+            x = self.piece(p.encode() + b"\xff")
+            if len(p) <= LONGEST:
+                self.parts[p] = x
+        return x
 
     def learn(self) -> None:
         """Find the ids of the words that were numbered since the last call."""
-        parts, piece, new = self.parts, self.piece, []
+        new = []
         for w in islice(self.number, len(self.size), None):
-            if w < "ɐ" and (w.isascii() or max(w) < "ɐ") and "<|" not in w:
+            bare = w[:-1] if w[-1] in MARKS else w
+            if bare.isalpha() and bare.isascii():  # one part, or two with a mark behind it
+                ids = self._part(bare.lower())
+                if bare is not w:
+                    ids = ids + self._part(w[-1])
+            elif w < "ɐ" and (w.isascii() or max(w) < "ɐ") and "<|" not in w:
                 ids: list[int] = []
                 for p in PARTS.findall(w.lower()):
-                    x = parts.get(p)
-                    if x is None:
-                        x = piece(p.encode() + b"\xff")
-                        if len(p) <= LONGEST:
-                            parts[p] = x
-                    ids += x
+                    ids += self._part(p)
             else:
                 ids = self._whole(w)
             new.append(ids)
+            self.held += len(w)
         self.size = np.concatenate([self.size, np.fromiter(map(len, new), np.int64, len(new))])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), "<u4")])
-        if len(parts) > REMEMBERED:
-            parts.clear()
-
-    def texts(self, words: np.ndarray, ends: np.ndarray, end_id: int) -> np.ndarray:
-        """The ids of consecutive documents with end_id after each; ends: where documents end in words."""
-        size = np.append(self.size, 1)
-        first = np.cumsum(size) - size
-        flat = np.append(self.ids, np.uint32(end_id)).astype("<u4")
-        words = np.insert(words, ends, len(self.size))
-        n = size[words]
-        at = np.repeat(first[words] - (np.cumsum(n) - n), n)
+        self.first = np.cumsum(self.size) - self.size
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+
+    def texts(self, words: np.ndarray) -> np.ndarray:
+        """The ids of consecutive words."""
+        n = self.size[words]
+        at = np.repeat(self.first[words] - (np.cumsum(n) - n), n)
         at += np.arange(len(at))
-        return flat[at]
+        return self.ids[at]
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -229,8 +241,40 @@ def pack(sizes: np.ndarray, terms: list[np.ndarray], window: int) -> list[tuple[
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, shard_tokens: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece; one narrow pass."""
+def checksums(known: Vocabulary, words: list[np.ndarray], end_id: int, pieces: list[tuple]) -> list[int]:
+    """crc32 of the ids of each piece; ids are written out for a chunk of documents at a time."""
+    out, nth = [0] * len(pieces), 0
+    order = sorted(range(len(pieces)), key=lambda i: pieces[i][0])
+    end, begin = np.array([end_id], "<u4"), 0
+    while begin < len(words):
+        stop, held = begin, 0
+        while stop < len(words) and (stop == begin or held + len(words[stop]) <= CHUNK):
+            held += len(words[stop])
+            stop += 1
+        flat = known.texts(np.concatenate(words[begin:stop]))
+        at = 0
+        for d in range(begin, stop):
+            n = int(known.size[words[d]].sum())
+            raw = memoryview(np.concatenate([flat[at : at + n], end]).astype("<u4", copy=False)).cast("B")
+            at += n
+            while nth < len(order) and pieces[order[nth]][0] == d:
+                _, start, length, _, _ = pieces[order[nth]]
+                out[order[nth]] = zlib.crc32(raw[4 * start : 4 * (start + length)])
+                nth += 1
+        begin = stop
+    return out
+
+
+def routed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key, content, dealt by the least hash of the content's long words and sorted by it in each partition."""
+    d = docs.select(to_worker(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
+    least = F.array_min(F.transform(F.split("content", " "), lambda w: F.when(F.octet_length(w) >= 6, F.xxhash64(w))))
+    d = d.withColumn("route", F.coalesce(least, F.xxhash64("content")))
+    return d.hint("rebalance", "route").sortWithinPartitions("route", F.xxhash64("content"), "key").select("key", "content")
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, shard_bytes: int = 6 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece; one exchange."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -239,40 +283,32 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end
         base, done = TaskContext.get().partitionId() << 36, 0
         keys: list = []
         words: list[np.ndarray] = []
-        held, most = 0, max(1, shard_tokens // 3)  # a word has about three tokens; only the memory depends on it
-        dtype = None
+        held = 0
 
         def flush() -> Iterator[pd.DataFrame]:
             nonlocal done, held
             known.learn()
-            ends = np.cumsum([len(w) for w in words])
-            flat = known.texts(np.concatenate(words), ends, end_id)
-            n = np.diff(np.concatenate([[0], np.cumsum(known.size[np.concatenate(words)])])[np.concatenate([[0], ends])]) + 1
-            first = np.cumsum(n) - n
-            raw = memoryview(flat).cast("B")
+            n = np.array([int(known.size[w].sum()) for w in words]) + 1
             pieces = pack(n, words, window)
-            rows = [(keys[d], s, k, zlib.crc32(raw[4 * (first[d] + s) : 4 * (first[d] + s + k)]), n[d], base + done + q, o) for d, s, k, q, o in pieces]
+            sums = checksums(known, words, end_id, pieces)
+            rows = [(keys[d], s, k, c, n[d], base + done + q, o) for (d, s, k, q, o), c in zip(pieces, sums, strict=True)]
             done += 1 + max((q for *_, q, _ in pieces), default=-1)
             keys.clear(), words.clear()
-            if len(known.number) > REMEMBERED:
+            if len(known.number) > REMEMBERED or known.held > REMEMBERED * 16:
                 known.clear()
             held = 0
             for i in range(0, len(rows), 20_000):
-                yield pd.DataFrame(rows[i : i + 20_000], columns=names).astype({"key": dtype})
-            del flat, raw, rows, pieces
+                yield pd.DataFrame(rows[i : i + 20_000], columns=names)
             trim()
 
         for b in batches:
-            dtype = b["key"].dtype
             for key, text in zip(b["key"], b["content"], strict=True):
                 keys.append(key)
                 words.append(np.fromiter(map(known.number.__getitem__, filter(None, text.replace("\n", " ").split(" "))), np.int32))
-                held += len(words[-1]) + 1
-                if held >= most:
+                held += len(text) + 64
+                if held >= shard_bytes:
                     yield from flush()
         if keys:
             yield from flush()
-
-    keyed = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
-    out = keyed.mapInPandas(run, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return out.withColumnRenamed("key", id_col)
+    out = routed(docs, id_col, text_col).mapInPandas(run, "key string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return out.select(from_worker("key", kind).alias(id_col), *names[1:])

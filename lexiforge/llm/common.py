@@ -97,5 +97,23 @@ def crc_fold(column: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds, F.lit(-1)).cast("int")
 
 
+def to_worker(column: str) -> Column:
+    """An id as text, for pandas turns a whole-number column with a null into floats, which round ids above 2^53."""
+    return F.col(column).cast("string")
+
+
+def from_worker(column: str, kind: str) -> Column:
+    """An id that came back from a worker in its own type."""
+    return F.col(column).cast(kind)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores in front as df's columns make necessary."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

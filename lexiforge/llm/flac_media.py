@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.llm.common import from_worker, materialise, to_worker
+
 BLOCK = 576
 RATE = 8000
 #: Frames that are handled in step; bounds a worker's memory.
@@ -403,16 +405,17 @@ def _groups(b: pd.DataFrame, most: int = 2 * CHUNK * BLOCK) -> Iterator[tuple[li
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, media (a FLAC stream of the padded UTF-8 text) for each row; a narrow pass."""
+    """id, n_bytes (of the text), media (a FLAC stream of the padded UTF-8 text) for each row; a narrow pass."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for keys, texts in _groups(b):
-                yield pd.DataFrame({"key": pd.Series(keys, dtype=b["key"].dtype), "media": encode_streams([pad(t) for t in texts])})
+                yield pd.DataFrame({"key": keys, "n_bytes": list(map(len, texts)), "media": encode_streams([pad(t) for t in texts])})
 
-    keyed = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
-    return keyed.mapInPandas(run, f"key {kind}, media binary").withColumnRenamed("key", id_col)
+    keyed = docs.select(to_worker(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
+    out = keyed.mapInPandas(run, "key string, n_bytes long, media binary")
+    return out.select(from_worker("key", kind).alias(id_col), "n_bytes", "media")
 
 
 def pcm_blocks(media: DataFrame, id_col: str = "doc_id", column: str = "media") -> DataFrame:
@@ -425,26 +428,40 @@ def pcm_blocks(media: DataFrame, id_col: str = "doc_id", column: str = "media")
                 info, _ = parse_metadata(s)
                 x, step = decode_streams([s])[0].astype(np.int8 if info["bits"] == 8 else "<i4"), info["max_block"]
                 at = range(0, len(x), step)
-                yield pd.DataFrame({"key": pd.Series([key] * len(at), dtype=b["key"].dtype), "sample_offset": list(at), "pcm": [x[i : i + step].tobytes() for i in at]})
+                yield pd.DataFrame({"key": [key] * len(at), "sample_offset": list(at), "pcm": [x[i : i + step].tobytes() for i in at]})
 
-    return media.select(F.col(id_col).alias("key"), F.col(column).alias("media")).mapInPandas(run, f"key {kind}, sample_offset long, pcm binary").withColumnRenamed("key", id_col)
+    out = media.select(to_worker(id_col).alias("key"), F.col(column).alias("media")).mapInPandas(run, "key string, sample_offset long, pcm binary")
+    return out.select(from_worker("key", kind).alias(id_col), "sample_offset", "pcm")
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode each text, read the stored stream back and describe what was read; a narrow pass."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _stored(b: pd.DataFrame, most: int = 2 * CHUNK * BLOCK) -> Iterator[pd.DataFrame]:
+    """Runs of rows whose texts have bounded bytes."""
+    size = b["n_bytes"].to_numpy()
+    nth = (np.cumsum(size) - size) // most
+    for _, part in b.groupby(nth, sort=False):
+        yield part
+
+
+def describe_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """What the stored streams of ``to_media`` hold when they are read back: sizes, digests, feature; a narrow pass."""
+    kind = media.schema[id_col].dataType.simpleString()
     names = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for keys, texts in _groups(b):
-                media = encode_streams([pad(t) for t in texts])
+            for part in _stored(b):
                 rows = []
-                for key, t, m, x in zip(keys, texts, media, decode_streams(media), strict=True):
+                for key, n, m, x in zip(part["key"], part["n_bytes"], part["media"], decode_streams(list(part["media"])), strict=True):
                     payload = ((x + 128).astype(np.uint8)).tobytes()
-                    rows.append((key, len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), describe(x)))
-                yield pd.DataFrame(rows, columns=names).astype({"key": b["key"].dtype})
+                    rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), describe(x)))
+                yield pd.DataFrame(rows, columns=names)
+
+    keyed = media.select(to_worker(id_col).alias("key"), "n_bytes", "media")
+    out = keyed.mapInPandas(run, "key string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return out.select(from_worker("key", kind).alias(id_col), *names[1:])
 
-    keyed = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
-    out = keyed.mapInPandas(run, f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return out.withColumnRenamed("key", id_col)
+
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Store each text as a FLAC stream in the shared folder, read the stored column back and describe what was read."""
+    stored = materialise(docs.sparkSession, to_media(docs, id_col, text_col), "media")
+    return describe_media(stored, id_col)

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.llm.common import from_worker, to_worker
+
 MARK = "▁"
 REMEMBERED, LONGEST = 800_000, 64
 
@@ -256,8 +258,8 @@ def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 a = np.array(ids, np.int64)
                 used = is_byte[a]
                 rows.append((key, len(ids), int(used.sum()), float(scores[a[~used]].sum()), zlib.crc32(a.astype("<u4").tobytes()), model.decode(ids) == t.replace(MARK, " ")))
-            yield pd.DataFrame(rows, columns=["key", "n_pieces", "n_byte_pieces", "score", "pieces_crc32", "round_trip"]).astype({"key": b["key"].dtype})
+            yield pd.DataFrame(rows, columns=["key", "n_pieces", "n_byte_pieces", "score", "pieces_crc32", "round_trip"])
 
-    keyed = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
-    out = keyed.mapInPandas(run, f"key {kind}, n_pieces long, n_byte_pieces long, score double, pieces_crc32 long, round_trip boolean")
-    return out.withColumnRenamed("key", id_col)
+    keyed = docs.select(to_worker(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
+    out = keyed.mapInPandas(run, "key string, n_pieces long, n_byte_pieces long, score double, pieces_crc32 long, round_trip boolean")
+    return out.select(from_worker("key", kind).alias(id_col), "n_pieces", "n_byte_pieces", "score", "pieces_crc32", "round_trip")

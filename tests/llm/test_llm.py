@@ -78,7 +78,7 @@ def test_packing_of_awkward_rows(spark, odd, empty):
 def test_sequences_are_full_and_gapless(spark):
     docs = spark.createDataFrame([(i, prose(R.randint(1, 300), i)) for i in range(150)], "doc_id long, text string").coalesce(1)
     by = {}
-    for r in bm25_packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), window=512, shard_tokens=20_000).collect():
+    for r in bm25_packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), window=512, shard_bytes=40_000).collect():
         by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     short = 0
     for pieces in by.values():

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm.common import from_worker, to_worker, trim
 
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 #: Words that a chunk of a shard has when its ids are written out.
 CHUNK = 1 << 16
 MARKS = frozenset(".,;:!?")
@@ -94,30 +94,31 @@ class Vocabulary:
         self.held = 0  # characters of words
 
     def _part(self, p: str) -> list[int]:
-        x = self.parts.get(p)
-        if x is None:
-            x = self.piece(p.encode() + b"\xff")
-            if len(p) <= LONGEST:
-                self.parts[p] = x
+        x = self.piece(p.encode() + b"\xff")
+        if len(p) <= LONGEST:
+            self.parts[p] = x
         return x
 
     def learn(self) -> None:
         """Find the ids of the words that were numbered since the last call."""
-        new = []
-        for w in islice(self.number, len(self.size), None):
-            bare = w[:-1] if w[-1] in MARKS else w
-            if bare.isalpha() and bare.isascii():  # one part, or two with a mark behind it
-                ids = self._part(bare.lower())
-                if bare is not w:
-                    ids = ids + self._part(w[-1])
-            elif w < "ɐ" and (w.isascii() or max(w) < "ɐ") and "<|" not in w:
-                ids: list[int] = []
-                for p in PARTS.findall(w.lower()):
-                    ids += self._part(p)
+        get, part, marks = self.parts.get, self._part, {m: self.piece(m.encode() + b"\xff") for m in MARKS}
+        new, fresh = [], list(islice(self.number, len(self.size), None))
+        for w in fresh:
+            low = w.lower()
+            mark = marks.get(low[-1])
+            bare = low[:-1] if mark else low
+            if bare.isalpha() and (bare.isascii() or max(w) < "ɐ"):  # one part, or two with a mark behind it
+                ids = get(bare) or part(bare)
+                new.append(ids + mark if mark else ids)
+                continue
+            if w < "ɐ" and (w.isascii() or max(w) < "ɐ") and "<|" not in w:
+                ids = []
+                for p in PARTS.findall(low):
+                    ids += get(p) or part(p)
             else:
                 ids = self._whole(w)
             new.append(ids)
-            self.held += len(w)
+        self.held += sum(map(len, fresh))
         self.size = np.concatenate([self.size, np.fromiter(map(len, new), np.int64, len(new))])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), "<u4")])
         self.first = np.cumsum(self.size) - self.size

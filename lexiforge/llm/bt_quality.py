@@ -193,7 +193,6 @@ def _each(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
     return of
 
 
-def score(docs: DataFrame, model: BradleyTerry, text_col: str = "text") -> DataFrame:
-    """docs with a further column bt_score; one narrow pass."""
-
-    return docs.withColumn("bt_score", _each(model.score)(F.coalesce(F.col(text_col), F.lit(""))))
+def score(docs: DataFrame, model: BradleyTerry, text_col: str = "text", score_col: str = "bt_score") -> DataFrame:
+    """docs with a further column score_col, which replaces one of that name; one narrow pass."""
+    return docs.withColumn(score_col, _each(model.score)(F.coalesce(F.col(text_col), F.lit(""))))

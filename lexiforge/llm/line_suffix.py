@@ -11,11 +11,13 @@ reveal all maximal runs, and ranks up to depth min_words decide them, however lo
 occur once break runs and leave the work after the first count.
 
 The earliest copy stays (by id, nulls first, then position); lines of later copies go, with the blank lines
-between them. Words of a line are the spaces of its trimmed form plus one.
+between them. Words of a line are its stretches without white space, one for each 24 signs of a longer stretch, so that
+a script without spaces has words too.
 
 Defined results: null text counts as empty; blank lines are no part of runs; rows that repeat both id and
 text are one document and are cleaned alike; rows with one id and different texts are different documents;
-an empty table gives no rows; other columns pass through ``clean`` as they are.
+an empty table gives no rows; other columns pass through ``clean`` as they are, whatever their names, but for
+columns named lines_deleted and all_deleted, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,19 +29,23 @@ from pyspark.sql.window import Window
 from lexiforge.llm.common import materialise
 
 _KEY = ["_d", "_h"]
+#: A word of a line; and what a line that is not blank has.
+WORD, SIGN = r"[^ \t\n\x0B\f\r]{1,24}", r"[^ \t\n\x0B\f\r]"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumn("_d", F.col(id_col)).withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    """_d, _h (the document), _text, and _row, all other columns of docs as one."""
+    rest = F.struct(*[docs[c] for c in docs.columns if c.lower() != text_col.lower()])
+    return docs.select(F.col(id_col).alias("_d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), F.col(text_col).alias("_text"), rest.alias("_row"))
 
 
 def line_sequence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_d, _h (the document), idx (among lines that are not blank), pos (among all), words, two hashes of the line."""
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    placed = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda s: F.trim(s["line"]) != "")
+    lines = F.split(F.coalesce(F.col("_text"), F.lit("")), "\n", -1)
+    placed = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda s: s["line"].rlike(SIGN))
     rows = _keyed(docs, id_col, text_col).select(*_KEY, F.posexplode(placed).alias("idx", "at"))
-    line, trimmed = F.col("at.line"), F.trim(F.col("at.line"))
-    words = F.octet_length(trimmed) - F.octet_length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1
+    line = F.col("at.line")
+    words = F.regexp_count(line, F.lit(WORD))
     return rows.select(*_KEY, "idx", F.col("at.pos").alias("pos"), words.alias("words"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2"))
 
 
@@ -120,13 +126,11 @@ def clean(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col
     runs = runs.select(F.col("_d").alias("_rd"), F.col("_h").alias("_rh"), "_runs", "_gone")
     rows = _keyed(docs, id_col, text_col)
     out = rows.join(runs, rows["_d"].eqNullSafe(runs["_rd"]) & (rows["_h"] == runs["_rh"]), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+    lines = F.split("_text", "\n", -1)
     begins = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["last_pos"] + 1))
     ends = F.concat(F.transform("_runs", lambda r: r["first_pos"]), F.array(F.size(lines)))
     kept = F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
-    text = F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    plain = [c for c in docs.columns if c != text_col]
-    out = out.select(*plain, text.alias(text_col), F.coalesce("_gone", F.lit(0)).alias("lines_deleted"))
-    return out.withColumn("all_deleted", (F.col("lines_deleted") > 0) & (F.trim(F.translate(text_col, "\n", "")) == "")).select(
-        *[c for c in docs.columns], "lines_deleted", "all_deleted"
-    )
+    out = out.withColumn("_text", F.when(F.col("_runs").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n")))
+    plain = [F.col("_text").alias(c) if c.lower() == text_col.lower() else F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("lines_deleted", "all_deleted")]
+    gone = F.coalesce("_gone", F.lit(0))
+    return out.select(*plain, gone.alias("lines_deleted"), ((gone > 0) & ~F.col("_text").rlike(SIGN)).alias("all_deleted"))

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import discard, materialise, release, total_bytes, trim
+from lexiforge.llm.common import discard, from_worker, materialise, release, to_worker, total_bytes, trim
 
 NOTHING = 0x2020  # the context of a text's first words: two spaces, which no word has
 PACKED = "block long, shard int, words binary, sizes binary, contexts binary, counts binary"
@@ -129,7 +129,6 @@ def _blocks(docs: DataFrame, block_bytes: int, shards: int) -> DataFrame:
                     yield flush()
                     held, size, block = [], 0, block + 1
                     trim()
-                key = None if key is None or key != key else int(key) if isinstance(key, float | np.integer) else key
                 held.append((row, key, bool(out), raw))
                 size += len(raw)
         if held:
@@ -338,7 +337,7 @@ def score_documents(docs: DataFrame, held_out: Column, sweeps: int = 4, samples:
     spark: SparkSession = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     shards = max(8, -(-total_bytes(docs, text_col) // block_bytes))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), to_worker(id_col).alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
     packed = materialise(spark, _blocks(rows, block_bytes, shards).withColumn("is_text", F.col("shard") < 0), "blocks", by=["is_text"])
     asked = packed.filter("NOT is_text").select(*[x.split()[0] for x in PACKED.split(", ")])
     state = materialise(spark, asked.groupBy("shard").applyInPandas(_begin, STATE), "seats")
@@ -356,8 +355,8 @@ def score_documents(docs: DataFrame, held_out: Column, sweeps: int = 4, samples:
     levels = [*kept, level]
     answers = asked.select("block", "shard", "words", "sizes", "contexts").groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(_answer(levels), "block long, shard int, seen binary, logs binary")
     texts = packed.filter("is_text").select("block", "words")
-    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(float(level.tokens), float(level.words)), f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumnRenamed("key", id_col)
+    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(float(level.tokens), float(level.words)), "key string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.select(from_worker("key", kind).alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def _sweep_with(shared, seed: int, keep: bool):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiforge.llm.common import materialise, small_batches, trim
+from lexiforge.llm.common import free_name, from_worker, materialise, small_batches, to_worker, trim
 
 U = np.uint64
 BANDS, ROWS = 25, 5
@@ -45,7 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Hashes of the word shingles of texts; hashes of words are remembered."""
 
-    def __init__(self, width: int, most: int = 250_000):
+    def __init__(self, width: int, most: int = 100_000):
         self.width, self.most = width, most
         self.words: dict[str, int] = {}
 
@@ -167,8 +167,9 @@ def sketch(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int = ROWS
             yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], **out})
             trim()
 
-    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("content")).withColumn("text_hash", F.xxhash64("content"))
-    return keyed.mapInPandas(run, f"id {kind}, text_hash long, node binary, n int, bands array<long>, brief array<long>, marks array<long>, packed binary")
+    keyed = docs.select(to_worker(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("content")).withColumn("text_hash", F.xxhash64("content"))
+    out = keyed.mapInPandas(run, "id string, text_hash long, node binary, n int, bands array<long>, brief array<long>, marks array<long>, packed binary")
+    return out.withColumn("id", from_worker("id", kind))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -183,7 +184,7 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) ->
         def of(node: bytes, packed: bytes) -> np.ndarray:
             nonlocal size
             if node not in known:
-                if size > 1_000_000:
+                if size > 500_000:
                     known.clear()
                     size = 0
                 known[node] = np.unique(shingler(open_.decompress(packed).decode("utf-8", "surrogatepass").split()))
@@ -273,10 +274,12 @@ def _near_duplicates(docs: DataFrame, threshold: float, width: int, bands: int,
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The row of docs that each class keeps; rows that repeat id and text count once."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("kept").select(F.col(id_col).alias("_kid"), F.col("text_hash").alias("_kh"))
-    rows = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    out = rows.join(kept, rows[id_col].eqNullSafe(kept["_kid"]) & (rows["_h"] == kept["_kh"]), "left_semi")
-    return out.dropDuplicates([id_col, "_h"]).select(*docs.columns)
+    kid, kh = "kept id", "kept hash"
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("kept").select(F.col(id_col).alias(kid), F.col("text_hash").alias(kh))
+    mark = free_name(docs, "_h")
+    rows = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    out = rows.join(kept, rows[id_col].eqNullSafe(kept[kid]) & (rows[mark] == kept[kh]), "left_semi")
+    return out.dropDuplicates([id_col, mark]).select(*docs.columns)
 
 
 def _across(member: DataFrame, nodes: DataFrame, root: DataFrame, threshold: float, low: float, high: float, m: int) -> DataFrame:

@@ -32,7 +32,7 @@ def op2_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = tiered_shards.ShardStore(spark, workspace(spark, "shards"))
     for half in (0, 1):
         store.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == half))
-    store.compact()
+    store.compact(keep=1)
     return store.read().select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "_shard.shard", F.col("_shard.rows").alias("shard_rows"), F.col("_shard.bytes").alias("shard_bytes"), "_shard.tier", F.lit(store.version()).cast("long").alias("version"))
 
 
@@ -77,11 +77,11 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op9_suffix_line_dedup": """
+    "op9_suffix_line_dedup": r"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM l),
 nb AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS idx,
-              strlen(trim(line, ' ')) - strlen(replace(trim(line, ' '), ' ', '')) + 1 AS w FROM e WHERE trim(line, ' ') <> ''),
+              len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]{1,24}')) AS w FROM e WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')),
 p AS (SELECT a.doc_id, a.idx, b.idx - a.idx + 1 AS n, a.w AS wa, b.w AS wb,
              sum(b.w) OVER x AS s, string_agg(b.line, chr(10)) OVER x AS k
       FROM nb a JOIN nb b ON a.doc_id = b.doc_id AND b.idx BETWEEN a.idx AND a.idx + 9
@@ -96,7 +96,7 @@ kept AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.pos) AS text FRO
 n AS (SELECT doc_id, CAST(sum(c) AS INTEGER) AS c FROM runs GROUP BY doc_id),
 o AS (SELECT d.doc_id, CASE WHEN n.c IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text, coalesce(n.c, 0) AS lines_deleted
       FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id))
-SELECT doc_id, text, lines_deleted, lines_deleted > 0 AND trim(replace(text, chr(10), ''), ' ') = '' AS all_deleted FROM o
+SELECT doc_id, text, lines_deleted, lines_deleted > 0 AND NOT regexp_matches(text, '[^ \t\n\x0B\f\r]') AS all_deleted FROM o
 """,
     "op10_digest_index_dedup": """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)

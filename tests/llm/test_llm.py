@@ -59,6 +59,37 @@ def test_awkward_rows_each_give_a_row(spark, odd, empty, name):
     assert f(empty).count() == 0
 
 
+CLASH = ["_d", "_h", "_row", "_runs", "_gone", "_text", "lines_deleted", "all_deleted", "bt_score", "group", "file", "_shard", "_shard_file", "_metadata", "key", "content", "node", "id", "class_id", "kept", "n_tokens"]
+
+
+def test_columns_of_any_name_and_ids_of_any_size(spark, odd):
+    big = [2**60 + 1, 2**60 + 3, None, -(2**62) - 1]
+    rows = [(i, f"text of number {k} with some words", *[f"{c}{k}" for c in CLASH]) for k, i in enumerate(big)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASH)).coalesce(1)
+    for name, f in operators(spark).items():
+        got = [r["doc_id"] for r in f(docs).collect()]
+        assert sorted(got, key=str) == sorted(big, key=str), name
+    packed = bm25_packing.pack_documents(docs, tokenizer("word_bpe_49k.json"))
+    assert sorted([r["doc_id"] for r in packed.collect()], key=str) == sorted(big, key=str)
+    cleaned = {r["doc_id"]: r for r in line_suffix.clean(docs).collect()}
+    for r in docs.collect():
+        assert all(cleaned[r["doc_id"]][c] == r[c] for c in ["text", *CLASH] if c not in ("lines_deleted", "all_deleted"))
+        assert cleaned[r["doc_id"]]["lines_deleted"] == 0
+    kept = prob_minhash.drop_near_duplicates(docs)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    scored = bt_quality.score(docs, bt_quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int")))
+    assert [c for c in scored.columns] == docs.columns and {r["bt_score"] for r in scored.collect()} == {1.0}
+    store = tiered_shards.ShardStore(spark, workspace(spark, "s"), rows_per_shard=1, fan_in=2)
+    store.append(docs)
+    store.append(docs.limit(0))
+    store.compact()
+    assert sorted(map(str, store.read(column=None).select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert store.read().filter("_shard.rows = 4").count() == 4
+    store = tiered_shards.ShardStore(spark, workspace(spark, "s"))
+    store.append(odd)
+    assert sorted(map(str, store.read(column=None).collect())) == sorted(map(str, odd.collect()))
+
+
 def test_packing_of_awkward_rows(spark, odd, empty):
     words = tokenizer("word_bpe_49k.json")
     assert bm25_packing.pack_documents(empty, words).count() == 0
@@ -195,6 +226,13 @@ def test_line_runs_against_brute_force(spark):
     assert got == brute(10)
 
 
+def test_line_runs_without_spaces(spark):
+    passage = "漢字文章" * 80  # 320 signs are 14 words
+    docs = spark.createDataFrame([(1, f"a\n{passage}\nb"), (2, f"c\n{passage}\n\t"), (3, "one\ttwo\tthree\tfour\tfive\tsix\tseven\teight\tnine\tten"), (4, "one\ttwo\tthree\tfour\tfive\tsix\tseven\teight\tnine\tten")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lines_deleted"], r["text"], r["all_deleted"]) for r in line_suffix.clean(docs).collect()}
+    assert got[1][0] == got[3][0] == 0 and got[2] == (1, "c\n\t", False) and got[4] == (1, "", True)
+
+
 def test_near_duplicates_against_brute_force(spark):
     r, docs = random.Random(8), []
     for g in range(12):
@@ -258,6 +296,10 @@ def test_shards_keep_rows_versions_and_refuse_conflicts(spark):
         store.commit(store.manifest(), store.version())
     assert store.version() == 3
     store.compact()
+    assert sorted(r["doc_id"] for r in store.read(3).collect()) == list(range(300))  # old versions stay
+    assert store.vacuum(keep=1) > 0 and store.vacuum(keep=1) == 0
+    with pytest.raises(ValueError):
+        store.read(3)
     assert store.version() > 3 and store.manifest().count() < before
     rows = store.read()
     assert sorted(r["doc_id"] for r in rows.collect()) == list(range(300))

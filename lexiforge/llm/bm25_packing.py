@@ -275,7 +275,7 @@ def routed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, shard_bytes: int = 6 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece; one exchange."""
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece; an exchange of the texts and one of the result's few rows."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -312,4 +312,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end
         if keys:
             yield from flush()
     out = routed(docs, id_col, text_col).mapInPandas(run, "key string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return out.select(from_worker("key", kind).alias(id_col), *names[1:])
+    out = out.select(from_worker("key", kind).alias(id_col), *names[1:])
+    return out.hint("rebalance", "sequence_id")  # a shard has few rows; else each would be a file

@@ -1,14 +1,20 @@
 """Tokenising documents into units, tokens and signs (T1-T11), keyed by doc_id.
 
-Everything is column expressions over one document's row; the only exchange is that of char_separator, which
-looks at the few documents that have no white space.
+Everything is a projection of one document's row: the text is read once and nothing is exchanged. Only texts without
+white space pass through a Python worker, which looks for a sign that divides words. doc_id must name a document: rows
+that share one are counted as one document by all that groups by it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from lexiforge.functions.text import show
 
 #: Marks that end sentences; all of them but the middle dot and the semicolon also split text.
 SENTENCE_END = ".!?।॥。！？؟;·"
@@ -16,31 +22,32 @@ SPLIT_AFTER = ".!?।॥。！？؟"
 WINDOW = 12
 
 
-def entropy(count: str, over: list[str]) -> Column:
-    """the Shannon entropy in bits of rows of counts, as an aggregate; ``total`` is the column of their sum."""
-    p = F.col(count) / F.col("total")
-    return F.coalesce(-F.sum(p * F.log2(p)), F.lit(0.0))
-
-
-def char_separator(docs: DataFrame) -> DataFrame:
-    """doc_id, sep of documents (doc_id, body) in which one sign behaves like a word divider."""
-    chars = docs.select("doc_id", F.posexplode(F.split("body", "")).alias("pos", "ch")).filter("ch != ''")
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    chars = chars.withColumn("before", F.lag("ch").over(order)).withColumn("after", F.lead("ch").over(order))
-    counts = chars.filter("ch != '\n'").groupBy("doc_id", "ch").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    counts = counts.withColumn("rk", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))).filter("rk <= 15 AND n >= 10")
-    sides = chars.select("doc_id", "ch", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("before").alias("x")), F.struct(F.lit("r").alias("side"), F.col("after").alias("x")))).alias("s"))
-    sides = sides.filter("s.x IS NOT NULL").groupBy("doc_id", "ch", "s.side", "s.x").agg(F.count("*").alias("c"))
-    sides = sides.withColumn("total", F.sum("c").over(Window.partitionBy("doc_id", "ch", "side")))
-    score = sides.groupBy("doc_id", "ch").agg(entropy("c", []).alias("score"))
-    # a doubled sign counts without overlap: a run of m signs holds floor(m / 2) doubles
-    runs = chars.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "ch").orderBy("pos")))
-    doubled = runs.groupBy("doc_id", "ch", "run").agg(F.floor(F.count("*") / 2).alias("d")).groupBy("doc_id", "ch").agg(F.sum("d").alias("doubled"))
-    scored = counts.join(score, ["doc_id", "ch"]).join(doubled, ["doc_id", "ch"])
-    fit = (F.col("rk") <= 6) & (F.col("doubled") / F.col("n") < 0.02)
-    best = scored.filter(fit).groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("rk")).alias("k"), "ch")).alias("best"))
-    rest = scored.join(best, "doc_id").filter("ch != best.ch").groupBy("doc_id", "best").agg(F.max("score").alias("other"))
-    return rest.filter("best.score > other * 1.05").select("doc_id", F.col("best.ch").alias("sep"))
+def _bits(values: np.ndarray) -> float:
+    n = np.unique(values, return_counts=True)[1] / max(len(values), 1)
+    return float(-(n * np.log2(n)).sum())
+
+
+def divider(body: str) -> str | None:
+    """The sign of a text that behaves like a word divider: varied neighbours on both sides, hardly ever doubled."""
+    codes = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), "<u4")
+    signs, first, count = np.unique(codes[codes != 10], return_index=True, return_counts=True)
+    rank = np.lexsort((first, -count))
+    common = [signs[i] for i in rank[:15] if count[i] >= 10]
+    scores = []
+    for nth, sign in enumerate(common):
+        at = np.flatnonzero(codes == sign)
+        sides = _bits(codes[at[at > 0] - 1]) + _bits(codes[at[at < len(codes) - 1] + 1])
+        runs = np.diff(np.concatenate([[-1], np.flatnonzero(np.diff(at) != 1), [len(at) - 1]]))
+        scores.append((sides, -nth, nth < 6 and (runs // 2).sum() / len(at) < 0.02))
+    best = max((x for x in scores if x[2]), default=None)
+    others = [x[0] for x in scores if x is not best]
+    return chr(common[-best[1]]) if best and others and best[0] > max(others) * 1.05 else None
+
+
+
+def _dividers(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in bodies:
+        yield batch.map(lambda x: None if x is None else divider(x))
 
 
 def corpus(docs: DataFrame, glyph_mode: bool = False) -> DataFrame:
@@ -53,40 +60,76 @@ def corpus(docs: DataFrame, glyph_mode: bool = False) -> DataFrame:
         (F.col("body").rlike(r"\p{Lu}") & F.col("body").rlike(r"\p{Ll}")).alias("has_case"),
         ((F.regexp_count("body", F.lit(rf"[\p{{Po}}{SENTENCE_END}]")) >= 3) & F.lit(not glyph_mode)).alias("sentence_marks"),
     )
-    found = char_separator(body.filter("NOT spaced").select("doc_id", "body"))
-    body = body.join(found, "doc_id", "left")
-    lines = F.filter(F.split("body", "\n", -1), lambda x: x.rlike(r"(?U)\S"))
-    chunks = F.when(F.col("sentence_marks"), F.split(F.array_join(lines, " "), rf"(?U)(?<=[{SPLIT_AFTER}])\s+")).otherwise(lines)
-
-    def words(chunk: Column) -> Column:
-        parts = (
-            F.when(F.col("spaced"), F.split(chunk, r"(?U)\s+"))
-            .when(F.col("sep").isNotNull(), F.split(F.replace(chunk, F.lit(" "), F.lit("")), F.concat(F.lit(r"\Q"), F.coalesce("sep", F.lit("")), F.lit(r"\E"))))
-            .otherwise(F.split(F.regexp_replace(chunk, r"(?U)\s", ""), ""))
-        )
-        bare = F.transform(parts, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$" if glyph_mode else rf"(?U)[\p{{P}}{SENTENCE_END}]|^\s+|\s+$", ""))
-        return F.filter(F.transform(bare, lambda p: F.when(F.col("has_case"), F.lower(p)).otherwise(p)), lambda p: p != "")
-
-    body = body.withColumn("units", F.filter(F.transform(chunks, words), lambda u: F.size(u) > 0))
-    flat = F.flatten("units")
-    cut = (F.size("units") <= 1) & (F.size(flat) > 60)
-    windows = F.transform(F.sequence(F.lit(0), F.size(flat) - 1, F.lit(WINDOW)), lambda i: F.slice(flat, i + 1, WINDOW))
+    body = body.withColumn("sep", F.pandas_udf(_dividers, "string")(F.when(~F.col("spaced"), F.col("body"))))
+    row = F.struct("spaced", "sep", "has_case", "sentence_marks", "body")
+    body = body.withColumn("units", once(row, _units(glyph_mode)))
+    single = (F.size("units") <= 1) & (F.size(F.flatten("units")) > 60)
     return body.select(
         "doc_id", "raw", "has_case", "sentence_marks",
         F.when(F.col("spaced"), "whitespace").when(F.col("sep").isNotNull(), F.concat(F.lit("sign "), "sep")).otherwise("none").alias("separator"),
-        F.when(cut, f"{WINDOW}-token window").when(F.col("sentence_marks"), "sentence").otherwise("line").alias("unit_kind"),
-        F.when(cut, windows).otherwise(F.col("units")).alias("units"),
+        F.when(single, f"{WINDOW}-token window").when(F.col("sentence_marks"), "sentence").otherwise("line").alias("unit_kind"),
+        F.when(single, _windows(F.flatten("units"))).otherwise(F.col("units")).alias("units"),
     )
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, where f uses it inside functions over arrays: else it would be computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _units(glyph_mode: bool) -> Callable[[Column], Column]:
+    """The units of a row (spaced, sep, has_case, sentence_marks, body), each an array of tokens."""
+
+    def units(row: Column) -> Column:
+        lines = F.filter(F.split(row["body"], "\n", -1), lambda x: x.rlike(r"(?U)\S"))
+        chunks = F.when(row["sentence_marks"], F.split(F.array_join(lines, " "), rf"(?U)(?<=[{SPLIT_AFTER}])\s+")).otherwise(lines)
+
+        def words(chunk: Column) -> Column:
+            parts = (
+                F.when(row["spaced"], F.split(chunk, r"(?U)\s+"))
+                .when(row["sep"].isNotNull(), F.split(F.replace(chunk, F.lit(" "), F.lit("")), F.concat(F.lit(r"\Q"), row["sep"], F.lit(r"\E"))))
+                .otherwise(F.split(F.regexp_replace(chunk, r"(?U)\s", ""), ""))
+            )
+            bare = F.transform(parts, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$" if glyph_mode else rf"(?U)[\p{{P}}{SENTENCE_END}]|^\s+|\s+$", ""))
+            return F.filter(F.transform(bare, lambda p: F.when(row["has_case"], F.lower(p)).otherwise(p)), lambda p: p != "")
+
+        return F.filter(F.transform(chunks, words), lambda u: F.size(u) > 0)
+
+    return units
+
+
+def _windows(tokens_: Column) -> Column:
+    """Tokens in runs of WINDOW. They are joined with marks that no text has and split at those, as slices would copy the array each."""
+    marked = F.transform(tokens_, lambda t, i: F.concat(t, F.when(i % WINDOW == WINDOW - 1, F.lit("\ufdd1")).otherwise(F.lit("\ufdd0"))))
+    runs = F.filter(F.split(F.array_join(marked, ""), "\ufdd1"), lambda r: r != "")
+    return F.transform(runs, lambda r: F.filter(F.split(r, "\ufdd0"), lambda t: t != ""))
+
+
 def tokens(c: DataFrame) -> DataFrame:
-    """doc_id, unit_idx, pos (in the unit), unit_len, tok_idx, token of a corpus; one exchange by doc_id."""
-    units = c.select("doc_id", F.posexplode("units").alias("unit_idx", "unit"))
-    before = F.sum(F.size("unit")).over(Window.partitionBy("doc_id").orderBy("unit_idx")) - F.size("unit")
-    units = units.withColumn("base", before).withColumn("unit_len", F.size("unit"))
-    return units.select("doc_id", "unit_idx", "unit_len", "base", F.posexplode("unit").alias("pos", "token")).select(
-        "doc_id", "unit_idx", "pos", "unit_len", (F.col("base") + F.col("pos")).cast("int").alias("tok_idx"), "token"
-    )
+    """doc_id, unit_idx, pos (in the unit), unit_len, tok_idx, token of a corpus; nothing is exchanged."""
+    placed = F.flatten(F.transform("units", lambda u, i: F.transform(u, lambda t, p: F.struct(i.alias("unit_idx"), p.alias("pos"), F.size(u).alias("unit_len"), t.alias("token")))))
+    return c.select("doc_id", F.posexplode(placed).alias("tok_idx", "x")).select("doc_id", "x.unit_idx", "x.pos", "x.unit_len", "tok_idx", "x.token")
+
+
+def words_of(c: DataFrame) -> Column:
+    """The tokens of a corpus' row in the order of the text."""
+    return F.flatten("units")
+
+
+def notes(c: DataFrame) -> DataFrame:
+    """doc_id, seq, note: caveats about dividers and units."""
+    found = F.array_compact(F.array(
+        F.when(F.startswith("separator", F.lit("sign ")), F.concat(F.lit("there is no white space; the "), "separator", F.lit(" is taken as the word divider"))),
+        F.when(F.col("separator") == "none", F.lit("there is no word divider; each sign is a token")),
+        F.when(F.startswith("unit_kind", F.lit(f"{WINDOW}-")), F.lit(f"there are neither sentences nor lines; units are runs of {WINDOW} tokens")),
+    ))
+    return c.select("doc_id", F.posexplode(found).alias("seq", "note"))
+
+
+def sample(c: DataFrame, k: int = 3) -> DataFrame:
+    """doc_id, unit_idx, unit: the first k units as they are shown."""
+    u = c.select("doc_id", F.posexplode(F.slice("units", 1, k)).alias("unit_idx", "u"))
+    return u.select("doc_id", "unit_idx", F.array_join(F.transform("u", lambda t: show(t)), " ").alias("unit"))
 
 
 def signs(t: DataFrame) -> DataFrame:

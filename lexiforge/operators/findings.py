@@ -72,11 +72,11 @@ def uninflected_names(t: DataFrame, separators: DataFrame) -> DataFrame:
 def controlled_signatures(t: DataFrame, separators: DataFrame) -> DataFrame:
     """The suffix signatures with twice the stems of the control's best (of two at least), of documents whose affixes are significant."""
     _, w, pool = control(t, separators)
-    best = signatures(pool).groupBy("doc_id").agg(F.max("stems").alias("best"))
+    best = signatures(pool, k=None).groupBy("doc_id").agg(F.max("stems").alias("best"))
     real = staged(affix_control(t, separators).filter("significant").select("doc_id"))
     found = signatures(w).join(real, "doc_id", "left_semi").join(best, "doc_id", "left")
     found = found.filter(F.col("stems") >= 2 * F.greatest(F.coalesce("best", F.lit(2)), F.lit(2))).drop("best")
-    return found.withColumn("rk", F.row_number().over(_by_doc().orderBy("rk"))).select("doc_id", "rk", "endings", "stems")
+    return found.withColumn("rk", F.row_number().over(_by_doc().orderBy("rk"))).select("doc_id", "rk", "endings", "stems", "examples")
 
 
 def function_words(t: DataFrame, separators: DataFrame) -> DataFrame:

@@ -8,35 +8,38 @@ from pyspark.sql.window import Window
 
 from lexiforge.operators.corpus import signs
 
+#: The shuffles whose averages are the control.
+SEEDS = [0, 1, 2, 3, 4]
+
+
 def _by_doc():
     return Window.partitionBy("doc_id")
 
 
-def counted(rows: DataFrame, column: str, at: str) -> DataFrame:
-    """doc_id, column, c, first (its first place), total (of the document)."""
-    out = rows.groupBy("doc_id", column).agg(F.count("*").alias("c"), F.min(at).alias("first"))
-    return out.withColumn("total", F.sum("c").over(_by_doc()))
+def tallied(rows: DataFrame, column: str, at: str) -> DataFrame:
+    """doc_id, column, c, first (its first place); one exchange after counting inside each task."""
+    return rows.groupBy("doc_id", column).agg(F.count("*").alias("c"), F.min(at).alias("first"))
 
 
-def sign_counts(t: DataFrame) -> DataFrame:
-    s = signs(t).withColumn("at", F.struct("tok_idx", "sign_in_tok"))
-    return counted(s, "sign", "at")
+def signs_tallied(t: DataFrame) -> DataFrame:
+    return tallied(signs(t).withColumn("at", F.struct("tok_idx", "sign_in_tok")), "sign", "at")
 
 
-def _bits() -> Column:
-    p = F.col("c") / F.col("total")
-    return 0.0 - F.sum(p * F.log2(p))
+def bits(c: Column, digits: int = 12) -> Column:
+    """the entropy of a group's counts, log2 n - sum(c log2 c) / n."""
+    n = F.sum(c)
+    return F.round(F.log2(n) - F.sum(c * F.log2(c)) / n, digits) + 0.0
 
 
 def sign_frequency(t: DataFrame) -> DataFrame:
     """A1, A7."""
-    return sign_counts(t).select("doc_id", "sign", "c")
+    return signs_tallied(t).select("doc_id", "sign", "c")
 
 
 def sign_inventory(t: DataFrame) -> DataFrame:
     """Inventory, Chao1 estimate, unseen mass, entropy and kind of writing system."""
     one, two = F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))
-    out = sign_counts(t).groupBy("doc_id").agg(F.max("total").alias("total_signs"), F.count("*").alias("distinct_signs"), one.alias("f1"), two.alias("f2"), _bits().alias("h1"))
+    out = signs_tallied(t).groupBy("doc_id").agg(F.sum("c").alias("total_signs"), F.count("*").alias("distinct_signs"), one.alias("f1"), two.alias("f2"), bits(F.col("c")).alias("h1"))
     chao = F.col("distinct_signs") + F.when(F.col("f2") > 0, F.col("f1") * F.col("f1") / (2.0 * F.col("f2"))).otherwise(F.col("f1") * (F.col("f1") - 1) / 2.0)
     out = out.withColumn("chao1", chao)
     n = F.round("chao1")
@@ -44,34 +47,43 @@ def sign_inventory(t: DataFrame) -> DataFrame:
     return out.select("doc_id", "total_signs", "distinct_signs", F.col("f1").alias("hapax_signs"), F.round("chao1", 1).alias("chao1_inventory"), F.round(F.col("f1") / F.col("total_signs"), 4).alias("unseen_mass"), F.round("h1", 4).alias("h1"), kind.alias("system_type"))
 
 
-def divider_like_signs(t: DataFrame) -> DataFrame:
-    """One-sign tokens that make up at least 80 % of their sign's uses."""
+def signs_per_word(c: DataFrame) -> DataFrame:
+    """A5: doc_id, separator, signs_per_word of a corpus; null without words or word boundaries."""
+    words = F.flatten("units")
+    mean = F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.char_length(w)) / F.size(words)
+    return c.select("doc_id", "separator", F.round(F.when((F.col("separator") != "none") & (F.size(words) > 0), mean), 4).alias("signs_per_word"))
+
+
+def divider_like_signs(t: DataFrame, separators: DataFrame) -> DataFrame:
+    """One-sign tokens that make up at least 80 % of their sign's uses, in documents (doc_id, separator) with word boundaries."""
+    t = t.join(separators.filter("separator != 'none'").select("doc_id"), "doc_id", "left_semi")
     single = t.filter(F.char_length("token") == 1).groupBy("doc_id", F.col("token").alias("sign")).agg(F.count("*").alias("alone"))
-    return single.join(sign_counts(t), ["doc_id", "sign"]).filter("alone >= 5 AND alone / c >= 0.8").select("doc_id", "sign", "alone")
+    return single.join(signs_tallied(t), ["doc_id", "sign"]).filter("alone >= 5 AND alone / c >= 0.8").select("doc_id", "sign", "alone")
 
 
-def conditional_entropy(t: DataFrame) -> DataFrame:
-    """A9 over padded bigrams (F15); also for each control where rows have a ``seed``."""
-    keys = [k for k in ("doc_id", "seed") if k in t.columns]
+def conditional_entropy(t: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """A9 over padded bigrams (F15), for each value of the keys."""
+    keys = keys or ["doc_id"]
     padded = F.concat(F.lit("^"), "token", F.lit("$"))
     pairs = t.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.char_length("token") + 1), lambda i: F.substring(padded, i, F.lit(2)))).alias("ab"))
-    pairs = pairs.groupBy(*keys, "ab").agg(F.count("*").alias("c")).withColumn("a", F.substring("ab", 1, 1))
-    pairs = pairs.withColumn("of_a", F.sum("c").over(Window.partitionBy(*keys, "a"))).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
-    return pairs.groupBy(*keys).agg((0.0 - F.sum(F.col("c") / F.col("n") * F.log2(F.col("c") / F.col("of_a")))).alias("h_cond"))
+    pairs = pairs.groupBy(*keys, "ab").agg(F.count("*").alias("c"))
+    # H(b | a) = (sum of n_a log2 n_a - sum of n_ab log2 n_ab) / n, each sum taken by partial aggregates
+    first = pairs.groupBy(*keys, F.substring("ab", 1, 1).alias("a")).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
+    return first.groupBy(*keys).agg((F.round((F.sum(F.col("n") * F.log2("n")) - F.sum("s")) / F.sum("n"), 12) + 0.0).alias("h_cond"))
 
 
 def word_statistics(t: DataFrame) -> DataFrame:
     """Tokens, types, type/token ratio, mean length, word entropy."""
-    w = counted(t, "token", "tok_idx")
+    w = tallied(t, "token", "tok_idx")
     return w.groupBy("doc_id").agg(
         F.sum("c").alias("tokens"), F.count("*").alias("types"), F.round(F.count("*") / F.sum("c"), 4).alias("ttr"),
-        F.round(F.sum(F.col("c") * F.char_length("token")) / F.sum("c"), 4).alias("mean_length"), F.round(_bits(), 4).alias("h_word"),
+        F.round(F.sum(F.col("c") * F.char_length("token")) / F.sum("c"), 4).alias("mean_length"), F.round(bits(F.col("c")), 4).alias("h_word"),
     )
 
 
 def zipf_fit(t: DataFrame) -> DataFrame:
     """Least squares of log10 frequency on log10 rank over words seen twice; needs five."""
-    w = counted(t, "token", "tok_idx").withColumn("rk", F.row_number().over(_by_doc().orderBy(F.desc("c"), "first"))).filter("c >= 2")
+    w = tallied(t, "token", "tok_idx").withColumn("rk", F.row_number().over(_by_doc().orderBy(F.desc("c"), "first"))).filter("c >= 2")
     w = w.select("doc_id", F.log10(F.col("rk").cast("double")).alias("x"), F.log10(F.col("c").cast("double")).alias("y"))
     fit = w.groupBy("doc_id").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.regr_r2("y", "x").alias("r2"), F.stddev_pop("y").alias("sd"), F.count("*").alias("fitted_ranks"))
     return fit.filter("fitted_ranks >= 5").select("doc_id", F.round(0.0 - F.col("b"), 3).alias("slope"), F.round("a", 3).alias("intercept"), F.when(F.col("sd") == 0, 1.0).otherwise(F.round("r2", 3)).alias("r2"), "fitted_ranks")
@@ -79,7 +91,7 @@ def zipf_fit(t: DataFrame) -> DataFrame:
 
 def top(rows: DataFrame, column: str, at: str, k: int) -> DataFrame:
     """The k most frequent values of each document; of equal counts the first seen."""
-    return counted(rows, column, at).withColumn("rk", F.row_number().over(_by_doc().orderBy(F.desc("c"), "first"))).filter(F.col("rk") <= k).select("doc_id", "rk", column, "c")
+    return tallied(rows, column, at).withColumn("rk", F.row_number().over(_by_doc().orderBy(F.desc("c"), "first"))).filter(F.col("rk") <= k).select("doc_id", "rk", column, "c")
 
 
 def ngrams(t: DataFrame, n: int) -> DataFrame:
@@ -89,28 +101,63 @@ def ngrams(t: DataFrame, n: int) -> DataFrame:
     return rows.select("doc_id", "gram", F.struct("tok_idx", "i").alias("at"))
 
 
-def shuffled(t: DataFrame, seeds: list[int]) -> DataFrame:
-    """doc_id, seed, tok_idx, token with a document's signs permuted and dealt to the same word lengths.
+def gathered(t: DataFrame) -> DataFrame:
+    """doc_id, places, words: each document's tokens in one row, in the order of the text."""
+    rows = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))).alias("x"))
+    return rows.select("doc_id", F.col("x.tok_idx").alias("places"), F.col("x.token").alias("words"))
+
 
-    The permutation sorts signs by md5 of seed, document and place: reproducible on any cluster.
+def shuffled_words(rows: DataFrame, seeds: list[int]) -> DataFrame:
+    """Rows (doc_id, words, other columns) once for each seed, with ``words`` shuffled: a document's signs permuted and dealt to the same lengths.
+
+    The permutation sorts signs by md5 of seed, document and place: reproducible on any cluster, and inside one row.
     """
-    order = Window.partitionBy("doc_id").orderBy("tok_idx")
-    lengths = t.select("doc_id", "tok_idx", F.char_length("token").alias("len")).withColumn("begin", F.sum("len").over(order) - F.col("len"))
-    s = signs(t).withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("tok_idx", "sign_in_tok")) - 1)
-    s = s.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
-    key = F.md5(F.concat_ws(":", "seed", "doc_id", "i"))
-    s = s.withColumn("j", F.row_number().over(Window.partitionBy("doc_id", "seed").orderBy(key)) - 1).select("doc_id", "seed", "j", "sign")
-    places = lengths.select("doc_id", "tok_idx", F.posexplode(F.sequence("begin", F.col("begin") + F.col("len") - 1)).alias("k", "j"))
-    return s.join(places, ["doc_id", "j"]).groupBy("doc_id", "seed", "tok_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "sign"))), lambda x: x["sign"]), "").alias("token"))
-
-
-def structure(t: DataFrame, seeds: list[int]) -> DataFrame:
-    """Entropy against its control, gap, and verdict."""
-    control = shuffled(t, seeds)
-    h = conditional_entropy(control).groupBy("doc_id").agg(F.avg("h_cond").alias("h_shuffled"))
-    types = control.groupBy("doc_id", "seed").agg(F.count_distinct("token").alias("n")).groupBy("doc_id").agg(F.avg("n").alias("types_shuffled"))
-    out = conditional_entropy(t).join(h, "doc_id").join(types, "doc_id").join(word_statistics(t).select("doc_id", "types"), "doc_id").join(zipf_fit(t), "doc_id", "left")
+    rows = rows.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    signs_ = F.filter(F.flatten(F.transform("words", lambda w: F.split(w, ""))), lambda c: c != "")
+    keyed = F.transform(signs_, lambda c, i: F.struct(F.md5(F.concat_ws(":", "seed", "doc_id", i)).alias("k"), c.alias("c")))
+    # behind the last sign of each word comes a mark that no text has, at which the joined signs are split
+    ends = F.flatten(F.transform("words", lambda w: F.concat(F.array_repeat(F.lit(""), F.char_length(w) - 1), F.array(F.lit("\ufdd0")))))
+    rows = rows.withColumn("_k", F.array_sort(keyed)).withColumn("_e", ends)
+    joined = F.array_join(F.zip_with("_k", "_e", lambda k, e: F.concat(k["c"], e)), "")
+    return rows.withColumn("words", F.filter(F.split(joined, "\ufdd0"), lambda w: w != "")).drop("_k", "_e")
+
+
+def shuffled(t: DataFrame, seeds: list[int]) -> DataFrame:
+    """A14 of tokens: doc_id, seed, tok_idx, token."""
+    rows = shuffled_words(gathered(t), seeds)
+    pairs = F.explode(F.arrays_zip("places", "words")).alias("x")
+    return rows.select("doc_id", "seed", pairs).select("doc_id", "seed", F.col("x.places").alias("tok_idx"), F.col("x.words").alias("token"))
+
+
+def control_means(c: DataFrame, seeds: list[int]) -> DataFrame:
+    """doc_id, h_cond, types, h_shuffled, types_shuffled of a corpus, the text and its shuffles in one pass."""
+    rows = c.select("doc_id", F.flatten("units").alias("words"))
+    rows = rows.withColumn("seed", F.lit(-1)).unionByName(shuffled_words(rows, seeds))
+    rows = rows.withColumn("types", F.size(F.array_distinct("words")))
+    types = rows.select("doc_id", "seed", "types", F.explode("words").alias("token"))
+    keys = ["doc_id", "seed", "types"]
+    h = conditional_entropy(types, keys)
+    of = lambda column, real: F.avg(F.when((F.col("seed") < 0) == F.lit(real), F.col(column)))
+    return h.groupBy("doc_id").agg(of("h_cond", True).alias("h_cond"), of("types", True).alias("types"), of("h_cond", False).alias("h_shuffled"), of("types", False).alias("types_shuffled"))
+
+
+def structure(c: DataFrame, seeds: list[int] = SEEDS) -> DataFrame:
+    """A15-A17 of a corpus: entropy against its control, gap, and verdict."""
+    tokens = c.select("doc_id", F.posexplode(F.flatten("units")).alias("tok_idx", "token"))
+    out = control_means(c, seeds).join(zipf_fit(tokens), "doc_id", "left")
     out = out.withColumn("gap", F.when(F.col("h_shuffled") != 0, (F.col("h_shuffled") - F.col("h_cond")) / F.col("h_shuffled")).otherwise(0.0) + 0.0)
     like = (F.col("gap") >= 0.08) & F.col("slope").between(0.7, 1.4) & (F.col("r2") >= 0.85) & (F.col("types_shuffled") > 1.15 * F.col("types"))
     verdict = F.when(F.coalesce(like, F.lit(False)), "language-like").when(F.col("gap") < 0.03, "random-like").otherwise("structured, unclear")
     return out.select("doc_id", F.round("h_cond", 3).alias("h_cond"), F.round("h_shuffled", 3).alias("h_cond_shuffled"), F.round("types_shuffled", 2).alias("types_shuffled"), (F.round("gap", 4) + 0.0).alias("structure_gap"), verdict.alias("verdict"))
+
+
+def zipf_curve(c: DataFrame, seed: int = SEEDS[0]) -> DataFrame:
+    """doc_id, series (document, shuffled, fit), rk, freq: the points of the rank-frequency plot."""
+    words = c.select("doc_id", F.flatten("units").alias("words"))
+    both = words.withColumn("series", F.lit("document")).unionByName(shuffled_words(words, [seed]).select("doc_id", "words", F.lit("shuffled").alias("series")))
+    counts = both.select("doc_id", "series", F.posexplode("words").alias("at", "w")).groupBy("doc_id", "series", "w").agg(F.count("*").alias("c"), F.min("at").alias("first"))
+    curve = counts.select("doc_id", "series", F.row_number().over(Window.partitionBy("doc_id", "series").orderBy(F.desc("c"), "first")).alias("rk"), F.col("c").cast("double").alias("freq"))
+    tokens = c.select("doc_id", F.posexplode(F.flatten("units")).alias("tok_idx", "token"))
+    fit = zipf_fit(tokens).select("doc_id", "slope", "intercept", "fitted_ranks").withColumn("rk", F.explode(F.expr("sequence(1, cast(fitted_ranks as int))")))
+    fitted = fit.select("doc_id", F.lit("fit").alias("series"), "rk", F.round(F.pow(F.lit(10.0), F.col("intercept") - F.col("slope") * F.log10(F.col("rk").cast("double"))), 3).alias("freq"))
+    return curve.unionByName(fitted)

@@ -6,55 +6,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiforge.operators.statistics import counted, sign_counts
+from lexiforge.operators.statistics import signs_tallied
 
 def _by_doc():
     return Window.partitionBy("doc_id")
 
 
+def word_types(t: DataFrame, reverse: bool = False) -> DataFrame:
+    """doc_id, w: each document's word types, dealt by document. All of M1-M6 keeps this partitioning, so it is the family's one exchange."""
+    word = F.reverse("token") if reverse else F.col("token")
+    return t.groupBy("doc_id", word.alias("w")).agg(F.lit(1).alias("one")).select("doc_id", "w").repartition("doc_id")
+
+
 def splits(t: DataFrame, reverse: bool = False) -> DataFrame:
-    """M1: doc_id, w, stem, suf of every word type with endings of one to three signs and stems of two at least."""
-    types = t.select("doc_id", (F.reverse("token") if reverse else F.col("token")).alias("w")).distinct()
-    n = F.char_length("w")
-    ends = types.select("doc_id", "w", F.explode(F.filter(F.sequence(F.lit(1), F.lit(3)), lambda k: n - k >= 2)).alias("k"))
+    """M1: doc_id, w, k, stem, suf of every word type with endings of one to three signs and stems of two at least."""
+    return _splits(word_types(t, reverse))
+
+
+def _splits(types: DataFrame, whole: bool = False) -> DataFrame:
+    """Splits; with ``whole`` also each word as a stem of its own, where k is 0 and suf empty."""
+    ends = types.select("doc_id", "w", F.explode(F.expr(f"filter(sequence({0 if whole else 1}, 3), k -> k = 0 OR char_length(w) - k >= 2)")).alias("k"))
     return ends.select("doc_id", "w", "k", F.expr("substring(w, 1, char_length(w) - k)").alias("stem"), F.expr("right(w, k)").alias("suf"))
 
 
-def productive(s: DataFrame) -> DataFrame:
-    """M2: splits whose stem has two endings at least, the bare stem counting as one; with ``score`` of the ending."""
-    bare = s.select("doc_id", F.col("w").alias("stem")).distinct().withColumn("bare", F.lit(1))
-    stems = s.groupBy("doc_id", "stem").agg(F.count("*").alias("n")).join(bare, ["doc_id", "stem"], "left")
-    stems = stems.filter(F.col("n") + F.coalesce("bare", F.lit(0)) >= 2).select("doc_id", "stem")
-    return s.join(stems, ["doc_id", "stem"]).withColumn("score", F.count("*").over(Window.partitionBy("doc_id", "suf")))
+def _productive(types: DataFrame) -> DataFrame:
+    """M2: the splits whose stem has two endings at least, the bare stem (of three signs) counting as one; and the words themselves, with k 0."""
+    s = _splits(types, whole=True)
+    stem = Window.partitionBy("doc_id", "stem")
+    n = F.count_if(F.col("k") > 0).over(stem)
+    bare = F.max(F.when((F.col("k") == 0) & (F.char_length("w") >= 3), 1).otherwise(0)).over(stem)
+    s = s.withColumn("open", (F.col("k") > 0) & (n + bare >= 2)).withColumn("is_word", F.max((F.col("k") == 0).cast("int")).over(stem))
+    s = s.filter("open")
+    return s.withColumn("score", F.count("*").over(Window.partitionBy("doc_id", "suf")))
+
+
+def productive(t: DataFrame, reverse: bool = False) -> DataFrame:
+    """M2: doc_id, w, k, stem, suf, score (stems of the ending) of the splits that count."""
+    return _productive(word_types(t, reverse)).select("doc_id", "w", "k", "stem", "suf", "score")
 
 
 def affix_scores(t: DataFrame, reverse: bool = False, k: int = 12) -> DataFrame:
     """M2, M6: the k best endings (beginnings if reverse) by number of stems; of equal scores in the order of their signs."""
-    p = productive(splits(t, reverse)).groupBy("doc_id", "suf").agg(F.max("score").alias("score"))
+    p = productive(t, reverse).groupBy("doc_id", "suf").agg(F.max("score").alias("score"))
     affix = F.reverse("suf") if reverse else F.col("suf")
     p = p.withColumn("affix", affix).withColumn("rk", F.row_number().over(_by_doc().orderBy(F.desc("score"), "affix")))
     return p.filter(F.col("rk") <= k).select("doc_id", "rk", "affix", "score")
 
 
+def _best(t: DataFrame, reverse: bool) -> DataFrame:
+    p = _productive(word_types(t, reverse)).withColumn("v", F.struct((F.col("score") * (100 + 15 * F.col("k"))).alias("x"), "stem", "suf", "is_word"))
+    return p.groupBy("doc_id", "w").agg(F.max("v").alias("v")).select("doc_id", "w", "v.stem", "v.suf", "v.is_word")
+
+
 def best_splits(t: DataFrame, reverse: bool = False) -> DataFrame:
     """M3: for each word type the split of greatest (score (1 + 0.15 k), stem, ending)."""
-    p = productive(splits(t, reverse)).withColumn("v", F.struct((F.col("score") * (100 + 15 * F.col("k"))).alias("x"), "stem", "suf"))
-    return p.groupBy("doc_id", "w").agg(F.max("v").alias("v")).select("doc_id", "w", "v.stem", "v.suf")
+    return _best(t, reverse).select("doc_id", "w", "stem", "suf")
 
 
 def paradigms(t: DataFrame, reverse: bool = False) -> DataFrame:
     """M4: doc_id, stem, e: the sorted endings of stems with two or more; a bare stem that is a word adds the empty ending."""
-    best = best_splits(t, reverse)
-    words = t.select("doc_id", (F.reverse("token") if reverse else F.col("token")).alias("stem")).distinct()
-    stems = best.select("doc_id", "stem").distinct().join(words, ["doc_id", "stem"], "left_semi").withColumn("suf", F.lit(""))
-    return best.select("doc_id", "stem", "suf").unionByName(stems).groupBy("doc_id", "stem").agg(F.array_sort(F.collect_set("suf")).alias("e")).filter("size(e) >= 2")
+    e = _best(t, reverse).groupBy("doc_id", "stem").agg(F.collect_set("suf").alias("e"), F.max("is_word").alias("is_word"))
+    e = e.select("doc_id", "stem", F.array_sort(F.when(F.col("is_word") > 0, F.array_append("e", F.lit(""))).otherwise(F.col("e"))).alias("e"))
+    return e.filter("size(e) >= 2")
 
 
-def signatures(t: DataFrame, reverse: bool = False, k: int = 8) -> DataFrame:
-    """M5: sets of endings that three or more stems share."""
-    sigs = paradigms(t, reverse).groupBy("doc_id", "e").agg(F.count("*").alias("stems")).filter("stems >= 3").withColumn("endings", F.array_join("e", "|"))
+def signatures(t: DataFrame, reverse: bool = False, k: int | None = 8) -> DataFrame:
+    """M5: sets of endings that three or more stems share; the k first by stems times endings (all for None), with the first stems as examples."""
+    sigs = paradigms(t, reverse).groupBy("doc_id", "e").agg(F.count("*").alias("stems"), F.slice(F.array_sort(F.collect_list("stem")), 1, 4).alias("examples"))
+    sigs = sigs.filter("stems >= 3").withColumn("endings", F.array_join("e", "|"))
     order = _by_doc().orderBy((-F.col("stems") * F.size("e")), "endings")
-    return sigs.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k).select("doc_id", "rk", "endings", "stems")
+    sigs = sigs.withColumn("rk", F.row_number().over(order))
+    return (sigs if k is None else sigs.filter(F.col("rk") <= k)).select("doc_id", "rk", "endings", "stems", "examples")
 
 
 def paradigm_words(t: DataFrame, reverse: bool = False) -> DataFrame:
@@ -88,7 +110,7 @@ def numeral_signs(t: DataFrame) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(1), F.char_length("token") - 1), lambda i: F.substring("token", i, F.lit(2)))
     twice = t.filter("char_length(token) >= 2").select("doc_id", F.explode(pairs).alias("p")).filter("substring(p, 1, 1) = substring(p, 2, 1)")
     twice = twice.groupBy("doc_id", F.substring("p", 1, 1).alias("sign")).agg(F.count("*").alias("doubled"))
-    s = sign_counts(t).join(twice, ["doc_id", "sign"], "left").withColumn("doubled", F.coalesce("doubled", F.lit(0)))
+    s = signs_tallied(t).join(twice, ["doc_id", "sign"], "left").withColumn("doubled", F.coalesce("doubled", F.lit(0))).withColumn("total", F.sum("c").over(_by_doc()))
     digit = F.col("sign").rlike(r"^\p{Nd}$")
     tally = (F.col("c") >= 5) & (F.col("doubled") / F.col("c") >= 0.25) & (F.col("doubled") / F.col("c") > 5 * F.col("c") / F.col("total"))
     return s.filter(digit | tally).select("doc_id", "sign", "c", F.when(digit, "digit").otherwise("tally").alias("kind"))

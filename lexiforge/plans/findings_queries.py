@@ -43,7 +43,7 @@ def name_candidates_uninflected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def affix_signatures_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, t = analysed(spark, sf_dir)
-    return fi.controlled_signatures(t, c)
+    return fi.controlled_signatures(t, c).drop("examples")
 
 
 def sign_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,22 @@ fw0 AS (SELECT doc_id, token, count(*) AS c, min(tok_idx) AS first, max(n) AS n,
 fw1 AS (SELECT *, median(len(token)) OVER (PARTITION BY doc_id) AS med, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, first) AS top FROM fw0),
 fw AS (SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY top) AS rk, token, c FROM fw1 ANTI JOIN pw USING (doc_id, token) WHERE top <= 40 AND c / n >= 0.005 AND len(token) <= med AND spread >= 0.7) WHERE rk <= 10)"""
 
+
+
+def _signatures(name: str, splits: str, types: str) -> str:
+    return f""", {name}_x AS (SELECT doc_id, w, max(struct_pack(x := score * (100 + 15 * k), stem := stem, suf := suf)) AS v FROM {splits} GROUP BY doc_id, w),
+{name}_e AS (SELECT doc_id, v.stem AS stem, v.suf AS suf FROM {name}_x UNION SELECT y.doc_id, v.stem, '' FROM {name}_x y JOIN {types} ty ON ty.doc_id = y.doc_id AND ty.w = v.stem),
+{name}_q AS (SELECT doc_id, stem, list_sort(list(DISTINCT suf)) AS e FROM {name}_e GROUP BY ALL HAVING count(DISTINCT suf) >= 2),
+{name} AS (SELECT doc_id, array_to_string(e, '|') AS endings, count(*) AS stems, row_number() OVER (PARTITION BY doc_id ORDER BY -count(*) * len(e), array_to_string(e, '|')) AS rk FROM {name}_q GROUP BY doc_id, e HAVING count(*) >= 3)"""
+
+
 ORACLE_SQL = {
+    "affix_signatures_controlled": CONTROL + _signatures("real", "suffix_p", "suffix_t") + _signatures("fake", "control_suffix_p", "control_suffix_t") + """
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rk) AS rk, endings, stems FROM real JOIN ac USING (doc_id) LEFT JOIN (SELECT doc_id, max(stems) AS best FROM fake GROUP BY doc_id) USING (doc_id)
+        WHERE rk <= 8 AND significant AND stems >= 2 * greatest(coalesce(best, 2), 2)""",
+    "name_candidates_uninflected": CONTROL + """, nw AS (SELECT doc_id, token, count(*) AS c, min(tok_idx) AS a, max(tok_idx) AS b FROM tok GROUP BY ALL),
+        nx AS (SELECT *, sum(c) OVER (PARTITION BY doc_id) AS n, median(len(token)) OVER (PARTITION BY doc_id) AS med FROM nw)
+        SELECT doc_id, rk, token, c FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, a) AS rk FROM nx ANTI JOIN pw USING (doc_id, token) WHERE c BETWEEN 2 AND 8 AND len(token) >= med AND (b - a) / n <= 0.2) WHERE rk <= 12""",
     "affix_control": CONTROL + """ SELECT *, CASE WHEN significant AND suffix + prefix > 0 THEN CASE WHEN suffix * 10 >= prefix * 13 THEN 'suffixing' WHEN prefix * 10 >= suffix * 13 THEN 'prefixing' ELSE 'mixed' END END AS side FROM ac""",
     "function_words": _FUNCTION + " SELECT * FROM fw",
     "word_order_hint": _FUNCTION + """, fl AS (SELECT tok.doc_id, unit_idx, pos, fw.rk IS NOT NULL AS f FROM tok LEFT JOIN fw USING (doc_id, token)),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from lexiforge.functions.text import DOCUMENT_TYPES
 
 TOKENS = r"""
 WITH b AS (SELECT doc_id, replace(coalesce(text, ''), chr(13), '') AS body FROM documents),
@@ -24,6 +23,23 @@ wc AS (SELECT doc_id, token, count(*) AS c, min(tok_idx) AS first, sum(count(*))
 """
 
 
+# Texts without white space (see queries.unspaced): the sign that divides words, and the number of tokens.
+UNSPACED = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', CASE WHEN ((doc_id % 2) + 2) % 2 = 0 THEN chr(57376) ELSE '' END, 'g') AS body FROM documents),
+ch AS (SELECT doc_id, unnest(string_split(body, '')) AS ch, generate_subscripts(string_split(body, ''), 1) AS i FROM d WHERE body <> ''),
+nb AS (SELECT *, lag(ch) OVER o AS l, lead(ch) OVER o AS r, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS run FROM ch WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ct AS (SELECT doc_id, ch, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(i)) AS rk FROM nb GROUP BY doc_id, ch),
+db AS (SELECT doc_id, ch, sum(m // 2) AS doubled FROM (SELECT doc_id, ch, run, count(*) AS m FROM nb GROUP BY ALL) GROUP BY ALL),
+sd AS (SELECT doc_id, ch, s, x, count(*) AS c FROM (SELECT doc_id, ch, 'l' AS s, l AS x FROM nb WHERE l IS NOT NULL UNION ALL SELECT doc_id, ch, 'r', r FROM nb WHERE r IS NOT NULL) GROUP BY ALL),
+en AS (SELECT doc_id, ch, sum(-c / t * log2(c / t)) AS score FROM (SELECT *, sum(c) OVER (PARTITION BY doc_id, ch, s) AS t FROM sd) GROUP BY ALL),
+ca AS (SELECT doc_id, ch, rk, score, rk <= 6 AND doubled / n < 0.02 AS fit FROM ct JOIN db USING (doc_id, ch) JOIN en USING (doc_id, ch) WHERE rk <= 15 AND n >= 10),
+be AS (SELECT doc_id, max(struct_pack(s := score, k := -rk, c := ch)) AS b FROM ca WHERE fit GROUP BY doc_id),
+found AS (SELECT be.doc_id, any_value(b.c) AS ch FROM be JOIN ca ON ca.doc_id = be.doc_id AND ca.ch <> b.c GROUP BY be.doc_id HAVING any_value(b.s) > max(score) * 1.05),
+sm AS (SELECT doc_id, body, found.ch AS sep, regexp_matches(body, '\p{Lu}') AND regexp_matches(body, '\p{Ll}') AS hc FROM d LEFT JOIN found USING (doc_id)),
+w AS (SELECT doc_id, len(list_filter(list_transform(CASE WHEN sep IS NOT NULL THEN string_split(body, sep) ELSE string_split(body, '') END, lambda t: regexp_replace(t, '\p{P}', '', 'g')), lambda t: t <> '')) AS n, 1 AS nu FROM sm)
+"""
+
+
 def _pairs(source: str, keys: str) -> str:
     return f"""(SELECT {keys}, substr('^' || token || '$', CAST(i AS BIGINT), 2) AS ab FROM (SELECT *, unnest(generate_series(1, len(token) + 1)) AS i FROM {source}))"""
 
@@ -70,11 +86,17 @@ nums AS (SELECT sc.doc_id, sc.sign, sc.c, CASE WHEN regexp_full_match(sc.sign, '
 """
 
 
+_TYPES = [
+    ("legal or licence text", "hereby|licence|license|warranty|liability|pursuant"), ("letter or email", "dear |regards|sincerely|subject:"),
+    ("invoice or financial record", "invoice|total|amount due|gst|qty"), ("academic or technical paper", "abstract|introduction|references|et al"), ("code or configuration", "def |import |function|{|};"),
+]
+
+
 def _doc_type() -> str:
-    hits = [" + ".join(f"CAST(contains(t, '{m}') AS INTEGER)" for m in marks) for _, marks in DOCUMENT_TYPES]
+    hits = [" + ".join(f"CAST(contains(t, '{m}') AS INTEGER)" for m in marks.split("|")) for _, marks in _TYPES]
     cols = ", ".join(f"{h} AS h{i}" for i, h in enumerate(hits))
     most = "greatest(" + ", ".join(f"h{i}" for i in range(len(hits))) + ")"
-    cases = " ".join(f"WHEN h{i} = {most} AND {most} >= 2 THEN '{n}'" for i, (n, _) in enumerate(DOCUMENT_TYPES))
+    cases = " ".join(f"WHEN h{i} = {most} AND {most} >= 2 THEN '{n}'" for i, (n, _) in enumerate(_TYPES))
     return f"SELECT doc_id, CASE {cases} ELSE 'general prose' END AS doc_type FROM (SELECT doc_id, {cols} FROM (SELECT doc_id, lower(text) AS t FROM documents))"
 
 
@@ -99,21 +121,34 @@ ORACLE_SQL = {
         j AS (SELECT *, distinct_signs + CASE WHEN f2 > 0 THEN f1 * f1 / (2.0 * f2) ELSE f1 * (f1 - 1) / 2.0 END AS chao FROM i)
         SELECT doc_id, total_signs, distinct_signs, f1 AS hapax_signs, round(chao, 1) AS chao1_inventory, round(f1 / total_signs, 4) AS unseen_mass, round(h, 4) AS h1,
         CASE WHEN round(chao) <= 40 THEN 'alphabet or abjad' WHEN round(chao) <= 100 THEN 'syllabary (possibly with some logograms)' WHEN round(chao) <= 1000 THEN 'logo-syllabic system' ELSE 'logographic system' END AS system_type FROM j""",
-    "divider_like_signs": TOKENS + "SELECT s.doc_id, s.sign, s.alone FROM (SELECT doc_id, token AS sign, count(*) AS alone FROM tok WHERE len(token) = 1 GROUP BY ALL) s JOIN sc USING (doc_id, sign) WHERE alone >= 5 AND alone / sc.c >= 0.8",
+    "divider_like_signs": TOKENS + "SELECT s.doc_id, s.sign, s.alone FROM (SELECT doc_id, token AS sign, count(*) AS alone FROM tok WHERE len(token) = 1 GROUP BY ALL) s JOIN sc USING (doc_id, sign) SEMI JOIN (SELECT doc_id FROM p WHERE spaced) USING (doc_id) WHERE alone >= 5 AND alone / sc.c >= 0.8",
     "conditional_entropy": TOKENS + f"SELECT doc_id, round(h_cond, 4) AS h_cond FROM {_cond('tok', 'doc_id')}",
     "word_statistics": TOKENS + "SELECT doc_id, sum(c) AS tokens, count(*) AS types, round(count(*) / sum(c), 4) AS ttr, round(sum(c * len(token)) / sum(c), 4) AS mean_length, round(0.0 - sum(c / total * log2(c / total)), 4) AS h_word FROM wc GROUP BY doc_id",
     "zipf_fit": TOKENS + f"SELECT * FROM {_ZIPF}",
     "top_words": TOKENS + _top("tok", "token", 25, "tok_idx"),
     "top_bigrams": TOKENS + _top(_grams(2), "gram", 15, "struct_pack(a := tok_idx, b := i)"),
     "top_trigrams": TOKENS + _top(_grams(3), "gram", 15, "struct_pack(a := tok_idx, b := i)"),
-    "structure_verdict": TOKENS + f""", pl AS (SELECT doc_id, tok_idx, sign, k, row_number() OVER (PARTITION BY doc_id ORDER BY tok_idx, k) - 1 AS i FROM sg),
-        sh AS (SELECT doc_id, sign, row_number() OVER (PARTITION BY doc_id ORDER BY md5('0:' || doc_id || ':' || i)) - 1 AS i FROM pl),
-        ct AS (SELECT pl.doc_id, pl.tok_idx, string_agg(sh.sign, '' ORDER BY pl.k) AS token FROM pl JOIN sh USING (doc_id, i) GROUP BY ALL),
-        m AS (SELECT a.doc_id, a.h_cond AS h, b.h_cond AS hs, n.n AS ts, t.types, z.slope, z.r2 FROM {_cond('tok', 'doc_id')} a JOIN {_cond('ct', 'doc_id')} b USING (doc_id)
-              JOIN (SELECT doc_id, CAST(count(DISTINCT token) AS DOUBLE) AS n FROM ct GROUP BY doc_id) n USING (doc_id) JOIN (SELECT doc_id, count(*) AS types FROM wc GROUP BY doc_id) t USING (doc_id) LEFT JOIN {_ZIPF} z USING (doc_id)),
+    "structure_verdict": TOKENS + f""", pl AS (SELECT seed, doc_id, tok_idx, sign, k, row_number() OVER (PARTITION BY seed, doc_id ORDER BY tok_idx, k) - 1 AS i FROM sg, (SELECT unnest([0, 1, 2, 3, 4]) AS seed)),
+        sh AS (SELECT seed, doc_id, sign, row_number() OVER (PARTITION BY seed, doc_id ORDER BY md5(seed || ':' || doc_id || ':' || i)) - 1 AS i FROM pl),
+        ct AS (SELECT pl.seed, pl.doc_id, pl.tok_idx, string_agg(sh.sign, '' ORDER BY pl.k) AS token FROM pl JOIN sh USING (seed, doc_id, i) GROUP BY ALL),
+        m AS (SELECT a.doc_id, a.h_cond AS h, b.h AS hs, n.n AS ts, t.types, z.slope, z.r2 FROM {_cond('tok', 'doc_id')} a JOIN (SELECT doc_id, avg(h_cond) AS h FROM {_cond('ct', 'doc_id, seed')} GROUP BY doc_id) b USING (doc_id)
+              JOIN (SELECT doc_id, avg(n) AS n FROM (SELECT doc_id, seed, CAST(count(DISTINCT token) AS DOUBLE) AS n FROM ct GROUP BY ALL) GROUP BY doc_id) n USING (doc_id) JOIN (SELECT doc_id, count(*) AS types FROM wc GROUP BY doc_id) t USING (doc_id) LEFT JOIN {_ZIPF} z USING (doc_id)),
         g AS (SELECT *, CASE WHEN hs <> 0 THEN (hs - h) / hs ELSE 0.0 END AS gap FROM m)
         SELECT doc_id, round(h, 3) AS h_cond, round(hs, 3) AS h_cond_shuffled, round(ts, 2) AS types_shuffled, round(gap, 4) + 0.0 AS structure_gap,
         CASE WHEN coalesce(gap >= 0.08 AND slope BETWEEN 0.7 AND 1.4 AND r2 >= 0.85 AND ts > 1.15 * types, false) THEN 'language-like' WHEN gap < 0.03 THEN 'random-like' ELSE 'structured, unclear' END AS verdict FROM g""",
+    "signs_per_word": TOKENS + "SELECT p.doc_id, CASE WHEN spaced THEN 'whitespace' ELSE 'none' END AS separator, CASE WHEN spaced THEN round(m, 4) END AS signs_per_word FROM p LEFT JOIN (SELECT doc_id, avg(len(token)) AS m FROM tok GROUP BY doc_id) USING (doc_id)",
+    "sample_units": TOKENS + "SELECT doc_id, unit_idx, array_to_string(u, ' ') AS unit FROM un WHERE unit_idx < 3",
+    "zipf_curve": TOKENS + f""", pl AS (SELECT doc_id, tok_idx, sign, k, row_number() OVER (PARTITION BY doc_id ORDER BY tok_idx, k) - 1 AS i FROM sg),
+        sh AS (SELECT doc_id, sign, row_number() OVER (PARTITION BY doc_id ORDER BY md5('0:' || doc_id || ':' || i)) - 1 AS i FROM pl),
+        ct AS (SELECT pl.doc_id, pl.tok_idx, string_agg(sh.sign, '' ORDER BY pl.k) AS token FROM pl JOIN sh USING (doc_id, i) GROUP BY ALL),
+        tw AS (SELECT doc_id, 'document' AS series, token, count(*) AS c, min(tok_idx) AS f FROM tok GROUP BY ALL UNION ALL SELECT doc_id, 'shuffled', token, count(*), min(tok_idx) FROM ct GROUP BY ALL)
+        SELECT doc_id, series, row_number() OVER (PARTITION BY doc_id, series ORDER BY c DESC, f) AS rk, CAST(c AS DOUBLE) AS freq FROM tw
+        UNION ALL SELECT doc_id, 'fit', i AS rk, round(pow(10.0, intercept - slope * log10(i)), 3) FROM (SELECT *, unnest(generate_series(1, fitted_ranks)) AS i FROM {_ZIPF})""",
+    "unspaced_separators": UNSPACED + r"""SELECT d.doc_id, CASE WHEN found.ch IS NULL THEN 'none' ELSE 'sign ' || CASE WHEN found.ch = chr(57376) THEN 'P032' ELSE found.ch END END AS separator, coalesce(w.n, 0) AS tokens
+        FROM d LEFT JOIN found USING (doc_id) LEFT JOIN w USING (doc_id)""",
+    "unspaced_notes": UNSPACED + r"""SELECT doc_id, seq, note FROM (SELECT d.doc_id, unnest(list_filter([CASE WHEN found.ch IS NOT NULL THEN 'there is no white space; the sign ' || CASE WHEN found.ch = chr(57376) THEN 'P032' ELSE found.ch END || ' is taken as the word divider'
+        ELSE 'there is no word divider; each sign is a token' END, CASE WHEN nu <= 1 AND n > 60 THEN 'there are neither sentences nor lines; units are runs of 12 tokens' END], lambda x: x IS NOT NULL)) AS note,
+        unnest(range(2)) AS seq FROM d LEFT JOIN found USING (doc_id) LEFT JOIN w USING (doc_id)) WHERE note IS NOT NULL""",
     "redact_documents": _redact(),
     "condition_notes": "SELECT doc_id, len(text) AS characters, len(text) - len(replace(text, chr(10), '')) + 1 AS lines, len(text) - len(replace(text, chr(65533), '')) AS unreadable FROM documents",
     "doc_type": _doc_type(),

@@ -61,7 +61,7 @@ def test_verdict_averages_five_shuffles(spark):
     for r in st.shuffled(t, [0, 1, 2, 3, 4]).groupBy("doc_id", "seed").agg(F.count_distinct("token").alias("n")).collect():
         types.setdefault(r["doc_id"], []).append(r["n"])
     ids = list(types)
-    got = registry.QUERIES["structure_verdict_five_shuffles"](spark, SF).filter(F.col("doc_id").isin(ids)).collect()
+    got = registry.QUERIES["structure_verdict"](spark, SF).filter(F.col("doc_id").isin(ids)).collect()
     assert len(got) == len(ids) and all(abs(r["types_shuffled"] - sum(types[r["doc_id"]]) / 5) < 0.006 and len(types[r["doc_id"]]) == 5 for r in got)
 
 

@@ -66,3 +66,78 @@ def show(text: Column, glyph_mode: bool = False) -> Column:
     """labels joined by hyphens where the text has private signs, else the text."""
     labels = F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), label), "-")
     return labels if glyph_mode else F.when(text.rlike(r"[\x{E000}-\x{F8FF}]"), labels).otherwise(text)
+
+
+def parse_label(text: Column, has_case: Column) -> Column:
+    """the signs of a token written in labels (G000, P000, joined by hyphens); another token as it is, in lower case where the text has both cases."""
+    labels = text.rlike(r"^[GP][0-9]{3}(-[GP][0-9]{3})*$")
+
+    def sign(part: Column) -> Column:
+        cp = F.substring(part, 2, 3).cast("int") + F.when(F.startswith(part, F.lit("G")), 0xF0000).otherwise(0xE000)
+        return F.decode(F.unhex(F.lpad(F.hex(cp.cast("long")), 8, "0")), "UTF-32")
+
+    signs = F.array_join(F.transform(F.when(labels, F.split(text, "-")), sign), "")
+    return F.when(labels, signs).when(has_case, F.lower(text)).otherwise(text)
+
+
+def claim(label: str, text: Column) -> Column:
+    """a claim: OBSERVED (measured), INFERRED (probable from patterns) or HYPOTHESIS (a guess to be tested)."""
+    if label not in ("OBSERVED", "INFERRED", "HYPOTHESIS"):
+        raise ValueError(label)
+    return F.struct(F.lit(label).alias("label"), text.alias("text"))
+
+
+#: Names of languages by code.
+LANGUAGES = {
+    "ar": "Arabic", "bg": "Bulgarian", "bn": "Bengali", "ca": "Catalan", "cs": "Czech", "da": "Danish", "de": "German", "el": "Greek", "en": "English", "es": "Spanish", "fa": "Persian",
+    "fi": "Finnish", "fr": "French", "he": "Hebrew", "hi": "Hindi", "hu": "Hungarian", "id": "Indonesian", "it": "Italian", "ja": "Japanese", "ko": "Korean", "la": "Latin", "nl": "Dutch",
+    "pl": "Polish", "pt": "Portuguese", "ro": "Romanian", "ru": "Russian", "sv": "Swedish", "ta": "Tamil", "tr": "Turkish", "uk": "Ukrainian", "ur": "Urdu", "vi": "Vietnamese", "zh": "Chinese",
+}
+
+
+def language_name(code: Column) -> Column:
+    """the name of a language, else its code."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), code), code)
+
+
+def anchor_phrase(anchor: Column) -> Column:
+    """F24."""
+    return F.when(anchor == "numbers", "next to a number").when(anchor == "line_start", "at the start of a unit").when(anchor == "line_end", "at the end of a unit").otherwise(F.concat(F.lit("next to "), anchor))
+
+
+def _plain_latin() -> tuple[str, str]:
+    """Letters with marks that Unicode decomposes to one basic letter, and those letters, in the order of their codes."""
+    import unicodedata
+
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]
+    pairs += [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0x1E00, 0x1F00)]
+    pairs = [(a, b) for a, b in pairs if a != b and b.isascii()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+#: Latin letters that do not decompose.
+LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "þ": "th", "ı": "i"}
+
+
+def transliterated(text: Column) -> Column:
+    """lower-case Latin text in basic letters; other scripts as they are."""
+    out = F.translate(F.lower(text), *_plain_latin())
+    for a, b in LETTERS.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def deletions(word: Column) -> Column:
+    """a word and what is left of it without one of its signs, in order; each once."""
+    cut = F.transform(F.sequence(F.lit(1), F.char_length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.char_length(word))))
+    return F.when(F.char_length(word) > 0, F.array_distinct(F.concat(F.array(word), cut))).otherwise(F.array(word))
+
+
+def mapped(word: Column, mapping: Column) -> Column:
+    """F16: a word with each sign replaced by its value in a map; a sign without one becomes a question mark."""
+    return F.array_join(F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.coalesce(F.element_at(mapping, c), F.lit("?"))), "")
+
+
+def generated() -> Column:
+    """the time of the report to the second."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")

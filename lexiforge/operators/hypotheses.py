@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexiforge.functions.text import anchor_phrase, language_name, mapped, parse_label, show
 from lexiforge.operators.findings import inflected_words
 from lexiforge.operators.structure import with_numbers
 
@@ -53,31 +54,111 @@ def with_hypotheses(docs: DataFrame, lines: list[str], kind: str) -> DataFrame:
     each = F.posexplode(F.array(*map(F.lit, lines))).alias("hyp", "line")
     h = parse(docs.select("doc_id", "has_case", each)).filter(F.col("kind") == kind)
     for c in ("token", "affix"):
-        h = h.withColumn(c, F.when(F.col("has_case"), F.lower(c)).otherwise(F.col(c)))
-    return h.withColumn("target", F.when(F.col("has_case"), F.lower("anchor")).otherwise(F.col("anchor"))).drop("has_case")
+        h = h.withColumn(c, parse_label(F.col(c), F.col("has_case")))
+    return h.withColumn("target", parse_label(F.col("anchor"), F.col("has_case"))).withColumnRenamed("has_case", "has_case_")
 
 
-def gloss_test(docs: DataFrame, t: DataFrame, lines: list[str]) -> DataFrame:
-    """H2-H5: doc_id, hyp, occurrences, rate, chance (the exact share over all places), verdict.
+def _mentioned(docs: DataFrame, lines: list[str], kind: str, column: str) -> list[str]:
+    """What commands of a kind name in a column, as written and in lower case; a user's list, read to the driver."""
+    spark = docs.sparkSession
+    rows = parse(spark.createDataFrame(list(enumerate(lines)), "hyp int, line string")).filter(F.col("kind") == kind).select(column).distinct().collect() if lines else []
+    return sorted({x for (w,) in rows if w for x in (w, w.lower())}) or [""]
 
-    A token that the document lacks, or a command without an anchor, is UNTESTABLE and has no rate.
-    """
+
+def places(t: DataFrame) -> DataFrame:
+    """H2, H3: each token with the tokens before and after it in its unit (p, q) and whether a number is next to it."""
     order = Window.partitionBy("doc_id", "unit_idx").orderBy("pos")
     cells = with_numbers(t).withColumn("p", F.lag("token").over(order)).withColumn("q", F.lead("token").over(order))
     near_num = F.coalesce(F.lag("is_num").over(order), F.lit(False)) | F.coalesce(F.lead("is_num").over(order), F.lit(False))
-    cells = cells.select("doc_id", F.col("token").alias("word"), "pos", "unit_len", "p", "q", near_num.alias("near_num"))
-    h = with_hypotheses(docs, lines, "gloss").select("doc_id", "hyp", "token", "anchor", "target")
+    return cells.select("doc_id", "unit_idx", F.col("token").alias("word"), "pos", "unit_len", "p", "q", near_num.alias("near_num"))
+
+
+def _near() -> Column:
+    """H3 of a place that was joined with a hypothesis."""
     beside = F.coalesce(F.col("p") == F.col("target"), F.lit(False)) | F.coalesce(F.col("q") == F.col("target"), F.lit(False))
-    near = F.when(F.col("anchor") == "numbers", F.col("near_num")).when(F.col("anchor") == "line_start", F.col("pos") == 0).when(F.col("anchor") == "line_end", F.col("pos") == F.col("unit_len") - 1).otherwise(beside)
-    x = h.join(cells, "doc_id", "left").withColumn("near", near)
-    it = F.coalesce(F.col("word") == F.col("token"), F.lit(False))
-    x = x.groupBy("doc_id", "hyp", "anchor").agg(F.count_if(it).alias("occurrences"), F.count_if(it & F.col("near")).alias("ok"), F.count_if("near").alias("all_near"), F.count("word").alias("cells"))
+    return F.when(F.col("anchor") == "numbers", F.col("near_num")).when(F.col("anchor") == "line_start", F.col("pos") == 0).when(F.col("anchor") == "line_end", F.col("pos") == F.col("unit_len") - 1).otherwise(beside)
+
+
+def gloss_test(docs: DataFrame, t: DataFrame, lines: list[str]) -> DataFrame:
+    """H2-H5: doc_id, hyp, occurrences, rate, chance (the exact share over all places), verdict.
+
+    A token that the document lacks, or a command without an anchor, is UNTESTABLE and has no rate. Places are counted once
+    for each document and kind of anchor, and only places with a token that a command names meet the commands.
+    """
+    h = with_hypotheses(docs, lines, "gloss").select("doc_id", "hyp", "token", "anchor", "target")
+    tokens_, targets = _mentioned(docs, lines, "gloss", "token"), _mentioned(docs, lines, "gloss", "anchor")
+    cells = places(t)
+    totals = cells.groupBy("doc_id").agg(F.count("*").alias("cells"), F.count_if("near_num").alias("numbers"), F.count_if(F.col("pos") == 0).alias("starts"), F.count_if(F.col("pos") == F.col("unit_len") - 1).alias("ends"))
+    beside = cells.filter(F.col("p").isin(targets) | F.col("q").isin(targets)).select("doc_id", F.explode(F.array_distinct(F.array("p", "q"))).alias("target")).filter("target IS NOT NULL").groupBy("doc_id", "target").agg(F.count("*").alias("beside"))
+    uses = h.join(cells.filter(F.col("word").isin(tokens_)).withColumnRenamed("word", "token"), ["doc_id", "token"]).groupBy("doc_id", "hyp").agg(F.count("*").alias("occurrences"), F.count_if(_near()).alias("ok"))
+    x = h.join(totals, "doc_id", "left").join(beside, ["doc_id", "target"], "left").join(uses, ["doc_id", "hyp"], "left").fillna(0, ["occurrences", "ok", "beside"])
+    near = F.when(F.col("anchor") == "numbers", F.col("numbers")).when(F.col("anchor") == "line_start", F.col("starts")).when(F.col("anchor") == "line_end", F.col("ends")).otherwise(F.col("beside"))
     testable = (F.col("occurrences") > 0) & F.col("anchor").isNotNull()
-    x = x.withColumn("rate", F.when(testable, F.col("ok") / F.col("occurrences"))).withColumn("chance", F.when(testable, F.col("all_near") / F.col("cells")))
+    x = x.withColumn("rate", F.when(testable, F.col("ok") / F.col("occurrences"))).withColumn("chance", F.when(testable, near / F.col("cells")))
     verdict = F.when(F.col("rate").isNull(), "UNTESTABLE").when((F.col("rate") >= 0.7) & (F.col("rate") >= F.col("chance") * 2), "CONSISTENT").when(F.col("rate") <= F.greatest(F.col("chance") * 1.2, F.lit(0.2)), "INCONSISTENT").otherwise("PARTLY CONSISTENT")
     return x.select("doc_id", "hyp", "occurrences", F.round("rate", 3).alias("rate"), F.round("chance", 3).alias("chance"), verdict.alias("verdict"))
 
 
+def counterexamples(docs: DataFrame, c: DataFrame, t: DataFrame, lines: list[str], k: int = 3) -> DataFrame:
+    """H5: doc_id, hyp, rk, unit: the first k units with a use of a glossed token that is not where the command says."""
+    h = with_hypotheses(docs, lines, "gloss").filter("anchor IS NOT NULL").select("doc_id", "hyp", "token", "anchor", "target")
+    cells = places(t).filter(F.col("word").isin(_mentioned(docs, lines, "gloss", "token"))).withColumnRenamed("word", "token")
+    bad = h.join(cells, ["doc_id", "token"]).filter(~_near()).withColumn("rk", F.row_number().over(Window.partitionBy("doc_id", "hyp").orderBy("unit_idx", "pos"))).filter(F.col("rk") <= k)
+    units = c.select("doc_id", F.posexplode("units").alias("unit_idx", "u"))
+    return bad.join(units, ["doc_id", "unit_idx"]).select("doc_id", "hyp", "rk", F.array_join(F.transform("u", lambda w: show(w)), " ").alias("unit"))
+
+
+def values_test(docs: DataFrame, t: DataFrame, lines: list[str], lex: DataFrame, trials: int = 200) -> DataFrame:
+    """doc_id, hyp, coverage, rate, null_mean, p_value, verdict of sign values against shuffles of the same values.
+
+    Trial i orders the values by md5 of trial, document and place; trial 0 is the mapping itself. Distinct tokens are decoded,
+    not places. Documents without a word that the mapping covers, or languages without a lexicon, are UNTESTABLE.
+    """
+    h = with_hypotheses(docs, lines, "sign_values").select("doc_id", "hyp", "language", "has_case_", "pairs")
+    signs = F.transform("pairs", lambda p: parse_label(p["sign"], F.col("has_case_")))
+    h = h.select("doc_id", "hyp", F.col("language").alias("lang"), signs.alias("signs"), F.transform("pairs", lambda p: p["value"]).alias("values")).withColumn("id", F.monotonically_increasing_id())
+    counts = t.groupBy("doc_id", "token").agg(F.count("*").alias("c"))
+    all_tokens = counts.groupBy("doc_id").agg(F.sum("c").alias("n"))
+    covered = h.select("doc_id", "hyp", "signs").join(counts, "doc_id").filter(F.forall(F.filter(F.split("token", ""), lambda x: x != ""), lambda x: F.array_contains("signs", x))).select("doc_id", "hyp", "token", "c")
+    covered_n = covered.groupBy("doc_id", "hyp").agg(F.sum("c").alias("covered"))
+    order = F.transform("values", lambda v, i: F.struct(F.when(F.col("trial") == 0, F.lpad(i.cast("string"), 9, "0")).otherwise(F.md5(F.concat_ws(":", "trial", "doc_id", i))).alias("k"), v.alias("v")))
+    maps = h.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials))))
+    maps = maps.select("doc_id", "hyp", "lang", "trial", F.map_from_arrays("signs", F.transform(F.array_sort(order), lambda x: x["v"])).alias("m"))
+    words = maps.join(covered, ["doc_id", "hyp"]).select("doc_id", "hyp", "lang", "trial", "c", mapped(F.col("token"), F.col("m")).alias("word")).filter("char_length(word) >= 3")
+    words = words.groupBy("doc_id", "hyp", "lang", "trial", "word").agg(F.sum("c").alias("c"))
+    found = words.join(lex.select("lang", "word", F.lit(1).alias("hit")), ["lang", "word"], "left")
+    rates = found.groupBy("doc_id", "hyp", "trial").agg((F.sum(F.col("c") * F.coalesce("hit", F.lit(0))) / F.sum("c")).alias("rate"))
+    real = rates.filter("trial = 0").select("doc_id", "hyp", F.col("rate").alias("real"))
+    null = rates.filter("trial > 0").join(real, ["doc_id", "hyp"], "left").groupBy("doc_id", "hyp").agg(F.sum("rate").alias("s"), F.count_if(F.col("rate") >= F.coalesce("real", F.lit(0.0))).alias("beaten"), F.count("*").alias("seen"))
+    known = lex.select("lang").distinct().withColumn("known", F.lit(True))
+    x = h.select("doc_id", "hyp", "lang").join(covered_n, ["doc_id", "hyp"], "left").join(all_tokens, "doc_id", "left").join(real, ["doc_id", "hyp"], "left").join(null, ["doc_id", "hyp"], "left").join(F.broadcast(known), "lang", "left")
+    ok = F.col("covered").isNotNull() & F.col("known").isNotNull()
+    rate = F.coalesce("real", F.lit(0.0))
+    # a trial without any word of three signs has the rate 0
+    beaten = F.coalesce("beaten", F.lit(0)) + F.when(rate <= 0, F.lit(trials) - F.coalesce("seen", F.lit(0))).otherwise(0)
+    p = (1 + beaten) / (trials + 1.0)
+    verdict = F.when(~ok, "UNTESTABLE").when((p < 0.01) & (rate > 0.1), "CONSISTENT").when(p < 0.05, "PARTLY CONSISTENT").otherwise("INCONSISTENT")
+    return x.select("doc_id", "hyp", F.round(F.when(ok, F.col("covered") / F.col("n")), 4).alias("coverage"), F.round(F.when(ok, rate), 4).alias("rate"), F.round(F.when(ok, F.coalesce("s", F.lit(0.0)) / trials), 4).alias("null_mean"), F.round(F.when(ok, p), 4).alias("p_value"), verdict.alias("verdict"))
+
+
+def verdicts(docs: DataFrame, c: DataFrame, t: DataFrame, lines: list[str], lex: DataFrame, trials: int = 200) -> DataFrame:
+    """doc_id, hyp, kind, description, verdict, evidence of all commands; what is no command is UNTESTABLE."""
+    every = docs.select("doc_id", F.posexplode(F.array(*map(F.lit, lines))).alias("hyp", "line"))
+    every = parse(every).select("doc_id", "hyp", "kind", "token", "meaning", "anchor", "role", "affix", "language", F.size("pairs").alias("signs"))
+    pct = lambda x: F.concat(F.round(F.col(x) * 100).cast("int").cast("string"), F.lit(" %"))
+    gloss = gloss_test(docs, t, lines).select("doc_id", "hyp", "verdict", F.when(F.col("rate").isNotNull(), F.concat(F.lit("in place in "), pct("rate"), F.lit(" of "), F.col("occurrences").cast("string"), F.lit(" uses; a random place would be in "), pct("chance"))).otherwise(F.lit("the token does not occur, or no anchor is given")).alias("evidence"))
+    role = role_test(docs, t, lines).select("doc_id", "hyp", "verdict", F.concat_ws(" ", F.coalesce(F.col("passed").cast("string"), F.lit("no")), F.lit("of"), F.coalesce(F.col("checks").cast("string"), F.lit("no")), F.lit("checks hold over"), F.col("occurrences").cast("string"), F.lit("uses")).alias("evidence"))
+    affix = affix_test(docs, t, lines).select("doc_id", "hyp", "verdict", F.concat_ws(" ", F.lit("on"), F.col("types").cast("string"), F.lit("word types;"), F.col("other_stems").cast("string"), F.lit("of their stems have other forms")).alias("evidence"))
+    values = values_test(docs, t, lines, lex, trials).select("doc_id", "hyp", "verdict", F.when(F.col("rate").isNotNull(), F.concat(F.lit("covers "), pct("coverage"), F.lit(" of words; "), pct("rate"), F.lit(" become words, after shuffles "), pct("null_mean"), F.lit(", p = "), F.col("p_value").cast("string"))).otherwise(F.lit("no word is covered, or there is no lexicon")).alias("evidence"))
+    other = every.filter("kind = 'unknown'").select("doc_id", "hyp", F.lit("UNTESTABLE").alias("verdict"), F.lit("not a command").alias("evidence"))
+    found = gloss.unionByName(role).unionByName(affix).unionByName(values).unionByName(other)
+    description = (
+        F.when(F.col("kind") == "gloss", F.concat_ws(" ", "token", F.lit("means"), "meaning", F.when(F.col("anchor").isNotNull(), anchor_phrase(F.col("anchor"))))).when(F.col("kind") == "role", F.concat_ws(" ", "token", F.lit("is a"), "role"))
+        .when(F.col("kind") == "affix", F.concat_ws(" ", "affix", F.lit("means"), "meaning")).when(F.col("kind") == "sign_values", F.concat_ws(" ", F.lit("values of"), F.col("signs").cast("string"), F.lit("signs in"), language_name(F.col("language")))).otherwise(F.lit("unknown"))
+    )
+    return every.join(found, ["doc_id", "hyp"]).select("doc_id", "hyp", "kind", description.alias("description"), "verdict", "evidence")
+
+
 def role_test(docs: DataFrame, t: DataFrame, lines: list[str]) -> DataFrame:
     """doc_id, hyp, occurrences, passed, checks, verdict; ``docs`` has doc_id, has_case, separator."""
     h = with_hypotheses(docs, lines, "role").select("doc_id", "hyp", "token", "role")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiforge.operators import corpus as oc
 from lexiforge.operators import hypotheses as hy
+from lexiforge.operators.staging import staged
+from lexiforge.plans.compare_queries import lexicon
 from lexiforge.plans.findings_queries import analysed
 
 LINES = [
@@ -32,4 +35,22 @@ def affix_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hy.affix_test(*analysed(spark, sf_dir), LINES)
 
 
-QUERIES = {f.__name__: f for f in (parse_hypotheses, gloss_test, role_test, affix_test)}
+VALUES = ["values e=e t=t a=a o=o n=n i=i s=s r=r l=l u=u in en"]
+
+
+def counterexamples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = staged(oc.corpus(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("raw"))
+    return hy.counterexamples(c, c, oc.tokens(c), LINES)
+
+
+def values_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, t = analysed(spark, sf_dir)
+    return hy.values_test(d, t, VALUES, lexicon(spark, sf_dir))
+
+
+def hypothesis_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = staged(oc.corpus(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("raw"))
+    return hy.verdicts(c, c, staged(oc.tokens(c)), LINES, lexicon(spark, sf_dir)).drop("evidence")
+
+
+QUERIES = {f.__name__: f for f in (parse_hypotheses, gloss_test, role_test, affix_test, counterexamples, values_test, hypothesis_verdicts)}

@@ -1,17 +1,18 @@
 """Hierarchical Pitman-Yor language model with seating by Gibbs sampling, trained and applied block-wise.
 
 Tokens are words (ASCII white space separates them, A-Z is lower-cased) and an end for each text. A word's context restaurant is
-that of the nearest word before it in its text with at most two bytes (function words, which tell the language
-and the phrase; 65,793 contexts at most, whatever the corpus). All context restaurants share one parent, the
-word restaurant, whose base is uniform over the V known words and one unknown. A sweep takes each dish's
+that of the word before it in its text (a text's first word has a context of its own). All context restaurants share one
+parent, the word restaurant, whose base is uniform over the V known words and one unknown. A sweep takes each dish's
 customers out of its restaurant and seats them again one by one by the Chinese-restaurant rule, given all
 other seats; the first 64 in single steps, later ones in steps of an eighth of their number. Discounts are
 n1 / (n1 + 2 n2) of the level's customers. Predictive probabilities are averaged over the kept sweeps.
 
 Data flow: a narrow pass packs documents in blocks of bounded bytes and counts each block's (word, context)
-pairs; the counts are dealt by word hash to shards; sweeps are narrow passes over shards that exchange only the totals of
-contexts (a bounded table); probabilities go back to the blocks that asked, and blocks score their texts. Words are
-known by 64-bit hashes. Nothing but the table of contexts is broadcast.
+pairs; the counts are dealt by word hash to shards, so that the dishes of one word are together and a frequent context is spread
+over all shards. What a context's restaurant holds in all is summed between sweeps: each shard sends its contexts' customers
+and tables, cut in ranges of the context, and gets the totals back. Probabilities go back to the blocks that asked, and blocks
+score their texts. Words are known by 64-bit hashes, contexts by 36 bits of the word's hash (unlike words share a
+context restaurant once in 7e10). Nothing is broadcast but eight sums.
 
 Defined results: null counts as empty, whose one token is the end; a null id is learnt from; repeated rows
 count each; with no training text every word is unknown; an empty table gives no rows; other columns are ignored.
@@ -31,13 +32,18 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm.common import discard, from_worker, materialise, release, to_worker, total_bytes, trim
 
-NOTHING = 0x2020  # the context of a text's first words: two spaces, which no word has
+BITS = 36
+MASK = (1 << BITS) - 1
 PACKED = "block long, shard int, words binary, sizes binary, contexts binary, counts binary"
 
 
-def context_code(word: bytes) -> int:
-    """16 bits for a word of one or two bytes; a word of one byte is followed by a space."""
-    return word[0] << 8 | (word[1] if len(word) == 2 else 0x20)
+def context_code(hashes: np.ndarray) -> np.ndarray:
+    """The context restaurants of words by their hashes."""
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+#: The context of a text's first word: that of a space, which no word has.
+NOTHING = int(context_code(np.array([xxhash.xxh3_64_intdigest(b" ")], np.uint64))[0])
 
 
 def squeeze(x: np.ndarray, kind: str, ascending: bool = False) -> bytes:
@@ -70,23 +76,16 @@ class Counted:
         self.tokens = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         del parts
         words = list(number)
-        code = np.array([context_code(w) if 0 < len(w) <= 2 else -1 for w in words], np.int32)
         self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        n = len(self.tokens)
-        begin = np.cumsum(self.sizes) - self.sizes
-        own = code[self.tokens]
-        # the last place before each token that sets its context, the text's beginning at the earliest
-        mark = np.where(own >= 0, np.arange(n) + 1, 0)
-        mark = np.maximum.accumulate(np.concatenate([[0], mark])[:-1]) if n else mark
-        start = np.repeat(begin, self.sizes)
-        self.contexts = np.where(mark > start, own[np.maximum(mark - 1, 0)], NOTHING).astype(np.int64)
+        self.contexts = context_code(self.hashes)[np.concatenate([self.tokens[:1], self.tokens[:-1]])]
+        self.contexts[np.cumsum(self.sizes) - self.sizes] = NOTHING
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """(word << 16 | context, sorted by the words' hashes then contexts; where each token's pair is)."""
+        """(word << BITS | context, sorted by the words' hashes then contexts; where each token's pair is)."""
         self.rank = np.empty(len(self.hashes), np.int64)
         self.order = np.argsort(self.hashes)
         self.rank[self.order] = np.arange(len(self.hashes))
-        return np.unique(self.rank[self.tokens] << 16 | self.contexts, return_inverse=True)
+        return np.unique(self.rank[self.tokens] << BITS | self.contexts, return_inverse=True)
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -110,7 +109,7 @@ def _blocks(docs: DataFrame, block_bytes: int, shards: int) -> DataFrame:
             pair, place = c.pairs()
             learnt = np.repeat(np.array([not out for _, _, out, _ in held]), c.sizes)
             count = np.bincount(place[learnt], minlength=len(pair)).astype("<u4")
-            word, context = pair >> 16, (pair & 0xFFFF).astype("<u2")
+            word, context = pair >> BITS, (pair & MASK).astype("<u8")
             hashes = c.hashes[c.order]
             of = shard_of(hashes, shards)
             cut = np.searchsorted(of, np.arange(shards + 1))
@@ -119,7 +118,7 @@ def _blocks(docs: DataFrame, block_bytes: int, shards: int) -> DataFrame:
             rows = [(block, -1, zstandard.ZstdCompressor(level=1).compress(pack_texts(held)), None, None, None)]
             for s in np.unique(of):
                 a, b, x, y = cut[s], cut[s + 1], pcut[s], pcut[s + 1]
-                rows.append((block, int(s), squeeze(hashes[a:b], "<u8", True), squeeze(per[a:b], "<u4"), squeeze(context[x:y], "<u2"), squeeze(count[x:y], "<u4")))
+                rows.append((block, int(s), squeeze(hashes[a:b], "<u8", True), squeeze(per[a:b], "<u4"), squeeze(context[x:y], "<u8"), squeeze(count[x:y], "<u4")))
             return pd.DataFrame(rows, columns=["block", "shard", "words", "sizes", "contexts", "counts"])
 
         for b in batches:
@@ -172,56 +171,54 @@ def seat(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Gene
     return out
 
 
-STATE = "shard int, hashes binary, seen binary, sizes binary, contexts binary, counts binary, tables binary, top_tables binary, kept binary, kept_top binary, totals binary, scalars binary"
+STATE = "shard int, hashes binary, seen binary, sizes binary, contexts binary, counts binary, tables binary, top_tables binary, kept binary, kept_top binary, kept_back binary, ctx binary, ctx_n binary, ctx_t binary, scalars binary"
+SHARED = "shard int, bucket int, n binary, t binary"
+DONE = "shard int, hashes binary, seen binary, sizes binary, contexts binary, p binary, tops binary, ctx binary, backs binary"
 
 
-def _f(x: np.ndarray, kind: str = "<f4") -> bytes:
-    return np.ascontiguousarray(x, dtype=kind).tobytes()
+def _f(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x, dtype="<f4").tobytes()
 
 
-def _totals(context: np.ndarray, count: np.ndarray, tables: np.ndarray, top: np.ndarray, customers: np.ndarray, seen: np.ndarray) -> tuple[bytes, bytes]:
-    """(context, customers, tables) of this shard; and customers, tables of the parent, words, tokens, and n1, n2 of both levels."""
-    names, place = np.unique(context, return_inverse=True)
-    per = np.rec.fromarrays([names.astype("<i8"), np.bincount(place, count, len(names)), np.bincount(place, tables, len(names))])
+def _sums(at: np.ndarray, contexts: int, count: np.ndarray, tables: np.ndarray, top: np.ndarray, customers: np.ndarray, seen: np.ndarray) -> dict[str, bytes]:
+    """Customers and tables of a shard's contexts; and customers, tables of the parent, words, tokens, and n1, n2 of both levels."""
     n = [customers.sum(), top.sum(), np.count_nonzero(seen), seen.sum(), np.count_nonzero(count == 1), np.count_nonzero(count == 2), np.count_nonzero(customers == 1), np.count_nonzero(customers == 2)]
-    return per.tobytes(), _f(np.array(n), "<f8")
+    return {"ctx_n": squeeze(np.bincount(at, count, contexts), "<u4"), "ctx_t": squeeze(np.bincount(at, tables, contexts), "<u4"), "scalars": np.array(n, "<f8").tobytes()}
 
 
 def _begin(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """A shard's first state: counts of all blocks together, one table for each dish of a restaurant."""
+    """A shard's first state: counts of all blocks together, one table for each dish of a restaurant.
+
+    ctx has all contexts that any block names here, so that what is asked later finds its totals.
+    """
     words = np.concatenate([open_up(x, "<u8", True) for x in rows["words"]])
     sizes = np.concatenate([open_up(x, "<u4") for x in rows["sizes"]])
-    context = np.concatenate([open_up(x, "<u2") for x in rows["contexts"]]).astype(np.int64)
+    context = np.concatenate([open_up(x, "<u8") for x in rows["contexts"]]).astype(np.int64)
     count = np.concatenate([open_up(x, "<u4") for x in rows["counts"]]).astype(np.int64)
+    ctx = np.unique(context)
     learnt = count > 0
     owner = np.repeat(words, sizes)[learnt]
     hashes, place = np.unique(owner, return_inverse=True)
-    pair, at = np.unique(place.astype(np.int64) << 16 | context[learnt], return_inverse=True)
+    pair, at = np.unique(place.astype(np.int64) << BITS | context[learnt], return_inverse=True)
     c = np.bincount(at, count[learnt], len(pair)).astype(np.int64) if len(pair) else np.zeros(0, np.int64)
-    word, context = pair >> 16, pair & 0xFFFF
+    word, context = pair >> BITS, pair & MASK
     per = np.bincount(word, minlength=len(hashes))
     seen = np.bincount(word, c, len(hashes)) if len(hashes) else np.zeros(0)
     ones, top = np.ones(len(c)), np.minimum(per, 1)
-    totals, scalars = _totals(context, c, ones, top, per, seen)
-    return pd.DataFrame([{
-        "shard": int(key[0]), "hashes": squeeze(hashes, "<u8", True), "seen": squeeze(seen, "<u8"), "sizes": squeeze(per, "<u4"), "contexts": squeeze(context, "<u2"),
-        "counts": squeeze(c, "<u4"), "tables": _f(ones), "top_tables": _f(top), "kept": b"", "kept_top": b"", "totals": totals, "scalars": scalars,
+    out = pd.DataFrame([{
+        "shard": int(key[0]), "hashes": squeeze(hashes, "<u8", True), "seen": squeeze(seen, "<u8"), "sizes": squeeze(per, "<u4"), "contexts": squeeze(context, "<u8"),
+        "counts": squeeze(c, "<u4"), "tables": squeeze(ones, "<u4"), "top_tables": squeeze(top, "<u4"), "kept": b"", "kept_top": b"", "kept_back": b"", "ctx": squeeze(ctx, "<u8", True),
+        **_sums(np.searchsorted(ctx, context), len(ctx), c, ones, top, per, seen),
     }])
+    trim()
+    return out
 
 
 class Level:
-    """What all shards share of one state: the totals of contexts and of the parent."""
-
-    def __init__(self, rows: list, fixed: tuple[float, float] | None = None):
-        self.customers, self.tables = np.zeros(1 << 16), np.zeros(1 << 16)
-        self.scalars = np.zeros(8)
-        for c, n, t in rows:
-            if c < 0:
-                self.scalars[-1 - c] = n
-            else:
-                self.customers[c], self.tables[c] = n, t
-        self.top_customers, self.top_tables, self.words, self.tokens = self.scalars[:4]
-        n1, n2, m1, m2 = self.scalars[4:]
+    """What all shards share of one state: the sums of the parent restaurant, and the discounts."""
+
+    def __init__(self, scalars, fixed: tuple[float, float] | None = None):
+        self.top_customers, self.top_tables, self.words, self.tokens, n1, n2, m1, m2 = map(float, scalars)
         self.discount, self.top_discount = fixed or (min(0.95, max(0.05, n1 / max(1.0, n1 + 2 * n2))), min(0.95, max(0.05, m1 / max(1.0, m1 + 2 * m2))))
         self.strength = 1.0
 
@@ -233,78 +230,117 @@ class Level:
     def unknown(self) -> float:
         return float((self.strength + self.top_discount * self.top_tables) / (self.words + 1) / (self.strength + self.top_customers))
 
-    @property
-    def back_off(self) -> np.ndarray:
-        """What each context gives to its parent's probability."""
-        return (self.strength + self.discount * self.tables) / (self.strength + self.customers)
+    def back_off(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """What context restaurants of so many customers and tables give to their parent's probability."""
+        return (self.strength + self.discount * tables) / (self.strength + customers)
 
 
-def _arrays(r) -> tuple:
+def _arrays(r, shared: pd.DataFrame) -> tuple:
+    """word, context (its place in ctx), c, t, top, seen; customers and tables of ctx in all shards."""
     size = open_up(r["sizes"], "<u4").astype(np.int64)
-    return (np.repeat(np.arange(len(size)), size), open_up(r["contexts"], "<u2").astype(np.int64), open_up(r["counts"], "<u4").astype(np.int64),
-            np.frombuffer(r["tables"], "<f4").astype(np.float64), np.frombuffer(r["top_tables"], "<f4").astype(np.float64), open_up(r["seen"], "<u8").astype(np.float64))
+    ctx = open_up(r["ctx"], "<u8", True).astype(np.int64)
+    at = np.searchsorted(ctx, open_up(r["contexts"], "<u8").astype(np.int64))
+    shared = shared.sort_values("bucket")
+    n, t = (np.concatenate([open_up(x, "<u8") for x in shared[k]]).astype(np.float64) if len(shared) else np.zeros(0) for k in ("n", "t"))
+    c, tables, top = (open_up(r[k], "<u4").astype(np.int64) for k in ("counts", "tables", "top_tables"))
+    return np.repeat(np.arange(len(size)), size), at, c, tables.astype(np.float64), top.astype(np.float64), open_up(r["seen"], "<u8").astype(np.float64), n, t
 
 
-def predictive(level: Level, word, context, c, t, top) -> tuple[np.ndarray, np.ndarray]:
-    """(probability of each pair, probability of each word in the parent)."""
-    customers = np.bincount(word, t, len(top)) if len(top) else np.zeros(0)
-    p0 = level.parent(customers, top)
-    return (c - level.discount * t) / (level.strength + level.customers[context]) + level.back_off[context] * p0[word], p0
+def predictive(level: Level, word, at, c, t, top, n, tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probability of each pair, of each word in the parent, what each context gives to the parent's)."""
+    p0 = level.parent(np.bincount(word, t, len(top)) if len(top) else np.zeros(0), top)
+    back = level.back_off(n, tables)
+    return (c - level.discount * t) / (level.strength + n[at]) + back[at] * p0[word], p0, back
 
 
-def _sweep(level: Level, seed: int, keep: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def shared_totals(state: DataFrame, buckets: int) -> DataFrame:
+    """SHARED rows: for each shard and range of contexts the customers and tables that its contexts have in all shards."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for _, r in b.iterrows():
-                word, context, c, t, top, seen = _arrays(r)
-                rng = np.random.default_rng([seed, int(r["shard"])])
-                kept, kept_top = r["kept"], r["kept_top"]
-                pair_p, p0 = predictive(level, word, context, c, t, top)
-                if keep:
-                    kept = _f((np.frombuffer(kept, "<f4") if kept else 0) + pair_p)
-                    kept_top = kept_top + _f(p0)
-                t = seat(c, (level.strength + level.discount * np.maximum(level.tables[context] - t, 0)) * p0[word], level.discount, rng)
-                customers = np.bincount(word, t, len(top)) if len(top) else np.zeros(0)
-                top = seat(customers.astype(np.int64), (level.strength + level.top_discount * np.maximum(level.top_tables - top, 0)) / (level.words + 1), level.top_discount, rng)
-                totals, scalars = _totals(context, c, t, top, customers, seen)
-                trim()
-                yield pd.DataFrame([dict(r) | {"tables": _f(t), "top_tables": _f(top), "kept": kept, "kept_top": kept_top, "totals": totals, "scalars": scalars}])
+            for shard, ctx, n, t in zip(b["shard"], b["ctx"], b["ctx_n"], b["ctx_t"], strict=True):
+                ctx, n, t = open_up(ctx, "<u8", True), open_up(n, "<u4"), open_up(t, "<u4")
+                cut = np.searchsorted(ctx, np.array([-(-(k << BITS) // buckets) for k in range(buckets + 1)], np.uint64))
+                rows = [(k, shard, squeeze(ctx[x:y], "<u8", True), squeeze(n[x:y], "<u4"), squeeze(t[x:y], "<u4")) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+                yield pd.DataFrame(rows, columns=["bucket", "shard", "ctx", "n", "t"])
+
+    def total(key, rows: pd.DataFrame) -> pd.DataFrame:
+        lists = [open_up(x, "<u8", True) for x in rows["ctx"]]
+        names, place = np.unique(np.concatenate(lists), return_inverse=True)
+        n, t = (np.bincount(place, np.concatenate([open_up(x, "<u4") for x in rows[k]]), len(names)) for k in ("n", "t"))
+        ends = np.cumsum([len(x) for x in lists])
+        out = [(int(s), int(key[0]), squeeze(n[place[e - len(x) : e]], "<u8"), squeeze(t[place[e - len(x) : e]], "<u8")) for s, x, e in zip(rows["shard"], lists, ends, strict=True)]
+        trim()
+        return pd.DataFrame(out, columns=["shard", "bucket", "n", "t"])
+
+    parts = state.select("shard", "ctx", "ctx_n", "ctx_t").mapInPandas(split, "bucket int, shard int, ctx binary, n binary, t binary")
+    return parts.groupBy("bucket").applyInPandas(total, SHARED)
+
+
+def _sweep(level: Level, seed: int, keep: bool):
+    def run(key, state: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        r = state.iloc[0]
+        word, at, c, t, top, seen, n, tables = _arrays(r, shared)
+        rng = np.random.default_rng([seed, int(r["shard"])])
+        pair_p, p0, back = predictive(level, word, at, c, t, top, n, tables)
+        kept = {}
+        if keep:
+            kept = {"kept": _f((np.frombuffer(r["kept"], "<f4") if r["kept"] else 0) + pair_p), "kept_top": r["kept_top"] + _f(p0), "kept_back": r["kept_back"] + _f(back)}
+        t = seat(c, (level.strength + level.discount * np.maximum(tables[at] - t, 0)) * p0[word], level.discount, rng)
+        customers = np.bincount(word, t, len(top)) if len(top) else np.zeros(0)
+        top = seat(customers.astype(np.int64), (level.strength + level.top_discount * np.maximum(level.top_tables - top, 0)) / (level.words + 1), level.top_discount, rng)
+        out = pd.DataFrame([dict(r) | {"tables": squeeze(t, "<u4"), "top_tables": squeeze(top, "<u4"), **kept, **_sums(at, len(n), c, t, top, customers, seen)}])
+        trim()
+        return out
+
+    return run
+
+
+def _finish(level: Level, samples: int):
+    """The averages of the kept sweeps and the last state."""
+
+    def run(key, state: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        r = state.iloc[0]
+        word, at, c, t, top, _, n, tables = _arrays(r, shared)
+        p, p0, back = predictive(level, word, at, c, t, top, n, tables)
+        p = (p + (np.frombuffer(r["kept"], "<f4") if r["kept"] else 0)) / samples
+        out = dict(r[["shard", "hashes", "seen", "sizes", "contexts", "ctx"]]) | {"p": squeeze(p, "<f4"), "tops": r["kept_top"] + _f(p0), "backs": r["kept_back"] + _f(back)}
+        trim()
+        return pd.DataFrame([out])[[x.split()[0] for x in DONE.split(", ")]]
 
     return run
 
 
-def _answer(levels: list[Level]):
+def _answer(unknown: list[float]):
     """For each block's question to a shard: counts of words, and log10 probabilities of its pairs."""
-    last, samples = levels[-1], len(levels)
+    samples = len(unknown)
 
     def run(key, asked: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(state):
-            r = state.iloc[0]
-            word, context, c, t, top, seen = _arrays(r)
-            hashes = open_up(r["hashes"], "<u8", True)
-            p, p0 = predictive(last, word, context, c, t, top)
-            p = (p + (np.frombuffer(r["kept"], "<f4") if r["kept"] else 0)) / samples
-            tops = np.vstack([np.frombuffer(r["kept_top"], "<f4").reshape(samples - 1, len(hashes)), p0])
-            pairs = word << 16 | context
+        r, rows = state.iloc[0], []
+        hashes, ctx = open_up(r["hashes"], "<u8", True), open_up(r["ctx"], "<u8", True).astype(np.int64)
+        size_of, seen = open_up(r["sizes"], "<u4").astype(np.int64), open_up(r["seen"], "<u8")
+        pairs = np.repeat(np.arange(len(hashes)), size_of) << BITS | open_up(r["contexts"], "<u8").astype(np.int64)
+        p = open_up(r["p"], "<f4")
+        tops, backs = np.frombuffer(r["tops"], "<f4").reshape(samples, len(hashes)), np.frombuffer(r["backs"], "<f4").reshape(samples, len(ctx))
         for _, q in asked.iterrows():
             words, size = open_up(q["words"], "<u8", True), open_up(q["sizes"], "<u4").astype(np.int64)
-            context_q = open_up(q["contexts"], "<u2").astype(np.int64)
-            backs = np.stack([x.back_off[context_q] for x in levels])
-            if len(state) and len(hashes):
+            context = open_up(q["contexts"], "<u8").astype(np.int64)
+            back = backs[:, np.searchsorted(ctx, context)]
+            n = np.zeros(len(words))
+            parent = np.array(unknown)[:, None]
+            if len(hashes):
                 at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
                 known = hashes[at] == words
-                wp = np.repeat(at, size)
-                parent = np.where(np.repeat(known, size), tops[:, wp], np.array([x.unknown for x in levels])[:, None])
-                prob = (backs * parent).mean(0)
-                want = wp << 16 | context_q
-                found = np.minimum(np.searchsorted(pairs, want), len(pairs) - 1)
-                hit = np.repeat(known, size) & (pairs[found] == want)
-                prob = np.where(hit, p[found], prob)
                 n = np.where(known, seen[at], 0)
-            else:
-                prob, n = (backs * np.array([x.unknown for x in levels])[:, None]).mean(0), np.zeros(len(words))
+                wp, known = np.repeat(at, size), np.repeat(known, size)
+                parent = np.where(known, tops[:, wp], parent)
+            prob = (back * parent).mean(0)
+            if len(pairs):
+                want = wp << BITS | context
+                found = np.minimum(np.searchsorted(pairs, want), len(pairs) - 1)
+                prob = np.where(known & (pairs[found] == want), p[found], prob)
             rows.append((int(q["block"]), int(key[0]), squeeze(n, "<u8"), squeeze(np.log10(prob), "<f4")))
+        trim()
         return pd.DataFrame(rows, columns=["block", "shard", "seen", "logs"])
 
     return run
@@ -341,40 +377,47 @@ def score_documents(docs: DataFrame, held_out: Column, sweeps: int = 4, samples:
     packed = materialise(spark, _blocks(rows, block_bytes, shards).withColumn("is_text", F.col("shard") < 0), "blocks", by=["is_text"])
     asked = packed.filter("NOT is_text").select(*[x.split()[0] for x in PACKED.split(", ")])
     state = materialise(spark, asked.groupBy("shard").applyInPandas(_begin, STATE), "seats")
-    first = Level(_totals_of(state))
-    fixed, level, kept = (first.discount, first.top_discount), first, []
+    release(spark)
+    buckets = max(4, shards // 8)
+    level = Level(_scalars_of(state))
+    fixed, unknown = (level.discount, level.top_discount), []
+
+    def with_totals(df: DataFrame, f, schema: str) -> DataFrame:
+        return df.groupBy("shard").cogroup(shared_totals(df, buckets).groupBy("shard")).applyInPandas(f, schema)
+
     for i in range(sweeps):
         keep = i > sweeps - samples  # the seats before this sweep are those of sweep i - 1; the last sweep's are used as they are
         if keep:
-            kept.append(level)
-        shared = spark.sparkContext.broadcast(level)  # a table of 65,536 contexts at most
-        old, state = state, materialise(spark, state.mapInPandas(_sweep_with(shared, seed + i, keep), STATE), "seats")
+            unknown.append(level.unknown)
+        old, state = state, materialise(spark, with_totals(state, _sweep(level, seed + i, keep), STATE), "seats")
         discard(old)
         release(spark)
-        level = Level(_totals_of(state), fixed)
-    levels = [*kept, level]
-    answers = asked.select("block", "shard", "words", "sizes", "contexts").groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(_answer(levels), "block long, shard int, seen binary, logs binary")
+        level = Level(_scalars_of(state), fixed)
+    unknown.append(level.unknown)
+    done = materialise(spark, with_totals(state, _finish(level, len(unknown)), DONE), "probabilities")
+    discard(state)
+    release(spark)
+    questions = asked.select("block", "shard", "words", "sizes", "contexts")
+    answers = materialise(spark, questions.groupBy("shard").cogroup(done.groupBy("shard")).applyInPandas(_answer(unknown), "block long, shard int, seen binary, logs binary"), "answers")
+    discard(done)
+    release(spark)
     texts = packed.filter("is_text").select("block", "words")
-    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(float(level.tokens), float(level.words)), "key string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(level.tokens, level.words), "key string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select(from_worker("key", kind).alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def _sweep_with(shared, seed: int, keep: bool):
-    def run(batches):
-        yield from _sweep(shared.value, seed, keep)(batches)
-
-    return run
+def perplexity(scored: DataFrame) -> DataFrame:
+    """held_out, tokens, perplexity, base_perplexity of scored documents."""
+    per = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
+    return scored.groupBy("held_out").agg(F.sum("n_tokens").alias("tokens"), per("score").alias("perplexity"), per("base_score").alias("base_perplexity"))
 
 
-def _totals_of(state: DataFrame) -> list:
-    """The shards' totals summed: (context, customers, tables), at most 65,536 rows, and 8 rows of scalars below 0."""
+def _scalars_of(state: DataFrame) -> list[float]:
+    """The shards' eight sums, added up."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for totals, scalars in zip(b["totals"], b["scalars"], strict=True):
-                per = np.frombuffer(totals, dtype=[("c", "<i8"), ("n", "<f8"), ("t", "<f8")])
-                yield pd.DataFrame({"c": per["c"], "n": per["n"], "t": per["t"]})
-                yield pd.DataFrame({"c": -1 - np.arange(8), "n": np.frombuffer(scalars, "<f8"), "t": 0.0})
+            yield pd.DataFrame(np.array([np.frombuffer(x, "<f8") for x in b["scalars"]]).reshape(-1, 8).sum(0)[None], columns=[f"s{i}" for i in range(8)])
 
-    sums = state.select("totals", "scalars").mapInPandas(run, "c long, n double, t double").groupBy("c").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    return [(r["c"], r["n"], r["t"]) for r in sums.collect()]
+    row = state.select("scalars").mapInPandas(run, ", ".join(f"s{i} double" for i in range(8))).agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)) for i in range(8)]).first()
+    return list(row)

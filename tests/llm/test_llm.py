@@ -339,8 +339,39 @@ def test_language_model_counts_and_normalises(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_first_seats_give_the_formula_and_perplexity_falls(spark):
+    docs = [(i, f"the {WORDS[i % 9]} of {WORDS[(i * 5) % 7]} the {WORDS[i % 9]} of" if i % 6 else None) for i in range(120)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score_documents(d, crc_fold("doc_id", 5) == 1, sweeps=0, samples=1, block_bytes=700).collect()}
+    texts = {i: [w.lower() for w in (t or "").split()] + [""] for i, t in docs}
+    c, customers = {}, {}
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for u, w in zip([None, *t], t, strict=False):
+                c[u, w] = c.get((u, w), 0) + 1
+    for _, w in c:
+        customers[w] = customers.get(w, 0) + 1  # one table in each context's restaurant
+    cu, tu = {}, {}
+    for (u, _), n in c.items():
+        cu[u], tu[u] = cu.get(u, 0) + n, tu.get(u, 0) + 1
+    n = list(c.values())
+    discount = min(0.95, max(0.05, n.count(1) / max(1, n.count(1) + 2 * n.count(2))))
+    m = list(customers.values())
+    top_discount = min(0.95, max(0.05, m.count(1) / max(1, m.count(1) + 2 * m.count(2))))
+
+    def p(u, w):
+        base = (1 + top_discount * len(m)) / (len(m) + 1)
+        p0 = ((customers[w] - top_discount if w in customers else 0) + base) / (1 + sum(m))
+        return (max(c.get((u, w), 0) - discount, 0) + (1 + discount * tu.get(u, 0)) * p0) / (1 + cu.get(u, 0))
+
+    for i, t in texts.items():
+        assert abs(got[i] - sum(np.log10(p(u, w)) for u, w in zip([None, *t], t, strict=False))) < 1e-3
+    sampled = pitman_yor.perplexity(pitman_yor.score_documents(d, crc_fold("doc_id", 5) == 1, block_bytes=700)).filter("held_out").first()
+    assert 1 < sampled["perplexity"] < 0.5 * sampled["base_perplexity"]
+
+
 def test_parent_probabilities_sum_to_one():
-    level = pitman_yor.Level([(-1, 30.0, 0), (-2, 9.0, 0), (-3, 5.0, 0), (-4, 40.0, 0), (-5, 4.0, 0), (-6, 2.0, 0), (-7, 3.0, 0), (-8, 1.0, 0), (7, 10.0, 6.0)])
+    level = pitman_yor.Level([30.0, 9.0, 5.0, 40.0, 4.0, 2.0, 3.0, 1.0])
     customers, tables = np.array([10.0, 8, 6, 4, 2]), np.array([3.0, 2, 2, 1, 1])
     assert abs(level.parent(customers, tables).sum() + level.unknown - 1) < 1e-12
     t = pitman_yor.seat(np.array([1, 2, 500, 100_000]), np.array([0.1, 0.2, 0.3, 0.4]), 0.5, np.random.default_rng(0))

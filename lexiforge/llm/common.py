@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -70,9 +71,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver's JVM collect garbage: Spark then deletes the shuffle files of finished work that nothing refers to."""
+    """Let the driver's JVM collect garbage: Spark then deletes the shuffle files of finished work that nothing refers to.
+
+    The last query is referred to until another has run, so a query of one row runs first. Deletion is Spark's own and
+    asynchronous; the next step begins a moment later.
+    """
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def filesystem(spark: SparkSession, path: str):

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import discard, from_worker, materialise, release, to_worker, total_bytes, trim
+from lexiforge.llm.common import discard, from_worker, materialise, release, remove, to_worker, total_bytes, trim
 
 BITS = 36
 MASK = (1 << BITS) - 1
@@ -171,9 +171,15 @@ def seat(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Gene
     return out
 
 
-STATE = "shard int, hashes binary, seen binary, sizes binary, contexts binary, counts binary, tables binary, top_tables binary, kept binary, kept_top binary, kept_back binary, ctx binary, ctx_n binary, ctx_t binary, scalars binary"
+STATE = "shard int, seen binary, sizes binary, contexts binary, counts binary, tables binary, top_tables binary, kept binary, kept_top binary, kept_back binary, ctx binary, ctx_n binary, ctx_t binary, scalars binary"
+ASKED = "block long, shard int, words binary, sizes binary, contexts binary"
+DEALT = f"kind string, block long, words binary, {STATE}"
 SHARED = "shard int, bucket int, n binary, t binary"
-DONE = "shard int, hashes binary, seen binary, sizes binary, contexts binary, p binary, tops binary, ctx binary, backs binary"
+DONE = "shard int, seen binary, sizes binary, contexts binary, p binary, tops binary, backs binary"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def _f(x: np.ndarray) -> bytes:
@@ -187,31 +193,38 @@ def _sums(at: np.ndarray, contexts: int, count: np.ndarray, tables: np.ndarray,
 
 
 def _begin(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """A shard's first state: counts of all blocks together, one table for each dish of a restaurant.
+    """A shard's first state, counts of all blocks together with one table for each dish of a restaurant, and what blocks will ask.
 
-    ctx has all contexts that any block names here, so that what is asked later finds its totals.
+    Words and contexts that any block names here, learnt or not, are numbered in order of hash; states and questions have
+    the numbers. A block's texts pass as they are.
     """
-    words = np.concatenate([open_up(x, "<u8", True) for x in rows["words"]])
-    sizes = np.concatenate([open_up(x, "<u4") for x in rows["sizes"]])
-    context = np.concatenate([open_up(x, "<u8") for x in rows["contexts"]]).astype(np.int64)
+    if rows["shard"].iloc[0] < 0:
+        return rows[["block", "words"]].assign(kind="text").reindex(columns=_names(DEALT))
+    shard = int(rows["shard"].iloc[0])
+    words = [open_up(x, "<u8", True) for x in rows["words"]]
+    sizes = [open_up(x, "<u4").astype(np.int64) for x in rows["sizes"]]
+    contexts = [open_up(x, "<u8").astype(np.int64) for x in rows["contexts"]]
+    hashes, of_word = np.unique(np.concatenate(words), return_inverse=True)
+    ctx, of_context = np.unique(np.concatenate(contexts), return_inverse=True)
     count = np.concatenate([open_up(x, "<u4") for x in rows["counts"]]).astype(np.int64)
-    ctx = np.unique(context)
     learnt = count > 0
-    owner = np.repeat(words, sizes)[learnt]
-    hashes, place = np.unique(owner, return_inverse=True)
-    pair, at = np.unique(place.astype(np.int64) << BITS | context[learnt], return_inverse=True)
+    pair, at = np.unique((np.repeat(of_word, np.concatenate(sizes)) << 32 | of_context)[learnt], return_inverse=True)
     c = np.bincount(at, count[learnt], len(pair)).astype(np.int64) if len(pair) else np.zeros(0, np.int64)
-    word, context = pair >> BITS, pair & MASK
+    word, context = pair >> 32, pair & 0xFFFFFFFF
     per = np.bincount(word, minlength=len(hashes))
-    seen = np.bincount(word, c, len(hashes)) if len(hashes) else np.zeros(0)
+    seen = np.bincount(word, c, len(hashes))
     ones, top = np.ones(len(c)), np.minimum(per, 1)
-    out = pd.DataFrame([{
-        "shard": int(key[0]), "hashes": squeeze(hashes, "<u8", True), "seen": squeeze(seen, "<u8"), "sizes": squeeze(per, "<u4"), "contexts": squeeze(context, "<u8"),
-        "counts": squeeze(c, "<u4"), "tables": squeeze(ones, "<u4"), "top_tables": squeeze(top, "<u4"), "kept": b"", "kept_top": b"", "kept_back": b"", "ctx": squeeze(ctx, "<u8", True),
-        **_sums(np.searchsorted(ctx, context), len(ctx), c, ones, top, per, seen),
-    }])
+    state = {
+        "kind": "state", "shard": shard, "seen": squeeze(seen, "<u8"), "sizes": squeeze(per, "<u4"), "contexts": squeeze(context, "<u4"), "counts": squeeze(c, "<u4"), "tables": squeeze(ones, "<u4"), "top_tables": squeeze(top, "<u4"),
+        "kept": b"", "kept_top": b"", "kept_back": b"", "ctx": squeeze(ctx, "<u8", True), **_sums(context, len(ctx), c, ones, top, per, seen),
+    }
+    out, w, x = [state], 0, 0
+    for block, own, size, context in zip(rows["block"], words, rows["sizes"], contexts, strict=True):
+        out.append({"kind": "asked", "block": int(block), "shard": shard, "words": squeeze(of_word[w : w + len(own)], "<u4", True), "sizes": size, "contexts": squeeze(of_context[x : x + len(context)], "<u4")})
+        w, x = w + len(own), x + len(context)
+    del words, sizes, contexts, of_word, of_context, count, pair, at
     trim()
-    return out
+    return pd.DataFrame(out).reindex(columns=_names(DEALT))
 
 
 class Level:
@@ -228,6 +241,7 @@ class Level:
 
     @property
     def unknown(self) -> float:
+        """That of a word which is not known."""
         return float((self.strength + self.top_discount * self.top_tables) / (self.words + 1) / (self.strength + self.top_customers))
 
     def back_off(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -238,8 +252,7 @@ class Level:
 def _arrays(r, shared: pd.DataFrame) -> tuple:
     """word, context (its place in ctx), c, t, top, seen; customers and tables of ctx in all shards."""
     size = open_up(r["sizes"], "<u4").astype(np.int64)
-    ctx = open_up(r["ctx"], "<u8", True).astype(np.int64)
-    at = np.searchsorted(ctx, open_up(r["contexts"], "<u8").astype(np.int64))
+    at = open_up(r["contexts"], "<u4").astype(np.int64)
     shared = shared.sort_values("bucket")
     n, t = (np.concatenate([open_up(x, "<u8") for x in shared[k]]).astype(np.float64) if len(shared) else np.zeros(0) for k in ("n", "t"))
     c, tables, top = (open_up(r[k], "<u4").astype(np.int64) for k in ("counts", "tables", "top_tables"))
@@ -304,42 +317,31 @@ def _finish(level: Level, samples: int):
         word, at, c, t, top, _, n, tables = _arrays(r, shared)
         p, p0, back = predictive(level, word, at, c, t, top, n, tables)
         p = (p + (np.frombuffer(r["kept"], "<f4") if r["kept"] else 0)) / samples
-        out = dict(r[["shard", "hashes", "seen", "sizes", "contexts", "ctx"]]) | {"p": squeeze(p, "<f4"), "tops": r["kept_top"] + _f(p0), "backs": r["kept_back"] + _f(back)}
+        out = dict(r[["shard", "seen", "sizes", "contexts"]]) | {"p": squeeze(p, "<f4"), "tops": r["kept_top"] + _f(p0), "backs": r["kept_back"] + _f(back)}
         trim()
-        return pd.DataFrame([out])[[x.split()[0] for x in DONE.split(", ")]]
+        return pd.DataFrame([out])[_names(DONE)]
 
     return run
 
 
-def _answer(unknown: list[float]):
+def _answer(samples: int):
     """For each block's question to a shard: counts of words, and log10 probabilities of its pairs."""
-    samples = len(unknown)
 
     def run(key, asked: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         r, rows = state.iloc[0], []
-        hashes, ctx = open_up(r["hashes"], "<u8", True), open_up(r["ctx"], "<u8", True).astype(np.int64)
         size_of, seen = open_up(r["sizes"], "<u4").astype(np.int64), open_up(r["seen"], "<u8")
-        pairs = np.repeat(np.arange(len(hashes)), size_of) << BITS | open_up(r["contexts"], "<u8").astype(np.int64)
+        pairs = np.repeat(np.arange(len(size_of)), size_of) << 32 | open_up(r["contexts"], "<u4").astype(np.int64)
         p = open_up(r["p"], "<f4")
-        tops, backs = np.frombuffer(r["tops"], "<f4").reshape(samples, len(hashes)), np.frombuffer(r["backs"], "<f4").reshape(samples, len(ctx))
+        tops, backs = (np.frombuffer(r[k], "<f4").reshape(samples, -1) for k in ("tops", "backs"))
         for _, q in asked.iterrows():
-            words, size = open_up(q["words"], "<u8", True), open_up(q["sizes"], "<u4").astype(np.int64)
-            context = open_up(q["contexts"], "<u8").astype(np.int64)
-            back = backs[:, np.searchsorted(ctx, context)]
-            n = np.zeros(len(words))
-            parent = np.array(unknown)[:, None]
-            if len(hashes):
-                at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
-                known = hashes[at] == words
-                n = np.where(known, seen[at], 0)
-                wp, known = np.repeat(at, size), np.repeat(known, size)
-                parent = np.where(known, tops[:, wp], parent)
-            prob = (back * parent).mean(0)
+            words, size = open_up(q["words"], "<u4", True).astype(np.int64), open_up(q["sizes"], "<u4").astype(np.int64)
+            context, word = open_up(q["contexts"], "<u4").astype(np.int64), np.repeat(words, size)
+            prob = (backs[:, context] * tops[:, word]).mean(0)
             if len(pairs):
-                want = wp << BITS | context
+                want = word << 32 | context
                 found = np.minimum(np.searchsorted(pairs, want), len(pairs) - 1)
-                prob = np.where(known & (pairs[found] == want), p[found], prob)
-            rows.append((int(q["block"]), int(key[0]), squeeze(n, "<u8"), squeeze(np.log10(prob), "<f4")))
+                prob = np.where(pairs[found] == want, p[found], prob)
+            rows.append((int(q["block"]), int(key[0]), squeeze(seen[words], "<u8"), squeeze(np.log10(prob), "<f4")))
         trim()
         return pd.DataFrame(rows, columns=["block", "shard", "seen", "logs"])
 
@@ -374,34 +376,37 @@ def score_documents(docs: DataFrame, held_out: Column, sweeps: int = 4, samples:
     kind = docs.schema[id_col].dataType.simpleString()
     shards = max(8, -(-total_bytes(docs, text_col) // block_bytes))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), to_worker(id_col).alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
-    packed = materialise(spark, _blocks(rows, block_bytes, shards).withColumn("is_text", F.col("shard") < 0), "blocks", by=["is_text"])
-    asked = packed.filter("NOT is_text").select(*[x.split()[0] for x in PACKED.split(", ")])
-    state = materialise(spark, asked.groupBy("shard").applyInPandas(_begin, STATE), "seats")
+    # a group for each shard and for each block's texts: one exchange, and one table of texts, questions and states
+    blocks = _blocks(rows, block_bytes, shards).withColumn("group", F.when(F.col("shard") < 0, -1 - F.col("block")).otherwise(F.col("shard").cast("long")))
+    dealt = materialise(spark, blocks.groupBy("group").applyInPandas(_begin, DEALT), "dealt", by=["kind"])
     release(spark)
+    state = dealt.filter("kind = 'state'").select(*_names(STATE))
     buckets = max(4, shards // 8)
     level = Level(_scalars_of(state))
-    fixed, unknown = (level.discount, level.top_discount), []
+    fixed, kept = (level.discount, level.top_discount), 0
 
     def with_totals(df: DataFrame, f, schema: str) -> DataFrame:
         return df.groupBy("shard").cogroup(shared_totals(df, buckets).groupBy("shard")).applyInPandas(f, schema)
 
     for i in range(sweeps):
         keep = i > sweeps - samples  # the seats before this sweep are those of sweep i - 1; the last sweep's are used as they are
-        if keep:
-            unknown.append(level.unknown)
+        kept += keep
         old, state = state, materialise(spark, with_totals(state, _sweep(level, seed + i, keep), STATE), "seats")
-        discard(old)
+        if i:
+            discard(old)
+        else:
+            remove(spark, f"{dealt.written_at}/kind=state")
         release(spark)
         level = Level(_scalars_of(state), fixed)
-    unknown.append(level.unknown)
-    done = materialise(spark, with_totals(state, _finish(level, len(unknown)), DONE), "probabilities")
-    discard(state)
+    done = materialise(spark, with_totals(state, _finish(level, kept + 1), DONE), "probabilities")
+    if sweeps:
+        discard(state)
     release(spark)
-    questions = asked.select("block", "shard", "words", "sizes", "contexts")
-    answers = materialise(spark, questions.groupBy("shard").cogroup(done.groupBy("shard")).applyInPandas(_answer(unknown), "block long, shard int, seen binary, logs binary"), "answers")
+    questions = dealt.filter("kind = 'asked'").select(*_names(ASKED))
+    answers = materialise(spark, questions.groupBy("shard").cogroup(done.groupBy("shard")).applyInPandas(_answer(kept + 1), "block long, shard int, seen binary, logs binary"), "answers")
     discard(done)
     release(spark)
-    texts = packed.filter("is_text").select("block", "words")
+    texts = dealt.filter("kind = 'text'").select("block", "words")
     out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(level.tokens, level.words), "key string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select(from_worker("key", kind).alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -128,7 +128,7 @@ def lexical_matching(c: DataFrame, languages: DataFrame, index: DataFrame, seed:
     some = F.slice(F.array_sort(F.collect_list(F.when(F.col("real") & F.col("match").isNotNull(), F.concat_ws("~", "word", "match")))), 1, 10)
     share = lambda real: F.count_if((F.col("real") == real) & F.col("match").isNotNull()) / F.greatest(F.lit(1), F.count_if(F.col("real") == real))
     out = hit.groupBy("doc_id", "lang").agg(share(True).alias("r"), share(False).alias("k"), some.alias("examples"))
-    out = out.withColumn("lift", F.when(F.col("k") > 0, F.round(F.col("r") / F.col("k"), 2))).withColumn("rate", F.round("r", 4)).withColumn("control", F.round("k", 4))
+    out = out.withColumn("lift", F.when(F.col("k") > 0, F.round(F.col("r") / F.col("k"), 4))).withColumn("rate", F.round("r", 4)).withColumn("control", F.round("k", 4))
     order = Window.partitionBy("doc_id").orderBy(F.desc(F.round(F.col("rate") - F.col("control"), 6)), "lang")
     return out.select("doc_id", F.row_number().over(order).alias("rk"), "lang", "rate", "control", "lift", "examples")
 

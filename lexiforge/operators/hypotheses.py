@@ -138,7 +138,7 @@ def values_test(docs: DataFrame, t: DataFrame, lines: list[str], lex: DataFrame,
     beaten = F.coalesce("beaten", F.lit(0)) + F.when(rate <= 0, F.lit(trials) - F.coalesce("seen", F.lit(0))).otherwise(0)
     p = (1 + beaten) / (trials + 1.0)
     verdict = F.when(~ok, "UNTESTABLE").when((p < 0.01) & (rate > 0.1), "CONSISTENT").when(p < 0.05, "PARTLY CONSISTENT").otherwise("INCONSISTENT")
-    return x.select("doc_id", "hyp", F.round(F.when(ok, F.col("covered") / F.col("n")), 4).alias("coverage"), F.round(F.when(ok, rate), 4).alias("rate"), F.round(F.when(ok, F.coalesce("s", F.lit(0.0)) / trials), 4).alias("null_mean"), F.round(F.when(ok, p), 4).alias("p_value"), verdict.alias("verdict"))
+    return x.select("doc_id", "hyp", F.round(F.when(ok, F.col("covered") / F.col("n")), 4).alias("coverage"), F.round(F.when(ok, rate), 4).alias("rate"), F.round(F.when(ok, F.coalesce("s", F.lit(0.0)) / trials), 8).alias("null_mean"), F.round(F.when(ok, p), 4).alias("p_value"), verdict.alias("verdict"))
 
 
 def verdicts(docs: DataFrame, c: DataFrame, t: DataFrame, lines: list[str], lex: DataFrame, trials: int = 200) -> DataFrame:

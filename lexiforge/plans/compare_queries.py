@@ -12,6 +12,7 @@ from lexiforge.operators import findings as fi
 from lexiforge.operators import language as lg
 from lexiforge.operators.staging import staged
 from lexiforge.plans.language_queries import known
+from lexiforge.plans import tables
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,7 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(oc.corpus(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("raw"))
+    return staged(oc.corpus(tables.documents(spark, sf_dir)).drop("raw"))
 
 
 def profiles(c: DataFrame) -> DataFrame:

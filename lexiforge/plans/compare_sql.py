@@ -48,7 +48,7 @@ mt AS (SELECT ix.lang, tr.word, arg_min(ix.word, nth) AS match FROM tr JOIN ix U
 hit AS (SELECT ty.*, l.lang, mt.match FROM ty CROSS JOIN (SELECT DISTINCT lang FROM lx) l LEFT JOIN mt ON mt.lang = l.lang AND mt.word = ty.word),
 sr AS (SELECT doc_id, lang, count(match) FILTER (real) / greatest(1, count(*) FILTER (real)) AS r, count(match) FILTER (NOT real) / greatest(1, count(*) FILTER (NOT real)) AS k,
        array_to_string(coalesce(list_sort(list(word || '~' || match) FILTER (real AND match IS NOT NULL)), [])[1:10], ' ') AS examples FROM hit GROUP BY doc_id, lang),
-ro AS (SELECT doc_id, lang, round(r, 4) AS rate, round(k, 4) AS control, CASE WHEN k > 0 THEN round(r / k, 2) END AS lift, examples FROM sr),
+ro AS (SELECT doc_id, lang, round(r, 4) AS rate, round(k, 4) AS control, CASE WHEN k > 0 THEN round(r / k, 4) END AS lift, examples FROM sr),
 lm AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(rate - control, 6) DESC, lang) AS rk FROM ro)"""
 
 _SHARES_SQL = language_sql.ORACLE_SQL["script_shares"]

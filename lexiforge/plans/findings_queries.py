@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from lexiforge.operators import corpus as oc
 from lexiforge.operators import findings as fi
 from lexiforge.operators.staging import staged
+from lexiforge.plans import tables
 
 
 def analysed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The corpus of the documents (without its units) and its tokens, each written once."""
-    c = oc.corpus(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    c = oc.corpus(tables.documents(spark, sf_dir))
     return c.drop("units"), staged(oc.tokens(c))
 
 

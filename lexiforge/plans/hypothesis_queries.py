@@ -10,6 +10,7 @@ from lexiforge.operators import hypotheses as hy
 from lexiforge.operators.staging import staged
 from lexiforge.plans.compare_queries import lexicon
 from lexiforge.plans.findings_queries import analysed
+from lexiforge.plans import tables
 
 LINES = [
     "gloss the = ARTICLE near line_start", "gloss und = AND near der", "gloss de = OF near line_end", "gloss et = AND near numbers", "gloss the = ARTICLE",
@@ -39,7 +40,7 @@ VALUES = ["values e=e t=t a=a o=o n=n i=i s=s r=r l=l u=u in en"]
 
 
 def counterexamples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = staged(oc.corpus(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("raw"))
+    c = staged(oc.corpus(tables.documents(spark, sf_dir)).drop("raw"))
     return hy.counterexamples(c, c, oc.tokens(c), LINES)
 
 
@@ -49,7 +50,7 @@ def values_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hypothesis_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = staged(oc.corpus(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("raw"))
+    c = staged(oc.corpus(tables.documents(spark, sf_dir)).drop("raw"))
     return hy.verdicts(c, c, staged(oc.tokens(c)), LINES, lexicon(spark, sf_dir)).drop("evidence")
 
 

@@ -18,7 +18,7 @@ VALUES_SQL = f"""{TOKENS}, {_FREQ}, {_LEX}, vs AS (SELECT ['e', 't', 'a', 'o', '
         ra AS (SELECT doc_id, trial, coalesce(sum(c) FILTER (hit), 0) / sum(c) AS rate FROM (SELECT wd.*, lx.rank IS NOT NULL AS hit FROM wd LEFT JOIN (SELECT * FROM lx WHERE lang = 'en') lx USING (word)) GROUP BY doc_id, trial),
         re AS (SELECT doc_id, rate AS real FROM ra WHERE trial = 0), nl2 AS (SELECT doc_id, sum(rate) AS s, count(*) FILTER (rate >= real) AS beaten FROM ra JOIN re USING (doc_id) WHERE trial > 0 GROUP BY doc_id),
         x AS (SELECT d.doc_id, covered, n, coalesce(real, 0) AS rate, coalesce(s, 0) / 200 AS nm, (1 + coalesce(beaten, 200)) / 201.0 AS p FROM documents d LEFT JOIN cd USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN re USING (doc_id) LEFT JOIN nl2 USING (doc_id))
-        SELECT doc_id, 0 AS hyp, CASE WHEN covered IS NOT NULL THEN round(covered / n, 4) END AS coverage, CASE WHEN covered IS NOT NULL THEN round(rate, 4) END AS rate, CASE WHEN covered IS NOT NULL THEN round(nm, 4) END AS null_mean,
+        SELECT doc_id, 0 AS hyp, CASE WHEN covered IS NOT NULL THEN round(covered / n, 4) END AS coverage, CASE WHEN covered IS NOT NULL THEN round(rate, 4) END AS rate, CASE WHEN covered IS NOT NULL THEN round(nm, 8) END AS null_mean,
         CASE WHEN covered IS NOT NULL THEN round(p, 4) END AS p_value, CASE WHEN covered IS NULL THEN 'UNTESTABLE' WHEN p < 0.01 AND rate > 0.1 THEN 'CONSISTENT' WHEN p < 0.05 THEN 'PARTLY CONSISTENT' ELSE 'INCONSISTENT' END AS verdict FROM x"""
 
 ORACLE_SQL = {

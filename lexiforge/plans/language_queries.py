@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from lexiforge.operators import language as lg
 from lexiforge.operators import summary as su
+from lexiforge.plans import tables
 
 
 def known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, lang; the column lang makes the reference tables."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return tables.documents(spark, sf_dir, "doc_id", "text", "lang")
 
 
 def tier_routing(spark: SparkSession, sf_dir: str) -> DataFrame:

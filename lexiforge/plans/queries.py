@@ -11,10 +11,11 @@ from lexiforge.functions import text as ft
 from lexiforge.operators import corpus as oc
 from lexiforge.operators import statistics as st
 from lexiforge.operators import structure as ms
+from lexiforge.plans import tables
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return tables.documents(spark, sf_dir)
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,10 @@ from lexiforge.operators.staging import staged
 from lexiforge.plans.compare_queries import lexicon
 from lexiforge.plans.findings_queries import analysed
 from lexiforge.plans.language_queries import known
+from lexiforge.plans import tables
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("hits")
+    return redact(tables.documents(spark, sf_dir)).drop("hits")
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.claims(cl.find(redacted(spark, sf_dir), lexicon(spark, sf_dir)))
@@ -53,7 +54,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample_units_transcribed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1-G11 on pages that show each document's first units in invented glyphs; there are no tables of images."""
-    c = oc.corpus(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    c = oc.corpus(tables.documents(spark, sf_dir))
     shown = oc.sample(c).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_idx", "unit"))), lambda x: x["unit"]), "\n").alias("text"))
     return im.transcribe(im.glyphs(im.drawn(shown))).drop("text")
 

@@ -35,12 +35,14 @@ def workspace(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/lexiforge/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(spark: SparkSession, df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage ends there."""
+def materialise(spark: SparkSession, df: DataFrame, label: str, by: list[str] | None = None, codec: str | None = None) -> DataFrame:
+    """Write df as Parquet (with a codec other than the session's) in the shared folder and read it back: the lineage ends there."""
     path = workspace(spark, label)
     writer = df.write
     if by:
         writer = writer.partitionBy(*by)
+    if codec:
+        writer = writer.option("compression", codec)
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path

@@ -463,5 +463,5 @@ def describe_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store each text as a FLAC stream in the shared folder, read the stored column back and describe what was read."""
-    stored = materialise(docs.sparkSession, to_media(docs, id_col, text_col), "media")
+    stored = materialise(docs.sparkSession, to_media(docs, id_col, text_col), "media", codec="zstd")
     return describe_media(stored, id_col)

@@ -19,7 +19,6 @@ is named by its least id (null if no member has one); an empty table gives no ro
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,33 +41,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Shingler:
-    """Hashes of the word shingles of texts; hashes of words are remembered."""
-
-    def __init__(self, width: int, most: int = 100_000):
-        self.width, self.most = width, most
-        self.words: dict[str, int] = {}
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(0, U)
-        get = self.words.get
-        found = list(map(get, words))
-        if None in found:
-            if len(self.words) > self.most:
-                self.words.clear()
-            for i, w in enumerate(words):
-                if found[i] is None:
-                    h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-                    found[i] = h
-                    if len(w) <= 64:
-                        self.words[w] = h
-        h = np.array(found, U)
-        n = min(self.width, len(h))
-        out = np.zeros(len(h) - n + 1, U)
-        for j in range(n):
-            out = mix(out * U(0x9E3779B97F4A7C15) + h[j : len(h) - n + 1 + j] + U(1))
-        return out
+def word_hashes(words: list[str]) -> np.ndarray:
+    """64-bit hashes of words, the same in every process."""
+    held = np.empty(len(words), object)
+    held[:] = words
+    return pd.util.hash_array(held, categorize=False).astype(U, copy=False)
+
+
+def shingles(hashes: np.ndarray, sizes: np.ndarray, width: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of each of several texts, whose words' hashes follow one another; sizes are their words."""
+    joined = np.zeros(max(len(hashes) - width + 1, 0), U)
+    for j in range(width if len(joined) else 0):
+        joined = mix(joined * U(0x9E3779B97F4A7C15) + hashes[j : len(joined) + j] + U(1))
+    out, end = [], 0
+    for size in sizes.tolist():
+        start, end = end, end + size
+        if size >= width:
+            found = joined[start : end - width + 1]
+        else:  # a short text is one shingle
+            found = np.zeros(min(size, 1), U)
+            for h in hashes[start:end]:
+                found = mix(found * U(0x9E3779B97F4A7C15) + h + U(1))
+        found = np.sort(found)
+        out.append(found[np.diff(found, prepend=found[:1] ^ U(1)) != 0])
+    return out
+
+
+def arrivals(elements: np.ndarray, weights: np.ndarray | float, serial: np.ndarray | int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The waiting times and components of elements' arrivals of that serial number; the same in every document."""
+    r = mix(elements + (np.atleast_1d(serial).astype(U) * U(2) + U(1)) * U(0xD1342543DE82EF95))
+    gap = -np.log(((r >> U(11)).astype(np.float64) + 0.5) / 2.0**53) / weights
+    return gap, (mix(r ^ U(0xA0761D6478BD642F)) % U(m)).astype(np.int64)
 
 
 def signature(elements: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
@@ -79,17 +82,12 @@ def signature(elements: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
     active, at, step = np.arange(len(elements)), np.zeros(len(elements)), 0
     burst = max(1, int(np.ceil(1.5 * m * np.log(m) / len(elements))))
     while len(active):
-        # the next arrivals of each active element; the i-th of an element is the same in every document
-        serial = np.arange(step, step + burst, dtype=U)
-        r = mix(elements[active][:, None] + (serial * U(2) + U(1)) * U(0xD1342543DE82EF95))
-        gap = -np.log(((r >> U(11)).astype(np.float64) + 0.5) / 2.0**53) / weights[active][:, None]
-        time = at[active][:, None] + np.cumsum(gap, axis=1)
-        component = (mix(r ^ U(0xA0761D6478BD642F)) % U(m)).astype(np.int64)
+        gap, component = arrivals(elements[active][:, None], weights[active][:, None], np.arange(step, step + burst), m)
+        gap[:, 0] += at[active]
+        time = np.cumsum(gap, axis=1)
         t, c = time.ravel(), component.ravel()
-        order = np.lexsort((t, c))
-        lead = order[np.flatnonzero(np.diff(c[order], prepend=-1))]  # the earliest arrival in each component
-        better = lead[t[lead] < first[c[lead]]]
-        first[c[better]] = t[better]
+        np.minimum.at(first, c, t)
+        better = np.flatnonzero(t == first[c])
         who[c[better]] = elements[active][better // burst]
         at[active] = time[:, -1]
         active = active[at[active] < first.max()]
@@ -97,10 +95,44 @@ def signature(elements: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
     return who
 
 
-def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    h = np.arange(bands, dtype=U)
+def signatures(documents: list[np.ndarray], m: int) -> np.ndarray:
+    """The signatures of several documents' equally weighted elements, a row for each.
+
+    Documents of many elements take their arrivals together, one of each element that is not yet left in each step; documents of
+    few elements, which need many arrivals of each, one after another. Both ways give the same signatures.
+    """
+    who = np.zeros((len(documents), m), U)
+    many = [i for i, e in enumerate(documents) if 2 * len(e) >= m]
+    for i, e in enumerate(documents):
+        if 2 * len(e) < m:
+            who[i] = signature(e, np.ones(len(e)), m)
+    if not many:
+        return who
+    first, found = np.full((len(many), m), np.inf), np.zeros((len(many), m), U)
+    earliest, element = first.ravel(), found.ravel()  # views
+    elements = np.concatenate([documents[i] for i in many])
+    doc = np.repeat(np.arange(len(many)), [len(documents[i]) for i in many])
+    at, step = np.zeros(len(elements)), 0
+    while len(elements):
+        gap, component = arrivals(elements, 1.0, step, m)
+        at += gap
+        slot = doc * m + component
+        early = np.flatnonzero(at < earliest[slot])
+        t, c = at[early], slot[early]
+        np.minimum.at(earliest, c, t)
+        better = t == earliest[c]
+        element[c[better]] = elements[early][better]
+        open_ = at < first.max(axis=1)[doc]
+        elements, doc, at, step = elements[open_], doc[open_], at[open_], step + 1
+    who[many] = found
+    return who
+
+
+def band_hashes(sigs: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The hashes of the bands of signatures, a row for each."""
+    h = np.broadcast_to(np.arange(bands, dtype=U), (len(sigs), bands))
     for j in range(rows):
-        h = mix(h * U(0x9E3779B97F4A7C15) + sig.reshape(bands, rows)[:, j])
+        h = mix(h * U(0x9E3779B97F4A7C15) + sigs.reshape(-1, bands, rows)[:, :, j])
     return h.astype(np.int64)
 
 
@@ -108,13 +140,14 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 NIBBLES, FOLDED = 16, 0x1111111111111111
 
 
-def brief(sig: np.ndarray) -> np.ndarray:
-    """Four bits of each component, 16 components to an integer; the last is filled up with zeros."""
-    bits = np.zeros(-(-len(sig) // NIBBLES) * NIBBLES, U)
-    bits[: len(sig)] = mix(sig + U(0x5851F42D4C957F2D)) & U(15)
-    out = np.zeros(len(bits) // NIBBLES, U)
+def brief(sigs: np.ndarray) -> np.ndarray:
+    """Four bits of each component, 16 components to an integer, a row for each signature; the last is filled up with zeros."""
+    m = sigs.shape[1]
+    bits = np.zeros((len(sigs), -(-m // NIBBLES) * NIBBLES), U)
+    bits[:, :m] = mix(sigs + U(0x5851F42D4C957F2D)) & U(15)
+    out = np.zeros((len(sigs), bits.shape[1] // NIBBLES), U)
     for j in range(NIBBLES):
-        out |= bits[j::NIBBLES] << U(4 * j)
+        out |= bits[:, j::NIBBLES] << U(4 * j)
     return out.view(np.int64)
 
 
@@ -145,26 +178,36 @@ def possible(a: str, b: str, threshold: float) -> str:
     return f"{1 + threshold} * least({a}.n - ({only[0]}), {b}.n - ({only[1]})) >= {threshold} * ({a}.n + {b}.n) - 1e-6"
 
 
+def _runs_of(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of neighbours whose sizes come to most, or a little more, or of a single larger one."""
+    at = (np.cumsum(sizes) - sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(sizes)]
+    return (slice(a, b) for a, b in zip(edges, edges[1:]) if a < b)
+
+
 def sketch(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_hash, node (a digest of the words), n (distinct shingles), bands, brief, marks, packed (the words, compressed); a narrow pass."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, squeeze = Shingler(width), zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            out: dict[str, list] = defaultdict(list)
-            for t in b["content"]:
-                words = t.lower().split()
-                raw = " ".join(words).encode("utf-8", "surrogatepass")
-                elements = np.unique(shingler(words))
-                out["node"].append(hashlib.blake2b(raw, digest_size=16).digest())
-                out["n"].append(len(elements))
-                sig = signature(elements, np.ones(len(elements)), bands * rows)
-                out["bands"].append(band_hashes(sig, bands, rows) if len(elements) else np.zeros(0, np.int64))
-                out["brief"].append(brief(sig))
-                out["marks"].append(marks(elements))
-                out["packed"].append(squeeze.compress(raw))
-            yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], **out})
+            for part in _runs_of(b["content"].str.len().to_numpy(), 200_000):
+                texts = [t.lower().split() for t in b["content"].iloc[part]]
+                raw = [" ".join(words).encode("utf-8", "surrogatepass") for words in texts]
+                elements = shingles(word_hashes([w for words in texts for w in words]), np.array([len(words) for words in texts]), width)
+                sigs = signatures(elements, bands * rows)
+                in_bands = band_hashes(sigs, bands, rows)
+                yield pd.DataFrame({
+                    "id": b["id"].iloc[part].to_numpy(),
+                    "text_hash": b["text_hash"].iloc[part].to_numpy(),
+                    "node": [hashlib.blake2b(r, digest_size=16).digest() for r in raw],
+                    "n": [len(e) for e in elements],
+                    "bands": [h if len(e) else h[:0] for h, e in zip(in_bands, elements, strict=True)],
+                    "brief": list(brief(sigs)),
+                    "marks": [marks(e) for e in elements],
+                    "packed": [squeeze.compress(r) for r in raw],
+                })
             trim()
 
     keyed = docs.select(to_worker(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("content")).withColumn("text_hash", F.xxhash64("content"))
@@ -177,7 +220,7 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) ->
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a").join(texts.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, open_ = Shingler(width), zstandard.ZstdDecompressor()
+        open_ = zstandard.ZstdDecompressor()
         known: dict[bytes, np.ndarray] = {}  # of texts that many pairs share; bounded by their shingles
         size = 0
 
@@ -187,7 +230,8 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) ->
                 if size > 500_000:
                     known.clear()
                     size = 0
-                known[node] = np.unique(shingler(open_.decompress(packed).decode("utf-8", "surrogatepass").split()))
+                words = open_.decompress(packed).decode("utf-8", "surrogatepass").split()
+                known[node] = shingles(word_hashes(words), np.array([len(words)]), width)[0]
                 size += len(known[node]) + 50
             return known[node]
 

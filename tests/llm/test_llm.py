@@ -287,6 +287,16 @@ def test_signature_estimates_probability_jaccard():
     assert abs(np.mean(est) - 200 / 300) < 0.02
 
 
+def test_signatures_do_not_depend_on_the_documents_beside():
+    rng = np.random.default_rng(2)
+    words = [[f"w{x}" for x in rng.integers(0, 400, n)] for n in (0, 1, 4, 5, 6, 60, 70, 300, 4000, 0, 90)]
+    sets = prob_minhash.shingles(prob_minhash.word_hashes([w for d in words for w in d]), np.array([len(d) for d in words]), 5)
+    assert [len(e) for e in sets] == [len({tuple(d[i : i + 5]) for i in range(max(len(d) - 4, min(len(d), 1)))}) for d in words]
+    for d, e, s in zip(words, sets, prob_minhash.signatures(sets, 125), strict=True):
+        alone = prob_minhash.shingles(prob_minhash.word_hashes(d), np.array([len(d)]), 5)[0]
+        assert np.array_equal(alone, e) and np.array_equal(prob_minhash.signature(e, np.ones(len(e)), 125), s)
+
+
 def test_shards_keep_rows_versions_and_refuse_conflicts(spark):
     store = tiered_shards.ShardStore(spark, workspace(spark, "s"), target_bytes=60_000, small_bytes=2_000, rows_per_shard=10)
     for k in range(3):

@@ -261,16 +261,28 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         # a root takes the least root that any of its members' neighbours has
         seen = edges.join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").groupBy("a").agg(F.min("rb").alias("rb"))
         offers = seen.join(roots.select(F.col("node").alias("a"), "root"), "a").groupBy("root").agg(F.min("rb").alias("rb")).select(F.col("root").alias("r"), F.least("root", "rb").alias("to"))
-        hooked = roots.join(offers, roots["root"] == offers["r"]).select("node", F.col("to").alias("root"))
+        hooked = roots.join(offers, roots["root"] == offers["r"]).select("node", F.col("root").alias("old"), F.col("to").alias("root"))
         jump = hooked.select(F.col("node").alias("r"), F.col("root").alias("to"))
-        new = hooked.join(jump, hooked["root"] == jump["r"]).select("node", F.col("to").alias("root"))
+        new = hooked.join(jump, hooked["root"] == jump["r"]).select("node", F.col("to").alias("root"), "old")
         new = materialise(spark, new, label)
-        moved = new.join(roots.select("node", F.col("root").alias("old")), "node").filter("root != old").limit(1).count()
-        roots = new
-        if not moved:
+        roots = new.select("node", "root")
+        if new.filter("root != old").isEmpty():
             return roots
 
 
+def joined(root: DataFrame, links: DataFrame, label: str = "classes") -> DataFrame:
+    """node, root after further links; root itself where no link joins two classes.
+
+    Only the classes that a link joins go through components(), each as one node.
+    """
+    spark = links.sparkSession
+    ends = materialise(spark, _apart(links, root).distinct(), "class-links")
+    if ends.isEmpty():
+        return root
+    found = components(ends).select(F.col("node").alias("r"), F.col("root").alias("to"))
+    return materialise(spark, root.join(found, root["root"] == found["r"], "left").select("node", F.coalesce("to", "root").alias("root")), label)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, class_id, class_size, kept, text_hash for each row of docs; kept is true for one row of each class, that of the least id."""
     with small_batches(docs.sparkSession):
@@ -284,7 +296,7 @@ def _near_duplicates(docs: DataFrame, threshold: float, width: int, bands: int,
     spread = nodes.select("node", "n", F.posexplode("bands").alias("band", "h"))
     crowded = spread.groupBy("band", "h").agg(F.count("*").alias("k")).filter("k > 1")
     member = materialise(spark, spread.join(crowded, ["band", "h"]), "buckets")
-    degree = member.groupBy("node").agg(F.sum("k").alias("degree"))
+    degree = materialise(spark, member.groupBy("node").agg(F.sum("k").alias("degree")), "degrees")
     member = materialise(spark, member.join(degree, "node"), "ranked-buckets")
     texts = materialise(spark, sk.select("node", "packed").join(degree.select("node"), "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
     fits = F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")
@@ -294,18 +306,15 @@ def _near_duplicates(docs: DataFrame, threshold: float, width: int, bands: int,
     met = member.join(hub, ["band", "h"]).filter(F.col("node") != F.col("hub")).filter(fits).groupBy("node", "hub").agg(F.count("*").alias("shared")).filter("shared >= 2")
     met = materialise(spark, met, "hub-pairs")
     best = met.groupBy("node").agg(F.max(F.struct("shared", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
-    links = materialise(spark, similar(best, texts, threshold, width), "links")
-    root = components(links)
+    root = joined(degree.select("node", F.col("node").alias("root")), similar(best, texts, threshold, width))
     rest = met.select(F.col("node").alias("a"), F.col("hub").alias("b")).join(best, ["a", "b"], "left_anti")
-    links = materialise(spark, links.unionByName(similar(_apart(rest, root), texts, threshold, width)), "links")
-    root = components(links)
+    root = joined(root, similar(_apart(rest, root, ("a", "b")), texts, threshold, width))
 
     # then, in buckets that still hold several classes, all members outside the largest class against the others, the
     # pairs of the highest estimates first: classes grow together, and what is then of one class needs no comparison
     for low, high in ((threshold, 2.0), (threshold - 0.1, threshold), (-1.0, threshold - 0.1)):
         cross = _across(member, nodes, root, threshold, low, high, bands * rows)
-        links = materialise(spark, links.unionByName(similar(cross, texts, threshold, width)), "links")
-        root = components(links)
+        root = joined(root, similar(cross, texts, threshold, width))
 
     named = nodes.select("node", "id", "copies").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
@@ -346,9 +355,9 @@ def _across(member: DataFrame, nodes: DataFrame, root: DataFrame, threshold: flo
     return cross.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
 
 
-def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
-    """The pairs whose nodes are in different components."""
+def _apart(pairs: DataFrame, root: DataFrame, out: tuple[str, str] = ("ra", "rb")) -> DataFrame:
+    """a, b: the roots (or, with out, the nodes) of the pairs whose nodes are in different classes."""
     for x in ("a", "b"):
         r = root.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
         pairs = pairs.join(r, x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
-    return pairs.filter("ra != rb").select("a", "b")
+    return pairs.filter("ra != rb").select(F.col(out[0]).alias("a"), F.col(out[1]).alias("b"))

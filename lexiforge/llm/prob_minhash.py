@@ -296,7 +296,7 @@ def _near_duplicates(docs: DataFrame, threshold: float, width: int, bands: int,
     spread = nodes.select("node", "n", F.posexplode("bands").alias("band", "h"))
     crowded = spread.groupBy("band", "h").agg(F.count("*").alias("k")).filter("k > 1")
     member = materialise(spark, spread.join(crowded, ["band", "h"]), "buckets")
-    degree = materialise(spark, member.groupBy("node").agg(F.sum("k").alias("degree")), "degrees")
+    degree = materialise(spark, member.groupBy("node").agg(F.sum("k").alias("degree")), "degrees").hint("merge")  # grows with the input: never broadcast, small as it may be
     member = materialise(spark, member.join(degree, "node"), "ranked-buckets")
     texts = materialise(spark, sk.select("node", "packed").join(degree.select("node"), "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
     fits = F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")

@@ -113,3 +113,11 @@ def test_positional_rounds_next_to_halves_as_the_sql(spark):
     rows = [(1, i, "w", 0 if i < 3 else 1, 3) for i in range(5)] + [(1, 5 + i, f"v{i}", 0 if i < 1 else 1, 3) for i in range(46)]
     t = spark.createDataFrame(rows, "doc_id long, tok_idx int, token string, pos int, unit_len int")
     assert [r["ratio"] for r in ms.positional(t).filter("side = 'first'").collect()] == [by_sql("round(3::BIGINT / 5 / (4::BIGINT / 51), 1)")] == [7.7]
+
+
+def test_profile_rounds_next_to_halves_as_the_sql(spark):
+    from lexiforge.operators import compare as co
+
+    t = spark.createDataFrame([(1, i, "abc" if i < 7 else "ab") for i in range(640)], "doc_id long, tok_idx int, token string")
+    (p,) = co.doc_profile(t, spark.createDataFrame([], "doc_id long, suffix long, prefix long")).collect()
+    assert p["word_len"] == by_sql("round(1287 / 640, 6)") == 2.010937

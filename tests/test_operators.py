@@ -131,3 +131,19 @@ def test_summary_rounds_next_to_halves_as_the_sql(spark):
     docs = spark.createDataFrame([(1, " ".join(["qq"] * 24 + names[:15] * 2 + names[15:]), "en")], "doc_id long, text string, lang string")
     (s,) = su.extractive_summary(docs, spark.createDataFrame([], "lang string, word string, zipf double")).collect()
     assert s["score"] == by_sql("round(CAST(646 * 7.5 AS DOUBLE) / CAST(24 * 7.5 AS DOUBLE) / sqrt(64) * CAST(1.2 AS DOUBLE), 3)") == 4.037
+
+
+def test_order_of_the_shuffle_is_that_of_md5(spark):
+    import hashlib
+
+    from lexiforge.operators.shuffle import orders, shuffled_texts
+
+    for key, n in (("0:12", 9000), ("3:" + "x" * 60, 30), ("0:9", 1), ("1:\u00e9", 1234), ("0:5", 0)):
+        assert list(next(orders([(key, n)]))) == sorted(range(n), key=lambda i: hashlib.md5(f"{key}:{i}".encode()).hexdigest())
+    place = sorted(range(6), key=lambda i: hashlib.md5(f"7:1:{i}".encode()).hexdigest())
+    assert next(shuffled_texts([("7:1", "ab\ncde\nf")])).replace("\n", "") == "".join("abcdef"[i] for i in place)
+
+
+@pytest.mark.parametrize("name", ["structure_verdict", "zipf_curve"])
+def test_shuffles_exchange_nothing(spark, name):
+    assert "Exchange" not in registry.QUERIES[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString().replace("Exchange hashpartitioning(doc_id", "", 1)

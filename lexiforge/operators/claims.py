@@ -19,6 +19,7 @@ from lexiforge.operators import language as lg
 from lexiforge.operators import statistics as st
 from lexiforge.operators import structure as ms
 from lexiforge.operators.staging import staged
+from lexiforge.operators.wordforms import found
 
 OBSERVED, INFERRED, HYPOTHESIS = "OBSERVED", "INFERRED", "HYPOTHESIS"
 
@@ -56,16 +57,15 @@ def find(docs: DataFrame, lex: DataFrame | None = None, decipher: list[str] | No
     whole = staged(oc.corpus(docs.select("doc_id", "text")))
     c = whole.drop("raw")
     t = staged(oc.tokens(c))
-    affixes = staged(fi.affix_control(t, c))
-    functions = staged(fi.function_words(t, c))
-    real = affixes.filter("significant").select("doc_id")
+    forms = staged(found(c))
+    affixes, functions = fi.affix_control(forms), fi.function_words(forms)
     words = fi.words_only(t).join(affixes.select("doc_id"), "doc_id", "left_semi")
     cased = fi.cased_names(whole, t).select("doc_id", "rk", F.col("name").alias("word"), "c")
-    caseless = fi.uninflected_names(t, c).join(c.filter("NOT has_case").select("doc_id"), "doc_id", "left_semi").select("doc_id", "rk", F.col("token").alias("word"), "c")
+    caseless = fi.uninflected_names(t, c, forms).join(c.filter("NOT has_case").select("doc_id"), "doc_id", "left_semi").select("doc_id", "rk", F.col("token").alias("word"), "c")
     out = Findings(
         c, t, staged(st.sign_inventory(t)), staged(st.word_statistics(t)), staged(st.zipf_fit(t)), staged(st.structure(c)), lg.script_shares(docs), lg.script_profile(docs),
-        st.divider_like_signs(t, c), affixes, ms.affix_scores(words), ms.affix_scores(words, reverse=True), fi.controlled_signatures(t, c).join(real, "doc_id", "left_semi"), functions,
-        staged(fi.word_order(t, functions)), staged(ms.positional(t)), staged(ms.numeral_signs(t)), staged(ms.number_context(t)), staged(cased.unionByName(caseless)),
+        st.divider_like_signs(t, c), affixes, ms.affix_scores(words), ms.affix_scores(words, reverse=True), fi.controlled_signatures(t, c, forms), functions,
+        fi.word_order(forms), staged(ms.positional(t)), staged(ms.numeral_signs(t)), staged(ms.number_context(t)), staged(cased.unionByName(caseless)),
     )
     if lex is not None:
         profiles, references = co.doc_profile(t, affixes), co.reference_profiles(lex)

@@ -8,28 +8,30 @@ from pyspark.sql import functions as F
 from lexiforge.operators import corpus as oc
 from lexiforge.operators import findings as fi
 from lexiforge.operators.staging import staged
+from lexiforge.operators.wordforms import found
 from lexiforge.plans import tables
 
 
 def analysed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The corpus of the documents (without its units) and its tokens, each written once."""
+    """The corpus of the documents and its tokens, these written once."""
     c = oc.corpus(tables.documents(spark, sf_dir))
-    return c.drop("units"), staged(oc.tokens(c))
+    return c, staged(oc.tokens(c))
+
+
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(oc.corpus(tables.documents(spark, sf_dir)))
 
 
 def affix_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, t = analysed(spark, sf_dir)
-    return fi.affix_control(t, c)
+    return fi.affix_control(forms(spark, sf_dir))
 
 
 def function_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, t = analysed(spark, sf_dir)
-    return fi.function_words(t, c)
+    return fi.function_words(forms(spark, sf_dir))
 
 
 def word_order_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, t = analysed(spark, sf_dir)
-    return fi.word_order(t, staged(fi.function_words(t, c)))
+    return fi.word_order(forms(spark, sf_dir))
 
 
 def name_candidates_cased(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,13 +40,13 @@ def name_candidates_cased(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_candidates_uninflected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, t = analysed(spark, sf_dir)
-    return fi.uninflected_names(t, c)
+    c = oc.corpus(tables.documents(spark, sf_dir))
+    return fi.uninflected_names(c, c)
 
 
 def affix_signatures_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, t = analysed(spark, sf_dir)
-    return fi.controlled_signatures(t, c).drop("examples")
+    c = oc.corpus(tables.documents(spark, sf_dir))
+    return fi.controlled_signatures(c, c).drop("examples")
 
 
 def sign_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,3 +147,28 @@ def test_order_of_the_shuffle_is_that_of_md5(spark):
 @pytest.mark.parametrize("name", ["structure_verdict", "zipf_curve"])
 def test_shuffles_exchange_nothing(spark, name):
     assert "Exchange" not in registry.QUERIES[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString().replace("Exchange hashpartitioning(doc_id", "", 1)
+
+
+def test_word_forms_in_one_pass_are_those_of_the_tables(spark):
+    from lexiforge.operators.wordforms import found
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(40)
+    odd = spark.createDataFrame([(1 << 60, "||| 77 foo ||| bar ||| ||| foo. " * 9), (-1, None), (-2, "a b c d e f g h i j k l m n o p q r s t u v \U0001d7d8 \U00010400x"), (-3, "abcabcabc" * 30)], "doc_id long, text string")
+    c = oc.corpus(docs.unionByName(odd)).cache()
+    t = oc.tokens(c).cache()
+    rows = {r["doc_id"]: r for r in found(c).collect()}
+    assert len(rows) == 44 and rows[-1]["types"] is None and rows[-3]["types"] is None
+    types, w, pool = fi.control(t, c)
+    assert {r["doc_id"]: r["types"] for r in types.collect()} == {k: r["types"] for k, r in rows.items() if r["types"] is not None}
+    for source, name, reverse in ((w, "suffix", False), (w, "prefix", True), (pool, "control_suffix", False), (pool, "control_prefix", True)):
+        scores = {r["doc_id"]: r["s"] for r in ms.affix_scores(source, reverse, 10).groupBy("doc_id").agg(F.sum("score").alias("s")).collect()}
+        assert {k: scores.get(k, 0) for k, r in rows.items() if r["types"] is not None} == {k: r[name] for k, r in rows.items() if r["types"] is not None}
+    real = [r["doc_id"] for r in fi.affix_control(found(c)).filter("significant").collect()]
+    words = {(r["doc_id"], r["token"]) for r in ms.paradigm_words(fi.words_only(t).filter(F.col("doc_id").isin(real))).collect()}
+    assert words == {(k, x) for k, r in rows.items() for x in r["inflected"]} and words
+
+
+@pytest.mark.parametrize("name", ["affix_control", "function_words", "word_order_hint", "name_candidates_uninflected", "affix_signatures_controlled"])
+def test_word_forms_exchange_nothing(spark, name):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and "SortMergeJoin" not in plan  # one at most: a table of few splits is dealt over the cores

@@ -171,7 +171,7 @@ def role_test(docs: DataFrame, t: DataFrame, lines: list[str]) -> DataFrame:
         (F.max("unit_idx") - F.min("unit_idx")).alias("span"), F.count_if(F.col("pos") == 0).alias("starts"), F.count_if(F.col("pos") == F.col("unit_len") - 1).alias("ends"),
     )
     uses = with_numbers(here, numeral_signs(t))
-    inflected = inflected_words(found(docs)).filter(F.col("token").isin(named)).withColumn("inflects", F.lit(True))
+    inflected = inflected_words(found(docs, sets=False)).filter(F.col("token").isin(named)).withColumn("inflects", F.lit(True))
     x = h.join(uses, ["doc_id", "token"], "left").join(inflected, ["doc_id", "token"], "left")
     still = F.col("inflects").isNull()
     tests = {

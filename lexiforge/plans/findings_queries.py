@@ -18,12 +18,12 @@ def analysed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return c, staged(oc.tokens(c))
 
 
-def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found(oc.corpus(tables.documents(spark, sf_dir)))
+def forms(spark: SparkSession, sf_dir: str, rest: bool = True) -> DataFrame:
+    return found(oc.corpus(tables.documents(spark, sf_dir)), rest, sets=False)
 
 
 def affix_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fi.affix_control(forms(spark, sf_dir))
+    return fi.affix_control(forms(spark, sf_dir, rest=False))
 
 
 def function_words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,8 @@ def role_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def affix_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hy.affix_test(*analysed(spark, sf_dir), LINES)
+    c = oc.corpus(tables.documents(spark, sf_dir))
+    return hy.affix_test(c, c, LINES)
 
 
 VALUES = ["values e=e t=t a=a o=o n=n i=i s=s r=r l=l u=u in en"]

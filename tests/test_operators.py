@@ -172,3 +172,15 @@ def test_word_forms_in_one_pass_are_those_of_the_tables(spark):
 def test_word_forms_exchange_nothing(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 1 and "SortMergeJoin" not in plan  # one at most: a table of few splits is dealt over the cores
+
+
+def test_affix_test_exchanges_nothing_and_counts_by_hand(spark):
+    from lexiforge.operators import hypotheses as hy
+
+    c = oc.corpus(made(spark, "walking walked walk Singing sing. ring undo undone. redo", "", None))
+    out = hy.affix_test(c, c, ["affix -ing = GERUND", "affix un- = NOT", "affix - = NOTHING", "role x name"])
+    got = {(r["doc_id"], r["hyp"]): tuple(r)[2:] for r in out.collect()}
+    # walking: walk, walked, singing: sing; s(ing) and r(ing) have stems of one sign; undo and undone: redo ends with do, nothing else with done
+    assert got[0, 0] == (2, 2, 2, 2, "PARTLY CONSISTENT") and got[0, 1] == (2, 2, 1, 0, "PARTLY CONSISTENT") and got[0, 2] == (0, 0, 0, 0, "INCONSISTENT")
+    assert len(got) == 9 and got[2, 0] == (0, 0, 0, 0, "INCONSISTENT")
+    assert registry.QUERIES["affix_test"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1

@@ -46,8 +46,8 @@ def counterexamples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def values_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, t = analysed(spark, sf_dir)
-    return hy.values_test(d, t, VALUES, lexicon(spark, sf_dir))
+    c = oc.corpus(tables.documents(spark, sf_dir))
+    return hy.values_test(c, c, VALUES, lexicon(spark, sf_dir))
 
 
 def hypothesis_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,3 +184,31 @@ def test_affix_test_exchanges_nothing_and_counts_by_hand(spark):
     assert got[0, 0] == (2, 2, 2, 2, "PARTLY CONSISTENT") and got[0, 1] == (2, 2, 1, 0, "PARTLY CONSISTENT") and got[0, 2] == (0, 0, 0, 0, "INCONSISTENT")
     assert len(got) == 9 and got[2, 0] == (0, 0, 0, 0, "INCONSISTENT")
     assert registry.QUERIES["affix_test"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
+
+
+def test_trials_and_decoded_words_agree_with_plain_ones():
+    import hashlib
+
+    import numpy as np
+
+    from lexiforge.operators.signvalues import Trials, Values, figures
+
+    docs = ["7", "123456", "x" * 60]  # the last is too long for one block
+    for n in (3, 12):
+        for doc, got in zip(docs, Trials(n, 120).orders(docs), strict=True):
+            want = [sorted(range(n), key=lambda i: hashlib.md5(f"{t}:{doc}:{i}".encode()).hexdigest() if t else f"{i:09d}") for t in range(121)]  # noqa: B023
+            assert got.tolist() == want
+    words = [("abc", 3), ("cab", 1), ("ab", 5), ("c" * 45, 2)]
+    for values in (["x", "y", "z"], ["x", "yy", ""], ["x", "x", "z"]):
+        lexicon = ["xyz", "zxy", "xxx", "xyyx", "yyx", "z" * 45, "xyq"]
+        v, orders = Values(["a", "b", "c"], values, lexicon, 50), Trials(3, 50).orders(["9"])[0]
+        read = [[("".join(values[o["abc".index(x)]] for x in w), c) for w, c in words] for o in orders]
+        read = [[(w, c) for w, c in r if len(w) >= 3] for r in read]
+        want = [sum(c for w, c in r if w in lexicon) / sum(c for _, c in r) if r else np.nan for r in read]
+        assert np.allclose(v.rates(words, orders), want, atol=0, equal_nan=True)
+        assert figures(v.rates(words, orders))[3] == sum(not np.isnan(x) for x in want[1:])
+
+
+def test_marks_go_from_whole_chunks(spark):
+    c = oc.corpus(made(spark, "O'Neil’s (co-op) … ΟΔΟΣ. ab cd -- x.y")).first()
+    assert c["units"] == [["oneils", "coop", "οδος"], ["ab", "cd", "xy"]] or [w for u in c["units"] for w in u] == ["oneils", "coop", "οδος", "ab", "cd", "xy"]

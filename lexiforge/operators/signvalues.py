@@ -89,7 +89,7 @@ class Values:
         self.marks[self._place(known)] = True
 
     def _place(self, x: np.ndarray) -> np.ndarray:
-        return (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+        return (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
     def covered(self, counts: dict[str, int]) -> list[tuple[str, int]]:
         return [(w, c) for w, c in counts.items() if not w.strip(self.chars)]
@@ -106,14 +106,14 @@ class Values:
                 signs = np.full((max(len(w) for w, _ in short), len(short)), len(self.values), np.int64)
                 for i, (w, _) in enumerate(short):
                     signs[: len(w), i] = [self.at[x] for x in w]
-                number = np.zeros((len(orders), len(self.values) + 1), np.int64)
-                number[:, :-1] = self.number[orders]
-                code = number[:, signs[-1]]
+                number = np.zeros((len(self.values) + 1, len(orders)), np.int64)
+                number[:-1] = self.number[orders.T]
+                code = number[signs[-1]]
                 for row in signs[-2::-1]:
                     code *= self.base
-                    code += number[:, row]
-                t, i = np.nonzero(self.marks[self._place(code)])
-                x = code[t, i]
+                    code += number[row]
+                i, t = np.nonzero(self.marks[self._place(code)])
+                x = code[i, t]
                 at = np.minimum(np.searchsorted(self.known, x), len(self.known) - 1)
                 right = self.known[at] == x
                 hits += np.bincount(t[right], weights=uses[i[right]], minlength=len(orders)).astype(np.int64)

@@ -212,3 +212,34 @@ def test_trials_and_decoded_words_agree_with_plain_ones():
 def test_marks_go_from_whole_chunks(spark):
     c = oc.corpus(made(spark, "O'Neil’s (co-op) … ΟΔΟΣ. ab cd -- x.y")).first()
     assert c["units"] == [["oneils", "coop", "οδος"], ["ab", "cd", "xy"]] or [w for u in c["units"] for w in u] == ["oneils", "coop", "οδος", "ab", "cd", "xy"]
+
+
+def test_masks_of_near_words_agree_with_deletions():
+    import random
+
+    import pyarrow as pa
+
+    from lexiforge.operators.nearwords import Index
+
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcé~") for _ in range(n))
+    cuts = lambda w: [w] + [w[:i] + w[i + 1 :] for i in range(len(w))]
+    table = {(lang, v): w for lang in ("en", "xx") for w in (word(r.randint(3, 6)) for _ in range(60)) for v in cuts(w)}
+    index = Index.of("test", pa.table({"lang": [k[0] for k in table], "variant": [k[1] for k in table], "word": list(table.values())}))
+    real, nonsense = [{word(r.randint(3, 7)) for _ in range(80)} for _ in range(3)] + [set()], [{word(4) for _ in range(30)}, set(), {"zzz"}, set()]
+    match = lambda w, lang: next((table[lang, v] for v in cuts(w) if (lang, v) in table), None)
+    for words, other, (hits, control, examples) in zip(real, nonsense, index.counted(real, nonsense, str.lower), strict=True):
+        for i, lang in enumerate(index.langs):
+            found = sorted(f"{w}~{match(w, lang)}" for w in words if match(w, lang) is not None)
+            assert hits[i] == len(found) and examples[i] == found[:10] and control[i] == sum(match(w, lang) is not None for w in other)
+
+
+def test_travelling_and_joined_indexes_agree(spark):
+    from lexiforge.operators import compare as co
+    from lexiforge.operators.staging import staged
+
+    lex = spark.createDataFrame([("en", i + 1, w) for i, w in enumerate(["house", "straße", "tree", "mouse"])] + [("xx", 1, "hous")], "lang string, rank int, word string")
+    c = oc.corpus(made(spark, "Der Strasse hause trees. Houses moues tre!", "ab c", ""))
+    index = staged(co.deletion_index(lex))
+    a, b = ([tuple(r) for r in co.lexical_matching(c, ["en", "xx", "yy"], index, most=m).orderBy("doc_id", "rk").collect()] for m in (10**6, 1))
+    assert a == b and len(a) == 3

@@ -243,3 +243,25 @@ def test_travelling_and_joined_indexes_agree(spark):
     index = staged(co.deletion_index(lex))
     a, b = ([tuple(r) for r in co.lexical_matching(c, ["en", "xx", "yy"], index, most=m).orderBy("doc_id", "rk").collect()] for m in (10**6, 1))
     assert a == b and len(a) == 3
+
+
+def test_equal_glyphs_are_clustered_once():
+    import numpy as np
+
+    from lexiforge.operators import images as im
+
+    x = np.random.default_rng(1).normal(size=(12, 8)).astype(np.float32) / 4
+    of = np.random.default_rng(2).integers(0, 12, 300)
+    alone, together = im.average_linkage(x[of], 0.9), im.labelled(x[of], 0.9)
+    assert im.by_frequency(alone).tolist() == im.by_frequency(together).tolist()
+
+
+def test_wide_pages_are_blurred_in_strips():
+    import numpy as np
+
+    from lexiforge.operators import images as im
+
+    grey = np.random.default_rng(4).integers(0, 256, (9, 2 * im.STRIP + 1)).astype(np.uint8)
+    g = np.rint(im.blurred(grey.astype(float))).astype(int)
+    ink = im.ink_of(grey)
+    assert any((ink == (g <= k)).all() or (ink == (g > k)).all() for k in range(256))

@@ -1,14 +1,18 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as ft
 from lexiforge.operators import corpus as oc
+from lexiforge.operators import detection as dt
 from lexiforge.operators import findings as fi
+from lexiforge.operators import language as lg
 from lexiforge.operators import statistics as st
 from lexiforge.operators import structure as ms
+from lexiforge.operators.staging import staged
 from lexiforge.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -265,3 +269,41 @@ def test_wide_pages_are_blurred_in_strips():
     g = np.rint(im.blurred(grey.astype(float))).astype(int)
     ink = im.ink_of(grey)
     assert any((ink == (g <= k)).all() or (ink == (g > k)).all() for k in range(256))
+
+
+DETECTED = [(1, "xx xx yy", "a"), (2, "Xx pqr pqr", "b"), (3, None, "b"), (4, "12 \ue000", None), (5, "xx", "a")]
+
+
+def test_detection_in_one_pass_agrees_with_the_joins(spark):
+    d = spark.createDataFrame(DETECTED, "doc_id long, text string, lang string")
+    freq = staged(lg.frequencies(d))
+    model = staged(lg.frequency_model(freq))
+    assert {r["gram"]: r["gain"] for r in model.filter("lang = 'a'").collect()} == pytest.approx({" xx": math.log(7), "xx ": math.log(7), " yy": math.log(3), "yy ": math.log(3)})
+    docs = d.select("doc_id", "text")
+    joined = {r["doc_id"]: r.asDict() for r in lg._joined(docs, model, freq).collect()}
+    for r in lg._within(docs, dt.reference(model, freq), freq).collect():
+        assert r.asDict() == joined[r["doc_id"]]
+
+
+def test_rare_words_are_counted_in_the_join(spark, monkeypatch):
+    d = spark.createDataFrame(DETECTED, "doc_id long, text string, lang string")
+    freq = staged(lg.frequencies(d))
+    monkeypatch.setattr(dt, "TRAVELS", 8.6)  # zipf of xx in a is 8.88, of yy 8.40
+    travels = dt.reference(staged(lg.frequency_model(freq)), freq)
+    assert "xx" in travels.words and "yy" not in travels.words
+    got = {r["doc_id"]: r["coverage"] for r in lg._within(d.select("doc_id", "text"), travels, freq).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: None, 4: None, 5: 1.0}
+
+
+def test_a_long_memory_is_not_walked_for_each_document():
+    r = dt.Reference("memory", ["a"], np.zeros(0, np.int64), np.zeros((1, 1)), np.zeros(1), ["xx"], np.full((1, 1), 9.0))
+    m = dt.Words(r)
+    m.add(["yyy", "z"])
+    assert m.grams[:3].tolist() == [2, 3, 1] and m.at == {"xx": 0, "yyy": 1, "z": 2}
+
+
+def test_scripts_exchange_nothing_and_count_by_hand(spark):
+    d = spark.createDataFrame([(1, "aé א\U0001F600͸"), (2, None)], "doc_id long, text string")
+    out = lg.script_profile(d)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, 5, "LATIN", 0.4, "left-to-right"), (2, 0, None, 0.0, None)]

@@ -37,10 +37,11 @@ _PROFILES = f"""dp AS (SELECT doc_id, rank_profile, h1, inventory, word_len, rou
 _INDEX = f"""dx AS (SELECT lang, word, min(rank) AS rank FROM (SELECT lang, rank, {_LATIN.format(w='word')} AS word FROM lx) WHERE len(word) >= 3 GROUP BY ALL),
 ix AS (SELECT lang, variant, arg_min(word, rank) AS word FROM (SELECT lang, rank, word, unnest({_VARIANTS.format(w='word')}) AS variant FROM dx) GROUP BY lang, variant)"""
 
-_MATCHES = f"""{oracles.TOKENS}, pl AS (SELECT doc_id, tok_idx, sign, k, row_number() OVER (PARTITION BY doc_id ORDER BY tok_idx, k) - 1 AS i FROM sg),
+def _matched(lexicon: str) -> str:
+    return f"""{oracles.TOKENS}, pl AS (SELECT doc_id, tok_idx, sign, k, row_number() OVER (PARTITION BY doc_id ORDER BY tok_idx, k) - 1 AS i FROM sg),
 sh AS (SELECT doc_id, sign, row_number() OVER (PARTITION BY doc_id ORDER BY md5('0:' || doc_id || ':' || i)) - 1 AS i FROM pl),
 ct AS (SELECT pl.doc_id, pl.tok_idx, string_agg(sh.sign, '' ORDER BY pl.k) AS token FROM pl JOIN sh USING (doc_id, i) GROUP BY ALL),
-{_FREQ}, {_LEX}, {_INDEX},
+{_FREQ}, {lexicon}, {_INDEX},
 ty AS (SELECT DISTINCT doc_id, true AS real, token AS word FROM tok WHERE len(token) >= 3 UNION ALL SELECT DISTINCT doc_id, false, token FROM ct WHERE len(token) >= 3),
 tw AS (SELECT word, {_LATIN.format(w='word')} AS p FROM (SELECT DISTINCT word FROM ty)),
 tr AS (SELECT word, unnest([p] || list_transform(generate_series(1, len(p)), lambda i: p[1:i - 1] || p[i + 1:])) AS variant, unnest(generate_series(0, len(p))) AS nth FROM tw),
@@ -51,6 +52,11 @@ sr AS (SELECT doc_id, lang, count(match) FILTER (real) / greatest(1, count(*) FI
 ro AS (SELECT doc_id, lang, round(r, 4) AS rate, round(k, 4) AS control, CASE WHEN k > 0 THEN round(r / k, 4) END AS lift, examples FROM sr),
 lm AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(rate - control, 6) DESC, lang) AS rk FROM ro)"""
 
+
+_MATCHES = _matched(_LEX)
+#: The lexicon with all words of each language.
+_WHOLE = "lx AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, word) AS rank FROM fq)"
+
 _SHARES_SQL = language_sql.ORACLE_SQL["script_shares"]
 
 ORACLE_SQL = {
@@ -62,7 +68,7 @@ ORACLE_SQL = {
         SELECT doc_id, rk, lang, round(d, 3) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY d, lang) AS rk FROM di) WHERE rk <= 6""",
     "deletion_index": f"WITH {_FREQ}, {_LEX}, {_INDEX} SELECT * FROM ix",
     "lexical_matching": f"{_MATCHES} SELECT doc_id, rk, lang, rate, control, lift, examples FROM lm",
-    "look_alikes": f"""{_MATCHES} SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rk) AS rk, lang, rate, control, lift FROM lm WHERE round(rate - control, 6) >= 0.1 AND coalesce(lift, 0) >= 1.5) WHERE rk <= 3""",
+    "look_alikes": f"""{_matched(_WHOLE)} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rk) AS rk, lang, rate, control, lift FROM lm WHERE round(rate - control, 6) >= 0.1 AND coalesce(lift, 0) >= 1.5""",
     "anchors": f"""SELECT doc_id, 'two or more scripts: a readable part may be a key to the other' AS anchor FROM ({_SHARES_SQL}) WHERE share >= 0.05 GROUP BY doc_id HAVING count(*) >= 2
         UNION ALL SELECT DISTINCT doc_id, 'signs like numbers: words beside them may count things' FROM ({oracles.ORACLE_SQL['numeral_signs']})
         UNION ALL SELECT DISTINCT doc_id, 'words like names: they may be known from elsewhere' FROM ({oracles.ORACLE_SQL['name_candidates_caseless']})""",

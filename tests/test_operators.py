@@ -327,3 +327,32 @@ def test_summary_and_keywords_in_two_passes_agree_with_the_tables(spark, monkeyp
 def test_each_redaction_has_its_hint(spark):
     rows = ["sk-ant-" + "a" * 12, "sk-" + "b" * 24, "AKIA" + "C" * 16, *[f"gh{x}_" + "d" * 30 for x in "pousr"], "AIza" + "e" * 32, "xoxb-" + "f" * 12, "-----BEGIN PRIVATE KEY-----\nx\n-----END PRIVATE KEY-----", *[f"{x.upper()}=hunter22" for x in ("api_key", "apikey", "secret", "password", "passwd", "token", "auth")], "night: keyboard"]
     assert [r["hits"] for r in ft.redact(made(spark, *rows)).orderBy("doc_id").collect()] == [2, 2] + [1] * (len(rows) - 3) + [0]  # API_KEY=<redacted> counts again
+
+
+def test_look_alikes_keep_all_languages_and_words(spark, tmp_path):
+    import random
+
+    r = random.Random(5)
+    word = lambda n=7: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    shared = sorted({word() for _ in range(60)} | {word(3) for _ in range(40)})  # of short words nonsense has some too
+    filler = sorted({word(9) for _ in range(30050)})
+    rows = [(i, " ".join(shared), lang) for i, lang in enumerate(["aa", "bb", "cc", "dd", "ee"])]
+    rows += [(5, " ".join(filler + filler), "ff"), (6, " ".join(shared), "ff")]  # words beyond the 30000th of ff
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["look_alikes"](spark, str(tmp_path)).filter("doc_id = 0").collect()
+    assert sorted(x["lang"] for x in got) == ["aa", "bb", "cc", "dd", "ee", "ff"]
+    assert sorted(x["rk"] for x in got) == [1, 2, 3, 4, 5, 6]
+
+
+def test_look_alikes_equal_sql_by_travelling_and_by_joins(spark, monkeypatch):
+    from lexiforge.operators import compare as co
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(registry.ORACLE_SQL["look_alikes"])
+    cols, want = [d[0] for d in want.description], sorted(map(str, want.fetchall()))
+    travels = co.travels
+    for most in (10**7, 0):
+        monkeypatch.setattr(co, "travels", lambda index, _, most=most: travels(index, most))
+        assert sorted(map(str, map(tuple, registry.QUERIES["look_alikes"](spark, SF).select(*cols).collect()))) == want
+    assert len(want) > 0

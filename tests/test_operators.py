@@ -356,3 +356,21 @@ def test_look_alikes_equal_sql_by_travelling_and_by_joins(spark, monkeypatch):
         monkeypatch.setattr(co, "travels", lambda index, _, most=most: travels(index, most))
         assert sorted(map(str, map(tuple, registry.QUERIES["look_alikes"](spark, SF).select(*cols).collect()))) == want
     assert len(want) > 0
+
+
+def test_searches_together_go_as_alone_and_patterns_once(monkeypatch):
+    from lexiforge.operators import compare as co
+    from lexiforge.operators import searches
+
+    letters = ["#", *"etaonis"]
+    logp = searches.fixed(np.log(np.random.default_rng(3).dirichlet(np.ones(8), size=(8, 8))))
+    other = searches.fixed(np.log(np.random.default_rng(4).dirichlet(np.ones(5), size=(5, 5))))
+    words = [["t", "h", "i", "s"], ["abc", "cab"], ["a"], [], ["abcdefghij", "jihg"], ["xyz", "zxy"], ["aa", "bb", "ab"] * 3]
+    texts = [(w, *m, seed) for w in words for m in ((letters, logp), (letters[:5], other)) for seed in (0, 1)]
+    want = [co.Search(w, x, p).best(150, 3, seed) for w, x, p, seed in texts]
+    made, best = [], searches.best
+    monkeypatch.setattr(searches, "best", lambda some, *rest: made.append(len(some)) or best(some, *rest))
+    assert co.searched(texts, 150, 3) == want
+    assert made == [24]  # of 28, as abc cab and xyz zxy are of one pattern
+    monkeypatch.setattr(searches, "SHORT", 5)
+    assert co.searched(texts, 150, 3) == want
